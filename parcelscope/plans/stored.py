@@ -21,7 +21,7 @@ def to_markers(text: str) -> str:
     """``'%{name}%'`` inside a quoted literal -> ``concat('%', :name, '%')``, so that values are bound, not pasted."""
 
     def bound(literal: re.Match) -> str:
-        parts = re.split(r"\{(\w+)\}", literal.group(1))
+        parts = re.split(r"\{([A-Za-z_]\w*)\}", literal.group(1))
         if len(parts) == 1:
             return literal.group(0)
         pieces = [f":{part}" if at % 2 else f"'{part}'" for at, part in enumerate(parts) if part]

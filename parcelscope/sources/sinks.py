@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import clean_text
+
 
 def export_csv(df: DataFrame, path: str) -> Observation:
     """Writes rows as UTF-8 CSV with a header line in every part, quotes doubled, NULL and '' both empty.
@@ -21,3 +23,8 @@ def export_summary(df: DataFrame, path: str) -> DataFrame:
     """Writes the rows and returns one row: format and number of records, from the write itself."""
     records = export_csv(df, path).get["records"]
     return df.sparkSession.range(1).select(F.lit("csv").alias("format"), F.lit(records).cast("long").alias("records"))
+
+
+def clean_for_display(df: DataFrame) -> DataFrame:
+    """Every text column cleaned for display; other columns as they are."""
+    return df.select(*[clean_text(F.col(f"`{n}`")).alias(n) if kind == "string" else F.col(f"`{n}`") for n, kind in df.dtypes])
