@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import total
 from .ranks import key_at_rank, nth_newest_id
+from .windows import created_from, created_to
 
 # Up to this rank a page is a plain top-k; behind it every task would hand this many rows and more to a single one.
 TOP_K = 10_000
@@ -60,13 +61,13 @@ def _between_keys(df: DataFrame, first: int, last: int) -> DataFrame:
     ymd, id_ = F.col("creation_ymd"), F.col("id")
     day, at = start
     same = ymd.eqNullSafe(F.lit(day)) & (id_ <= at)
-    rows = df.where(same | (ymd.isNotNull() if day is None else ymd < day))
+    rows = df.where(same | ymd.isNotNull() if day is None else created_to(day) & (same | (ymd < day)))
     end = key_at_rank(df, last)
     if end is None:
         return rows
     day, at = end
     same = ymd.eqNullSafe(F.lit(day)) & (id_ >= at)
-    return rows.where(same if day is None else same | ymd.isNull() | (ymd > day))
+    return rows.where(same if day is None else ymd.isNull() | (created_from(day) & (same | (ymd > day))))
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:

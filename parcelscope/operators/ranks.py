@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import OTHER_MONTH
+
 BUCKETS = 1 << 16
 _PREFIX_STEP = 2
+_MONTH_LENGTH = 6
 
 
 def _bucket_at(df: DataFrame, bucket: Column, order, rank: int):
@@ -70,4 +73,7 @@ def key_at_rank(df: DataFrame, rank: int) -> tuple[str | None, int] | None:
         rank -= found["upto"] - found["n"]
         prefix = found["bucket"]
         rows = rows.where(F.substring(ymd, 1, length) == prefix)
+        if length == _MONTH_LENGTH:
+            # From here on only the partition of that month is read, and the one of texts that name no month.
+            rows = rows.where(F.col("creation_month").isin(prefix, OTHER_MONTH))
     return prefix, nth_newest_id(rows, rank)

@@ -312,8 +312,8 @@ CATALOGUE: tuple[Report, ...] = (
         "Analysis of shipments by number of boxes",
         multi_box,
         f"""SELECT number_of_shipment_boxes AS Boxes, count(*) AS Shipments, {_SHARE} AS Percentage FROM shipments
-        WHERE number_of_shipment_boxes IS NOT NULL GROUP BY Boxes, shipments.boxes
-        ORDER BY shipments.boxes NULLS LAST, Boxes""",
+        WHERE number_of_shipment_boxes IS NOT NULL GROUP BY number_of_shipment_boxes
+        ORDER BY try_cast(number_of_shipment_boxes AS INT) NULLS LAST, number_of_shipment_boxes""",
         ("Boxes", "Shipments", "Percentage"),
         ("bar", "Boxes", "Shipments"),
     ),

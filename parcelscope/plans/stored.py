@@ -14,6 +14,7 @@ from ..operators.windows import calendar_range
 from ..sources import normalise, with_classes
 
 VIEW = "shipments"
+SELECT_START = r"^(?i:\s*(SELECT|WITH)\b)"
 _DOUBLE_QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 
@@ -33,7 +34,7 @@ def to_markers(text: str) -> str:
 def check_select(spark: SparkSession, text: str, args: dict | None = None) -> str:
     """The text without a closing semicolon, if it is one query; anything else is refused before it can run."""
     query = text.strip().rstrip(";").rstrip()
-    if not re.match(r"(SELECT|WITH)\b", query, re.IGNORECASE):
+    if not re.match(SELECT_START, query):
         raise ValueError("only SELECT queries are allowed")
     # A command is no subquery, so this fails to parse for WITH ... INSERT and the like.
     spark.sql(f"SELECT * FROM (\n{query}\n) LIMIT 0", args=args or {})

@@ -1,6 +1,6 @@
 """Every registered query with its DuckDB text."""
 
-from . import blocks, columns  # noqa: F401
+from . import blocks, columns, questions, small_tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from .normalised import normalise, with_classes, write_normalised
 from .rows import from_json_rows, from_rows
-from .scratch import scratch_path
+from .scratch import scratch_path, write_once
 from .sinks import export_csv, export_summary
 from .tables import ensure_tables, load_jdbc, load_shipments, load_table, publish, with_defaults
 
@@ -20,5 +20,6 @@ __all__ = [
     "scratch_path",
     "with_classes",
     "with_defaults",
+    "write_once",
     "write_normalised",
 ]

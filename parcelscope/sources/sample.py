@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from ..schema import SHIPMENT_COLUMNS
 from .normalised import normalise, write_normalised
-from .scratch import scratch_path
+from .scratch import write_once
 from .tables import load_shipments
 
-_BYTES_PER_TASK = 64 << 20
-_written: dict[tuple, str] = {}
 _opened: dict[str, DataFrame] = {}
 
 
@@ -84,32 +82,14 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*[F.expr(rules[name]).alias(name) for name in SHIPMENT_COLUMNS])
 
 
-def _input_files(spark: SparkSession, sf_dir: str) -> tuple[int, tuple]:
-    """Total bytes of the order tables, and a mark that changes when one of their files does."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    size, mark = 0, []
-    for name in ("orders", "lineitem", "supplier", "customer", "nation"):
-        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
-        system = path.getFileSystem(conf)
-        length = system.getContentSummary(path).getLength()
-        size += length
-        mark += [length, system.getFileStatus(path).getModificationTime()]
-    return size, tuple(mark)
-
-
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised shipments of a data folder, read from the table that the first call writes."""
-    size, mark = _input_files(spark, sf_dir)
-    made = (spark.sparkContext.applicationId, sf_dir, mark)
-    if made not in _written:
-        path = scratch_path(spark, "shipments")
-        if path is None:
-            return normalise(raw_shipments(spark, sf_dir))
-        tasks = max(spark.sparkContext.defaultParallelism, -(-size // _BYTES_PER_TASK))
-        write_normalised(raw_shipments(spark, sf_dir), path, tasks)
-        _written[made] = path
-    path = _written[made]
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "supplier", "customer", "nation")]
+    path = write_once(
+        spark, "shipments", inputs, lambda to, tasks: write_normalised(raw_shipments(spark, sf_dir), to, tasks)
+    )
+    if path is None:
+        return normalise(raw_shipments(spark, sf_dir))
     if path not in _opened or _opened[path].sparkSession is not spark:
         _opened[path] = load_shipments(spark, path, normalised=True)
     return _opened[path]

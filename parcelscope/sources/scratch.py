@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BYTES_PER_TASK = 64 << 20
 
 _local_roots: dict[str, str] = {}
+_written: dict[tuple, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str | None:
@@ -25,3 +28,36 @@ def scratch_path(spark: SparkSession, name: str) -> str | None:
         app = spark.sparkContext.applicationId
         root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="parcelscope-"))
     return f"{root.rstrip('/')}/parcelscope/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(
+    spark: SparkSession, name: str, inputs: list[str], write: Callable[[str, int], None]
+) -> str | None:
+    """Path of a table derived from input files, or ``None`` without a shared folder.
+
+    The first call of an application writes it, with as many tasks as the size of the inputs asks for; later calls
+    find it again until one of the inputs changes.
+    """
+    size, mark = _files(spark, inputs)
+    made = (spark.sparkContext.applicationId, name, tuple(inputs), mark)
+    if made not in _written:
+        path = scratch_path(spark, name)
+        if path is None:
+            return None
+        write(path, max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_TASK)))
+        _written[made] = path
+    return _written[made]
+
+
+def _files(spark: SparkSession, paths: list[str]) -> tuple[int, tuple]:
+    """Total bytes of files or folders, and a mark that changes when one of them does."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    size, mark = 0, []
+    for each in paths:
+        path = hadoop.Path(each)
+        system = path.getFileSystem(conf)
+        length = system.getContentSummary(path).getLength()
+        size += length
+        mark += [length, system.getFileStatus(path).getModificationTime()]
+    return size, tuple(mark)
