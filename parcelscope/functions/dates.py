@@ -48,7 +48,8 @@ def creation_month(ymd: Column) -> Column:
 
 def creation_day(ymd: Column) -> Column:
     """Real date of a normalised date, NULL for junk and for days such as 31 February."""
-    return F.when(ymd.rlike(r"^[0-9]{8}\z"), F.try_to_timestamp(ymd, F.lit("yyyyMMdd")).cast("date"))
+    dashed = F.concat_ws("-", F.substring(ymd, 1, 4), F.substring(ymd, 5, 2), F.substring(ymd, 7, 2))
+    return F.when(ymd.rlike(r"^[0-9]{8}\z"), dashed.try_cast("date"))
 
 
 def iso_to_ymd(text: Column) -> Column:

@@ -65,7 +65,7 @@ def contains_like(column: Column, value: str, literal: bool = False) -> Column:
     if literal:
         return column.contains(value)
     # A backslash before an ordinary character stands for that character; Spark would refuse it.
-    pattern = re.sub(r"\\([^%_\\])", r"\1", value)
+    pattern = re.sub(r"\\(.)", lambda pair: pair[0] if pair[1] in "%_\\" else pair[1], value, flags=re.DOTALL)
     return column.like(f"%{pattern}%")
 
 

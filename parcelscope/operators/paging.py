@@ -36,38 +36,35 @@ def _check(page: int, limit: int) -> None:
 
 
 def page_rows(df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID, top_k: int = TOP_K) -> DataFrame:
-    """Rows of one page. Deep pages first find the keys at both ends and then read only what lies between."""
+    """Rows of one page. A deep page first finds the key it begins with and takes what follows."""
     _check(page, limit)
     skipped = (page - 1) * limit
     if skipped + limit <= top_k:
         return newest_first(df, order).offset(skipped).limit(limit)
-    between = _between_ids if order == BY_ID else _between_keys
-    return newest_first(between(df, skipped + 1, skipped + limit), order)
-
-
-def _between_ids(df: DataFrame, first: int, last: int) -> DataFrame:
-    newest = nth_newest_id(df, first)
-    if newest is None:
-        return df.limit(0)
-    rows = df.where(F.col("id") <= newest)
-    oldest = nth_newest_id(df, last)
-    return rows if oldest is None else rows.where(F.col("id") >= oldest)
-
-
-def _between_keys(df: DataFrame, first: int, last: int) -> DataFrame:
-    start = key_at_rank(df, first)
-    if start is None:
+    at_or_after, key_at = (_from_id, nth_newest_id) if order == BY_ID else (_from_key, key_at_rank)
+    first = key_at(df, skipped + 1)
+    if first is None:
         return df.limit(0)
-    ymd, id_ = F.col("creation_ymd"), F.col("id")
-    day, at = start
-    same = ymd.eqNullSafe(F.lit(day)) & (id_ <= at)
-    rows = df.where(same | ymd.isNotNull() if day is None else created_to(day) & (same | (ymd < day)))
-    end = key_at_rank(df, last)
-    if end is None:
-        return rows
-    day, at = end
-    same = ymd.eqNullSafe(F.lit(day)) & (id_ >= at)
-    return rows.where(same if day is None else ymd.isNull() | (created_from(day) & (same | (ymd > day))))
+    rows = at_or_after(df, first)
+    if limit <= top_k:
+        return newest_first(rows, order).limit(limit)
+    # A large page is cut at its last key as well, so that its rows are sorted by many tasks.
+    last = key_at(df, skipped + limit)
+    return newest_first(rows if last is None else at_or_after(rows, last, until=True), order)
+
+
+def _from_id(df: DataFrame, id_: int, until: bool = False) -> DataFrame:
+    return df.where(F.col("id") >= id_ if until else F.col("id") <= id_)
+
+
+def _from_key(df: DataFrame, key: tuple[str | None, int], until: bool = False) -> DataFrame:
+    """Rows that come at or after a key in the order by date, or with ``until`` at or before it."""
+    day, id_ = key
+    ymd = F.col("creation_ymd")
+    same = ymd.eqNullSafe(F.lit(day)) & (F.col("id") >= id_ if until else F.col("id") <= id_)
+    if until:
+        return df.where(same if day is None else ymd.isNull() | (created_from(day) & (same | (ymd > day))))
+    return df.where(same | ymd.isNotNull() if day is None else created_to(day) & (same | (ymd < day)))
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:

@@ -56,24 +56,21 @@ def key_at_rank(df: DataFrame, rank: int) -> tuple[str | None, int] | None:
     inside one date.
     """
     ymd = F.col("creation_ymd")
-    undated = df.where(ymd.isNull())
-    found = _bucket_at(df, ymd.isNull(), F.desc, rank)
-    if found is None:
-        return None
-    rank -= found["upto"] - found["n"]
-    if found["bucket"]:
-        return None, nth_newest_id(undated, rank)
-    rows = df.where(ymd.isNotNull())
-    length = 0
-    prefix = None
-    while prefix is None or len(prefix) == length:
-        # A prefix shorter than asked for is the whole text.
+    rows, length = df, 0
+    while True:
         length += _PREFIX_STEP
-        found = _bucket_at(rows, F.substring(ymd, 1, length), F.desc, rank)
+        start = F.substring(ymd, 1, length)
+        found = _bucket_at(rows, start, F.desc_nulls_first, rank)
+        if found is None:
+            return None
         rank -= found["upto"] - found["n"]
         prefix = found["bucket"]
-        rows = rows.where(F.substring(ymd, 1, length) == prefix)
+        if prefix is None:
+            return None, nth_newest_id(df.where(ymd.isNull()), rank)
+        rows = rows.where(start == prefix)
+        if len(prefix) < length:
+            # Shorter than asked for, so this is the whole text.
+            return prefix, nth_newest_id(rows, rank)
         if length == _MONTH_LENGTH:
             # From here on only the partition of that month is read, and the one of texts that name no month.
             rows = rows.where(F.col("creation_month").isin(prefix, OTHER_MONTH))
-    return prefix, nth_newest_id(rows, rank)

@@ -15,12 +15,18 @@ def normalise(df: DataFrame) -> DataFrame:
     """Adds the derived columns; a frame that has them already comes back as it is."""
     if set(DERIVED_COLUMNS) <= set(df.columns):
         return df
-    ymd = N.creation_ymd(F.col("shipment_creation_date"))
+    return _with_numbers(_with_month(df))
+
+
+def _with_month(df: DataFrame) -> DataFrame:
+    dated = df.withColumn("creation_ymd", N.creation_ymd(F.col("shipment_creation_date")))
+    return dated.withColumn("creation_month", N.creation_month(F.col("creation_ymd")))
+
+
+def _with_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "creation_ymd": ymd,
-            "creation_date": N.creation_day(ymd),
-            "creation_month": N.creation_month(ymd),
+            "creation_date": N.creation_day(F.col("creation_ymd")),
             "weight_kg": N.parse_amount(F.col("shipment_weight")),
             "cod_amount": N.parse_amount(F.col("cod")),
         }
@@ -50,8 +56,8 @@ def write_normalised(df: DataFrame, path: str, tasks: int) -> None:
     """Stores normalised shipments by creation month, sorted by id inside each file.
 
     Rows are spread by month and range of ids, in one pass and without sampling: a month with a third of all rows is
-    written by many tasks, no pair holds more than ``IDS_PER_FILE`` rows, and id filters skip row groups.
+    written by many tasks, no pair holds more than ``IDS_PER_FILE`` rows, and id filters skip row groups. Only the month
+    is derived before the rows move; the numbers are parsed where they are written.
     """
-    rows = normalise(df)
-    spread = rows.repartition(tasks, "creation_month", F.expr(f"id div {IDS_PER_FILE}"))
-    spread.sortWithinPartitions("creation_month", "id").write.partitionBy("creation_month").parquet(path)
+    spread = _with_month(df).repartition(tasks, "creation_month", F.expr(f"id div {IDS_PER_FILE}"))
+    _with_numbers(spread).sortWithinPartitions("creation_month", "id").write.partitionBy("creation_month").parquet(path)
