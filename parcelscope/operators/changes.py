@@ -72,12 +72,20 @@ def fold_changes(changes: DataFrame, name: str, key: str = "id") -> DataFrame:
 def apply_changes(
     base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | None = None
 ) -> DataFrame:
-    """The table after a batch. Changes of keys it does not have do nothing; inserts get consecutive new keys."""
+    """The table after a batch, as if its changes were applied in order.
+
+    Inserts get consecutive new keys, and later changes of the batch may name those. Changes of keys that do not exist
+    at their time do nothing.
+    """
     columns = TABLES[name].schema.fieldNames()
-    folded = fold_changes(changes, name, key)
+    numbered_inserts = _numbered_inserts(base, changes, key, first_id)
+    born = numbered_inserts.select(key, F.col("seq").alias("_born"))
+    in_time = changes.join(born, key, "left").where(F.col("_born").isNull() | (F.col("seq") > F.col("_born")))
+    folded = fold_changes(in_time, name, key)
     written = {column[4:] for column in folded.columns if column.startswith("new_")}
-    merged = base.join(folded, key, "left").where(~F.coalesce(F.col("deleted"), F.lit(False)))
-    kept = merged.select(
+    rows = base.unionByName(_filled(numbered_inserts, base, name, key, first_id))
+    merged = rows.join(folded, key, "left").where(~F.coalesce(F.col("deleted"), F.lit(False)))
+    return merged.select(
         *[
             F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.value")).otherwise(F.col(c)).alias(c)
             if c in written
@@ -85,18 +93,27 @@ def apply_changes(
             for c in columns
         ]
     )
-    return kept.unionByName(new_rows(base, changes, name, key, first_id))
 
 
 def new_rows(
     base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | None = None
 ) -> DataFrame:
     """Inserted rows with defaults, keys after the largest one, and for widgets positions after the last one."""
+    return _filled(_numbered_inserts(base, changes, key, first_id), base, name, key, first_id)
+
+
+def _first_key(base: DataFrame, key: str, first_id: int | None) -> Column:
+    return F.coalesce(base.agg(F.max(key)).scalar(), F.lit(0)) + 1 if first_id is None else F.lit(first_id)
+
+
+def _numbered_inserts(base: DataFrame, changes: DataFrame, key: str, first_id: int | None) -> DataFrame:
     inserts = changes.where(F.col("op") == "insert").drop(key)
-    start = F.coalesce(base.agg(F.max(key)).scalar(), F.lit(0)) + 1 if first_id is None else F.lit(first_id)
-    rows = numbered(inserts, "seq", key, start)
+    return numbered(inserts, "seq", key, _first_key(base, key, first_id))
+
+
+def _filled(rows: DataFrame, base: DataFrame, name: str, key: str, first_id: int | None) -> DataFrame:
     if "position" in TABLES[name].schema.fieldNames():
-        nth = F.col(key) - start
+        nth = F.col(key) - _first_key(base, key, first_id)
         rows = rows.withColumn("position", F.coalesce(base.agg(F.max("position")).scalar(), F.lit(-1)) + 1 + nth)
     return with_defaults(rows, name, F.col("changed_at"))
 
