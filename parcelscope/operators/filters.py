@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -82,10 +84,12 @@ def matches(column: Column, pattern: str) -> Column:
     return column.rlike(pattern)
 
 
-def number_or_none(value) -> float | None:
+def number_or_none(value) -> Decimal | float | None:
+    """A bound given as a number or text. It stays decimal, so that it reaches the parquet filter as it is."""
     try:
-        return float(value)
-    except (TypeError, ValueError):
+        number = float(value)
+        return Decimal(str(value).strip()) if math.isfinite(number) else number
+    except (TypeError, ValueError, ArithmeticError):
         return None
 
 
@@ -97,8 +101,8 @@ def weight_between(low=None, high=None) -> list[Column]:
     return bounds if high is None else [*bounds, weight <= high]
 
 
-def weight_above(low: float) -> Column:
-    return F.col("weight_kg") > low
+def weight_above(low) -> Column:
+    return F.col("weight_kg") > number_or_none(low)
 
 
 def cod_is(answer: str) -> Column | None:

@@ -11,8 +11,9 @@ from .aggregates import total
 from .ranks import key_at_rank, nth_newest_id
 from .windows import created_from, created_to
 
-# Up to this rank a page is a plain top-k; behind it every task would hand this many rows and more to a single one.
-TOP_K = 10_000
+# Up to this rank a page is a plain top-k, for which every task hands that many rows to a single one. Behind it the
+# page is found by counting, so that what one task gets does not grow with the depth of the page.
+TOP_K = 1_000
 
 BY_ID = "id"
 BY_DATE = "date"
@@ -35,6 +36,10 @@ def _check(page: int, limit: int) -> None:
         raise ValueError("page and limit start at 1")
 
 
+def first_rows(df: DataFrame, limit: int, order: str = BY_ID) -> DataFrame:
+    return page_rows(df, 1, limit, order)
+
+
 def page_rows(df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID, top_k: int = TOP_K) -> DataFrame:
     """Rows of one page. A deep page first finds the key it begins with and takes what follows."""
     _check(page, limit)
@@ -42,10 +47,12 @@ def page_rows(df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID,
     if skipped + limit <= top_k:
         return newest_first(df, order).offset(skipped).limit(limit)
     at_or_after, key_at = (_from_id, nth_newest_id) if order == BY_ID else (_from_key, key_at_rank)
-    first = key_at(df, skipped + 1)
-    if first is None:
-        return df.limit(0)
-    rows = at_or_after(df, first)
+    rows = df
+    if skipped:
+        first = key_at(df, skipped + 1)
+        if first is None:
+            return df.limit(0)
+        rows = at_or_after(df, first)
     if limit <= top_k:
         return newest_first(rows, order).limit(limit)
     # A large page is cut at its last key as well, so that its rows are sorted by many tasks.

@@ -114,8 +114,8 @@ def window_rows(preset: str | None, rows_per_hour: int = ROWS_PER_HOUR, total: i
 
 def id_window(df: DataFrame, n: int) -> DataFrame:
     """Rows whose id is within ``n`` of the largest id: at most ``n`` rows, fewer where ids have gaps."""
-    newest = df.agg(F.max("id")).scalar()
-    return df.where(F.col("id") > newest - F.lit(n))
+    # The difference is taken inside the subquery, so that its result is a plain bound for the parquet filter.
+    return df.where(F.col("id") > df.agg(F.max("id") - F.lit(n)).scalar())
 
 
 def latest_n(df: DataFrame, n: int) -> DataFrame:

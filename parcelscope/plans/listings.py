@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import all_of, checked, contains_like, present, search_conditions, weight_above
-from ..operators.paging import BY_DATE, BY_ID, Page, newest_first, paginate
+from ..operators.paging import BY_DATE, BY_ID, Page, first_rows, paginate
 from ..operators.search import SEARCH_COLUMNS, matches_search, search_index, search_text
 from ..operators.windows import date_window, id_window, in_window, window_rows
 from ..schema import SHIPMENT_COLUMNS
@@ -61,7 +61,7 @@ def recent_shipments(
     rows = df
     if date_filter and date_filter.lower() != "total":
         rows = id_window(df, window_rows(date_filter, rows_per_hour))
-    return _plain(newest_first(rows.where(present(F.col("shipment_creation_date")))).limit(limit))
+    return _plain(first_rows(rows.where(present(F.col("shipment_creation_date"))), limit))
 
 
 def advanced_search(df: DataFrame, page: int = 1, limit: int = 20, **filters) -> Page:
@@ -71,7 +71,7 @@ def advanced_search(df: DataFrame, page: int = 1, limit: int = 20, **filters) ->
 
 def _newest_where(df: DataFrame, found: Column, date_filter: str | None, limit: int, as_of: date | None) -> DataFrame:
     rows = normalise(df).where(found & in_window(date_window(date_filter, as_of)))
-    return _plain(newest_first(rows, BY_DATE).limit(limit))
+    return _plain(first_rows(rows, limit, BY_DATE))
 
 
 def by_weight(

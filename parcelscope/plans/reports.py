@@ -123,10 +123,12 @@ def reference_types(df: DataFrame) -> DataFrame:
 
 def shipper_top_cities(df: DataFrame, phone_number: str, limit: int = 10) -> DataFrame:
     """Percentages are of all rows of the phone, also those without a city."""
-    rows = _of_shipper(df, phone_number)
-    named = rows.where(F.col("consignee_city").isNotNull())
-    counts = count_by(named, F.col("consignee_city").alias("City"), name="Shipments")
-    return with_share(most_first(counts, "Shipments", limit), grand_total(rows), "Shipments")
+    counts = count_by(_of_shipper(df, phone_number), F.col("consignee_city").alias("City"), name="Shipments")
+    # The whole is summed up from the same counts. The rows without a city are one group of them and are left out
+    # behind the limit: a filter in front of it would move below the counts, and the rows would be read twice.
+    whole = counts.agg(F.sum("Shipments")).scalar()
+    named = most_first(counts, "Shipments", limit + 1).where(F.col("City").isNotNull())
+    return with_share(most_first(named, "Shipments", limit), whole, "Shipments")
 
 
 def multi_box(df: DataFrame) -> DataFrame:

@@ -562,7 +562,7 @@ def o08(spark, sf):
     ),
 )
 def o08_deep(spark, sf):
-    """Behind the depth of a top-k: the keys at both ends are found by counting."""
+    """Behind the depth of a top-k: the key it begins with is found by counting."""
     rows = paging.page_rows(shipments(spark, sf), page=201, limit=50, order=paging.BY_DATE)
     return rows.select("id", "creation_ymd")
 

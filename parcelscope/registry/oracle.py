@@ -130,7 +130,8 @@ _TABLES = {
     "dashboard_widgets": f"""dashboard_widgets AS (
   SELECT p_partkey AS id, p_name AS widget_name, p_type AS description, 'number_card' AS widget_type,
     'SELECT count(*) AS shipments, sum(weight_kg) AS weight_kg FROM shipments '
-      || 'WHERE creation_date BETWEEN to_date(:start_date) AND to_date(:end_date)' AS sql_query,
+      || 'WHERE creation_month BETWEEN date_format(:start_date, ''yyyyMM'') AND date_format(:end_date, ''yyyyMM'') '
+      || 'AND creation_date BETWEEN to_date(:start_date) AND to_date(:end_date)' AS sql_query,
     'activity' AS icon, '#3B82F6' AS color,
     CASE p_partkey % 5 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' WHEN 2 THEN 'this_week' WHEN 3 THEN 'this_month'
       ELSE 'custom' END AS date_range,

@@ -162,7 +162,8 @@ def dashboard_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One widget per part."""
     sql = (
         "SELECT count(*) AS shipments, sum(weight_kg) AS weight_kg FROM shipments "
-        "WHERE creation_date BETWEEN to_date(:start_date) AND to_date(:end_date)"
+        "WHERE creation_month BETWEEN date_format(:start_date, 'yyyyMM') AND date_format(:end_date, 'yyyyMM') "
+        "AND creation_date BETWEEN to_date(:start_date) AND to_date(:end_date)"
     )
     return _read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
