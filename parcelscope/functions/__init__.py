@@ -15,7 +15,7 @@ from .dates import (
     to_dmy,
 )
 from .packing import pack_params, unpack_params
-from .text import clean_text, has_presentation_forms, tokens, valid_utf8
+from .text import clean_text, has_presentation_forms, spaced_words, tokens, valid_utf8
 
 __all__ = [
     "boxes_int",
@@ -35,6 +35,7 @@ __all__ = [
     "parse_amount",
     "phone_type",
     "reference_type",
+    "spaced_words",
     "to_dmy",
     "tokens",
     "unpack_params",

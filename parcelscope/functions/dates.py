@@ -16,10 +16,9 @@ _DMY = r"\d{2}-([A-Za-z]{3})-(\d{2})"
 
 def month_number(name: Column) -> Column:
     """``Jan`` -> ``01`` ... ``Dec`` -> ``12``; any other text, also in another case, is NULL."""
-    number = F.when(name == MONTHS[0], "01")
-    for at, month in enumerate(MONTHS[1:], start=2):
-        number = number.when(name == month, f"{at:02d}")
-    return number
+    # A lookup, because a chain of comparisons would compute ``name`` anew for each month.
+    numbers = [F.lit(part) for at, month in enumerate(MONTHS, start=1) for part in (month, f"{at:02d}")]
+    return F.try_element_at(F.create_map(*numbers), name)
 
 
 def is_dmy(text: Column) -> Column:

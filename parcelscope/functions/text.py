@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 # The bidirectional control marks that are removed.
 BIDI_MARKS = "\u200f\u200e\u202a\u202b\u202c\u202d\u202e"
 
-# White space at the ends, by Unicode; plain trim() removes only U+0020.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-_ENDS = rf"\A{_SPACE}|{_SPACE}\z"
+# White space, first that of ASCII, then the rest of Unicode; plain trim() removes only U+0020.
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+WIDE_SPACE = (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The Arabic presentation form blocks.
 _PRESENTATION_FORMS = r"[\uFB50-\uFDFF\uFE70-\uFEFF]"
@@ -25,15 +27,23 @@ def valid_utf8(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """NULL as '', white space cut off both ends, bidirectional marks and invalid bytes removed."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), _ENDS, "")
-    return valid_utf8(F.translate(shown, BIDI_MARKS, ""))
+    """NULL as '', invalid bytes removed, white space cut off both ends, bidirectional marks removed."""
+    valid = valid_utf8(F.coalesce(text, F.lit("")))
+    # Text without a multi-byte character holds no mark and no wide space, and most text is of that kind.
+    ascii_only = F.octet_length(valid) == F.char_length(valid)
+    wide = F.translate(F.btrim(valid, F.lit(ASCII_SPACE + WIDE_SPACE)), BIDI_MARKS, "")
+    return F.when(ascii_only, F.btrim(valid, F.lit(ASCII_SPACE))).otherwise(wide)
 
 
 def has_presentation_forms(text: Column) -> Column:
     return text.rlike(_PRESENTATION_FORMS)
 
 
+def spaced_words(text: Column) -> Column:
+    """The tokens of a text, each between blanks, so that a phrase is found by ``contains``."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _NOT_IN_WORDS, " "), F.lit(" "))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a text in order: runs of letters and digits, no stemming and no stop words."""
     return F.array_remove(F.split(F.lower(text), _NOT_IN_WORDS), "")

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import spaced_words, tokens
 
 SEARCH_COLUMNS = (
     "number_shipment",
@@ -78,9 +78,8 @@ def search_text(*columns: str) -> Column:
 def matches_search(text: Column, query: str) -> Column:
     """Whether a text satisfies a search; a search without any word matches nothing."""
     groups = parse_search(query)
-    padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    # Bound as the only element of an array, the words are split once per row and not once per term.
-    return F.exists(F.array(padded), lambda row: _either(groups, lambda words: row.contains(f" {' '.join(words)} ")))
+    # Bound as the only element of an array, the text is cut into words once per row and not once per term.
+    return F.exists(F.array(spaced_words(text)), lambda row: _either(groups, lambda words: row.contains(f" {' '.join(words)} ")))
 
 
 def build_index(df: DataFrame, *columns: str, key: str = "id") -> DataFrame:

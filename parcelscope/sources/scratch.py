@@ -23,7 +23,8 @@ def scratch_path(spark: SparkSession, name: str) -> str | None:
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             return None
         app = spark.sparkContext.applicationId
         root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="parcelscope-"))

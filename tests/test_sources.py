@@ -130,8 +130,9 @@ def test_scratch_is_the_folder_the_cluster_names():
     assert scratch.scratch_path(Session(), "x").startswith("hdfs://shared/dir/parcelscope/x-")
 
 
-def test_no_machine_local_folder_on_a_cluster():
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_no_machine_local_folder_on_a_cluster(master):
     class Session:
-        conf = Conf(spark_master="spark://host:7077")
+        conf = Conf(spark_master=master)
 
     assert scratch.scratch_path(Session(), "x") is None
