@@ -12,27 +12,37 @@ from pyspark.sql import functions as F
 from ..schema import TABLES, TableSpec
 from ..sources.tables import with_defaults
 
-_NUMBERING_BUCKETS = 1 << 16
+_NUMBERING_RANGES = 1 << 16
+_ROWS_PER_RANGE = 1_000_000
 
 
-def numbered(df: DataFrame, order: str, name: str, first: Column) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str, first: Column, rows_per_task: int = _ROWS_PER_RANGE) -> DataFrame:
     """Consecutive numbers from ``first`` in the order of a unique integer column.
 
-    Rows are counted per range of the column, the (at most 65,536) counts are summed up, and each range numbers its
-    own rows, so that no task sorts the whole table.
+    Rows are counted per range of the column and the counts are summed up; each range then numbers its own rows, so
+    that no task sorts the whole table. A range that holds many rows, because the values crowd there, is cut again
+    between its own smallest and largest value.
     """
+    at = F.col(order)
     low = df.agg(F.min(order)).scalar()
     span = df.agg(F.max(order) - F.min(order) + 1).scalar()
-    width = F.ceil(span / F.lit(_NUMBERING_BUCKETS)).cast("long")
-    ranged = df.withColumn("_range", F.floor((F.col(order) - low) / width).cast("long"))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    coarse = df.withColumn("_range", F.floor((at - low) / F.ceil(span / F.lit(_NUMBERING_RANGES))).cast("long"))
+    ranges = coarse.groupBy("_range").agg(
+        F.min(order).alias("_low"),
+        F.ceil((F.max(order) - F.min(order) + 1) / F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task))).alias("_width"),
+    )
+    # At most one row per coarse range, whatever the size of the table.
+    fine = coarse.join(F.broadcast(ranges), "_range").withColumn(
+        "_part", F.floor((at - F.col("_low")) / F.col("_width")).cast("long")
+    )
+    counts = fine.groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range", "_part").orderBy(order))
     return (
-        ranged.join(starts, "_range")
+        fine.join(starts, ["_range", "_part"])
         .withColumn(name, first + F.col("_before") + inside - 1)
-        .drop("_range", "_before")
+        .drop("_range", "_part", "_low", "_width", "_before")
     )
 
 

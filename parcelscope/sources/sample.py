@@ -37,6 +37,7 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = (
         _read(spark, sf_dir, "orders")
+        .repartition("o_orderkey")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(suppliers, F.col("s_suppkey") == F.col("sk"), "left")
         .join(origin, F.col("s_nationkey") == F.col("sn_key"), "left")

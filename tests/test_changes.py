@@ -150,6 +150,14 @@ def test_numbered_is_dense_over_sparse_order(spark):
     assert [(r["seq"], r["n"]) for r in rows] == [(s, 10 + at) for at, s in enumerate(seqs)]
 
 
+def test_numbered_cuts_a_crowded_range_again(spark):
+    # One far value makes a single coarse range of all the others.
+    seqs = [*range(0, 3000, 3), 10**17]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq long").repartition(4)
+    rows = M.numbered(df, "seq", "n", F.lit(1), rows_per_task=10).orderBy("seq").collect()
+    assert [(r["seq"], r["n"]) for r in rows] == [(s, at) for at, s in enumerate(seqs, start=1)]
+
+
 def test_usage_reorder_unique_cascade(spark):
     base = sample.saved_searches(spark, SF_DIR).where("id IN (1, 2)")
     events = spark.createDataFrame([(1, AT), (1, stamp(5)), (9, AT)], "id long, used_at timestamp_ntz")
