@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import clean_text
 
+# How the export writes. Spark would trim values unless told not to.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+}
+
 
 def export_csv(df: DataFrame, path: str) -> Observation:
     """Writes rows as UTF-8 CSV with a header line in every part, quotes doubled, NULL and '' both empty.
@@ -14,11 +25,21 @@ def export_csv(df: DataFrame, path: str) -> Observation:
     Each task writes its own part. Returns an observation whose ``records`` were counted during the write.
     """
     counted = Observation()
-    rows = df.observe(counted, F.count(F.lit(1)).alias("records"))
-    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows = df.select(*[_as_written(name, kind) for name, kind in df.dtypes])
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("records"))
+    rows.write.options(**CSV_OPTIONS).csv(path)
     return counted
 
 
+def _as_written(name: str, kind: str) -> Column:
+    column = F.col(f"`{name}`")
+    if kind == "boolean":
+        column = F.when(column, "True").when(~column, "False")
+    elif kind.startswith(("array", "map", "struct")):
+        column = F.to_json(column)
+    return column.alias(name)
+
+
 def export_summary(df: DataFrame, path: str) -> DataFrame:
     """Writes the rows and returns one row: format and number of records, from the write itself."""
     records = export_csv(df, path).get["records"]

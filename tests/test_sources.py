@@ -55,17 +55,26 @@ def test_a_large_month_is_written_by_many_tasks(spark, ships, tmp_path, monkeypa
 
 
 def test_csv_quotes_and_empty_values(spark, tmp_path):
-    rows = [("a", 'say "hi"', "x,y"), ("b", None, ""), ("c", "line\nbreak", "\\")]
+    rows = [("a", 'say "hi"', "x,y"), ("b", None, ""), ("c", "line\nbreak", "\\"), ("d", "  in  ", "\t")]
     path = str(tmp_path / "out")
     counted = export_csv(spark.createDataFrame(rows, "k string, q string, v string"), path)
-    assert counted.get["records"] == 3
+    assert counted.get["records"] == 4
     read = []
     for part in glob.glob(f"{path}/*.csv"):
         with open(part, newline="", encoding="utf-8") as file:
             header, *lines = list(csv.reader(file))
             assert header == ["k", "q", "v"]
             read += lines
-    assert sorted(read) == [["a", 'say "hi"', "x,y"], ["b", "", ""], ["c", "line\nbreak", "\\"]]
+    assert sorted(read) == [["a", 'say "hi"', "x,y"], ["b", "", ""], ["c", "line\nbreak", "\\"], ["d", "  in  ", "\t"]]
+
+
+def test_csv_values_that_are_no_text(spark, tmp_path):
+    path = str(tmp_path / "typed")
+    rows = spark.sql("SELECT true AS b, 1.5D AS d, 7 AS i, timestamp_ntz'2025-08-01 10:00:00' AS t, array(1, 2) AS a")
+    export_csv(rows, path)
+    (part,) = glob.glob(f"{path}/*.csv")
+    with open(part, newline="", encoding="utf-8") as file:
+        assert list(csv.reader(file))[1] == ["True", "1.5", "7", "2025-08-01 10:00:00", "[1,2]"]
 
 
 def test_tables_are_created_once_and_versions_switch(spark, tmp_path):
