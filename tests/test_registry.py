@@ -7,13 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from parcelscope.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,7 @@ def test_query_equals_oracle(spark, duck, key):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(driver.oracle_sql()) <= set(driver.queries()) and set(QUERIES) <= set(driver.queries())
 
 
 def test_entry(spark):
