@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .secret_scan import secret_scan
 from .sharding import byte_shards
@@ -74,3 +75,8 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_read(spark, sf_dir, "documents"))
