@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .html_text import extract_pages
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .secret_scan import secret_scan
 from .sharding import byte_shards
@@ -80,3 +81,8 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
