@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .html_text import extract_pages
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
+from .resampling import importance_resampling
 from .secret_scan import secret_scan
 from .sharding import byte_shards
+from .toxicity import ordinal_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
