@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .html_text import extract_pages
+from .masked_lm import pseudo_likelihood
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .resampling import importance_resampling
 from .secret_scan import secret_scan
@@ -98,3 +99,8 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_read(spark, sf_dir, "documents"))

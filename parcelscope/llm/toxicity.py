@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
-MAX_LABELLED = 8_000
+MAX_LABELLED = 20_000
 MAX_FEATURES = 256
 GRADES = (3, 6)
 MIN_DOCUMENTS = 5
-MIN_Z = 4.0
+MIN_Z = 3.5
 WORD = re.compile(r"[a-zß-öø-ɏ]+")
 
 
@@ -46,11 +46,16 @@ def labelled_words(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
         for batch in batches:
             counts = [Counter(words_of(text)) for text in batch["text"]]
             yield pd.DataFrame(
-                {"toxic": batch["toxic"], "words": [list(x) for x in counts], "counts": [list(x.values()) for x in counts]}
+                {
+                    "toxic": batch["toxic"],
+                    "n_words": [x.total() for x in counts],
+                    "words": [list(x) for x in counts],
+                    "counts": [list(x.values()) for x in counts],
+                }
             )
 
     joined = docs.join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    return stored(joined.mapInPandas(count, "toxic int, words array<string>, counts array<int>"), "labelled_words")
+    return stored(joined.mapInPandas(count, "toxic int, n_words long, words array<string>, counts array<int>"), "labelled_words")
 
 
 def select_words(counted: DataFrame, max_features: int) -> list[tuple[str, float]]:
@@ -69,10 +74,20 @@ def select_words(counted: DataFrame, max_features: int) -> list[tuple[str, float
 
 
 class OrdinalModel:
-    """Weights shared by all grades and ordered thresholds."""
+    """Weights shared by all grades and ordered thresholds. The last two are for the number and the share of all toxic words."""
 
-    def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray):
-        self.words, self.weights, self.thresholds = words, weights, thresholds
+    def __init__(self, selected: list[tuple[str, float]], weights: np.ndarray, thresholds: np.ndarray):
+        self.number = {word: at for at, (word, _) in enumerate(selected)}
+        self.evidence = {word for word, z in selected if z > 0}
+        self.weights, self.thresholds = weights, thresholds
+
+    def features(self, counts: dict[str, int], n_words: int) -> np.ndarray:
+        x = np.zeros(len(self.number) + 2)
+        for word, count in counts.items():
+            x[self.number[word]] = np.log1p(count)
+        hits = sum(count for word, count in counts.items() if word in self.evidence)
+        x[-2:] = np.log1p(hits), np.log1p(100 * hits / max(1, n_words))
+        return x
 
     def above(self, x: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and each k."""
@@ -84,8 +99,6 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, l2:
     n, d = x.shape
     params = np.concatenate([np.zeros(d), [0.0], np.zeros(grades - 2)])
     first, second = np.zeros_like(params), np.zeros_like(params)
-    share = np.bincount(y, minlength=grades) / n
-    weight = 1 / np.maximum(share[y] * np.count_nonzero(share), 1e-9)  # every grade counts alike
 
     def thresholds(p: np.ndarray) -> np.ndarray:
         return p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
@@ -97,7 +110,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, l2:
         at = np.arange(n)
         p = np.maximum(full[at, y] - full[at, y + 1], 1e-12)
         slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
-        scale = weight / p / n
+        scale = 1 / p / n
         by_score = (slope[at, y] - slope[at, y + 1]) * scale
         by_threshold = np.zeros((n, grades + 1))
         by_threshold[at, y] -= slope[at, y] * scale
@@ -122,35 +135,27 @@ def fit_toxicity(
     selected = select_words(counted, max_features)
     if not selected:
         return None
-    number = {word: at for at, (word, _) in enumerate(selected)}
-    evidence = {word for word, z in selected if z > 0}
-    wanted = F.array(*[F.lit(word) for word in number])
+    model = OrdinalModel(selected, np.zeros(len(selected) + 2), np.zeros(1 + len(grades)))
+    wanted = F.array(*[F.lit(word) for word in model.number])
     zipped = F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(wanted, x["words"]))
-    rows = counted.select("toxic", zipped.alias("found")).collect()  # at most max_labelled x max_features numbers
-    x, y = np.zeros((len(rows), len(number))), np.zeros(len(rows), int)
-    for at, row in enumerate(rows):
-        hits = 0
-        for word, count in row["found"]:
-            x[at, number[word]] = np.log1p(count)
-            hits += count if word in evidence else 0
-        y[at] = 0 if not row["toxic"] else 1 + sum(hits >= limit for limit in grades)
-    weights, thresholds = fit_ordinal(x, y, 2 + len(grades))
-    return OrdinalModel(list(number), weights, thresholds)
+    rows = counted.select("toxic", "n_words", zipped.alias("found")).collect()  # at most max_labelled x max_features numbers
+    x = np.array([model.features(dict(map(tuple, row["found"])), row["n_words"]) for row in rows])
+    hits = [sum(count for word, count in row["found"] if word in model.evidence) for row in rows]
+    y = np.array([0 if not row["toxic"] else 1 + sum(n >= limit for limit in grades) for row, n in zip(rows, hits)])
+    model.weights, model.thresholds = fit_ordinal(x, y, 2 + len(grades))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     id_type = docs.select(id_col).dtypes[0][1]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {word: at for at, word in enumerate(model.words)} if model else {}
         for batch in batches:
             severity, toxic = np.zeros(len(batch)), np.zeros(len(batch))
-            if model:
-                x = np.zeros((len(batch), len(number)))
-                for at, text in enumerate(batch["text"]):
-                    for word, count in Counter(w for w in words_of(text) if w in number).items():
-                        x[at, number[word]] = np.log1p(count)
-                above = model.above(x)
+            if model and len(batch):
+                words = [words_of(text) for text in batch["text"]]
+                found = [Counter(w for w in each if w in model.number) for each in words]
+                above = model.above(np.array([model.features(x, len(each)) for x, each in zip(found, words)]))
                 severity, toxic = above.sum(axis=1), above[:, 0]
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "severity": severity, "p_toxic": toxic, "toxic": toxic >= 0.5}
