@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .html_text import extract_pages
 from .masked_lm import pseudo_likelihood
+from .near_duplicates import near_duplicates
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .resampling import importance_resampling
 from .secret_scan import secret_scan
@@ -104,3 +105,33 @@ def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4)
+
+
+def near_duplicate_sql(table: str, shingle: int) -> str:
+    """Common table expressions up to ``component``: brute force over all pairs that share a shingle."""
+    window = " || ' ' || ".join(f"ws[p + {at}]" if at else "ws[p]" for at in range(shingle))
+    return rf"""
+nd_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {table}),
+nd_shingle AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, {window} AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {shingle - 2})) AS p FROM nd_words)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM nd_words WHERE len(ws) BETWEEN 1 AND {shingle - 1})),
+nd_size AS (SELECT doc_id, count(*) AS n FROM nd_shingle GROUP BY doc_id),
+nd_both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM nd_shingle a JOIN nd_shingle b
+  ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+nd_link AS (SELECT a, b FROM nd_both JOIN nd_size x ON a = x.doc_id JOIN nd_size y ON b = y.doc_id
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+nd_reach(doc_id, other) AS (SELECT DISTINCT a, a FROM nd_link UNION
+  SELECT r.doc_id, l.b FROM nd_reach r JOIN nd_link l ON r.other = l.a),
+nd_least AS (SELECT doc_id, min(other) AS least FROM nd_reach GROUP BY doc_id),
+nd_component AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+  FROM {table} d LEFT JOIN nd_size USING (doc_id) LEFT JOIN nd_least USING (doc_id))"""
+
+
+ORACLES["op10_near_duplicates"] = f"""WITH RECURSIVE {near_duplicate_sql("documents", 4)}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM nd_component"""
