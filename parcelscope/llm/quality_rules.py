@@ -73,23 +73,26 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: host, text, its words and lines, and the base counts with ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.col(host_col).alias("host"),
+        F.struct(*[F.col(name) for name in docs.columns]).alias("input_row"),
     )
     cut = _with_repeated_words(read.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(text)))
     bare = text
     for symbol in SYMBOLS:
         bare = F.replace(bare, F.lit(symbol), F.lit(""))
-    counted = cut.select(
-        "doc_id",
-        "host",
-        "text",
-        F.transform("lines", _normal).alias("lines_"),
+    counts = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(bare)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
+    # inline keeps the optimizer from writing the steps above out again in every filter on the counts
+    counted = cut.select(
+        "doc_id", "host", "text", "input_row", F.transform("lines", _normal).alias("lines_"), F.inline(F.array(counts))
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words")
     )
@@ -130,7 +133,7 @@ def quality_rules(
     text_col: str = "text",
     host_col: str = "source",
 ) -> DataFrame:
-    """Per document the base counts, the words on removed lines, ``kept`` and the cleaned text.
+    """Per document the base counts, the words on removed lines, ``kept``, the cleaned text and the row it came from.
 
     The removed lines are written once; Spark then broadcasts them if their file is below its broadcast limit, and
     else joins by host, where skewed hosts are split.
@@ -164,4 +167,5 @@ def quality_rules(
         kept.alias("kept"),
         "lost_words",
         clean.alias("clean_text"),
+        "input_row",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .decontamination import decontamination
 from .html_text import extract_pages
 from .masked_lm import pseudo_likelihood
 from .near_duplicates import near_duplicates
@@ -32,7 +33,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @_query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_read(spark, sf_dir, "documents")).drop("clean_text")
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("clean_text", "input_row")
 
 
 QUALITY_SQL = rf"""
@@ -135,3 +136,38 @@ nd_component AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
 
 ORACLES["op10_near_duplicates"] = f"""WITH RECURSIVE {near_duplicate_sql("documents", 4)}
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM nd_component"""
+
+
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def decontamination_sql(table: str) -> str:
+    """Common table expressions up to ``dc_best``: brute force over all windows that share a shingle with an item."""
+    shingle = " || ' ' || ".join(f"ws[p + {at}]" if at else "ws[p]" for at in range(5))
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    return rf"""
+dc_doc AS (SELECT doc_id, {words} AS ws FROM {table}),
+dc_item AS (SELECT item_id, {words} AS ws FROM benchmark),
+dc_ds AS (SELECT doc_id, n, p, {shingle} AS s
+  FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS p FROM dc_doc)),
+dc_is AS (SELECT item_id, n, {shingle} AS s
+  FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS p FROM dc_item)),
+dc_in AS (SELECT item_id, n, s, count(*) AS c FROM dc_is GROUP BY ALL),
+dc_window AS (SELECT DISTINCT doc_id, item_id, i.n AS size, least(i.n, d.n) AS len,
+    unnest(range(greatest(1, p - i.n + 5), least(p, greatest(1, d.n - i.n + 1)) + 1)) AS start
+  FROM dc_ds d JOIN dc_in i USING (s)),
+dc_count AS (SELECT w.doc_id, w.item_id, w.start, w.len, d.s, count(*) AS c
+  FROM dc_window w JOIN dc_ds d ON d.doc_id = w.doc_id AND d.p BETWEEN w.start AND w.start + w.len - 5 GROUP BY ALL),
+dc_shared AS (SELECT doc_id, item_id, start, len, sum(k.c) AS nw, sum(least(k.c, coalesce(i.c, 0))) AS shared
+  FROM dc_count k LEFT JOIN dc_in i USING (item_id, s) GROUP BY ALL),
+dc_size AS (SELECT item_id, sum(c) AS ni FROM dc_in GROUP BY item_id),
+dc_found AS (SELECT *, shared / (nw + ni - shared) AS similarity FROM dc_shared JOIN dc_size USING (item_id)
+  WHERE 100 * shared >= 80 * (nw + ni - shared)),
+dc_best AS (SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start - 1 AS BIGINT) AS start_word,
+    CAST(len AS BIGINT) AS n_words
+  FROM dc_found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1)"""
+
+
+ORACLES["op6_decontamination"] = f"WITH {decontamination_sql('documents')} SELECT * FROM dc_best"

@@ -26,7 +26,7 @@ from functools import lru_cache
 import pandas as pd
 import public_tokenizers
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -112,15 +112,24 @@ def redact(text: str, spans, mark: str = "<SECRET>") -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(text: Column, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> Column:
+    """The text with every span replaced by a mark; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None else redact(x, all_spans(x, vocabulary, max_ratio)[1]))
+
+    return run(text)
+
+
 def secret_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     vocabulary: str = VOCABULARY,
     max_ratio: float = MAX_RATIO,
-    with_text: bool = False,
 ) -> DataFrame:
-    """Per row the counts of base spans, all spans, and on demand the redacted text (null where nothing was found)."""
+    """Per row the counts of base spans and all spans."""
     id_type = docs.select(id_col).dtypes[0][1]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,20 +146,18 @@ def secret_scan(
                         hashlib.sha256(joined(base).encode()).hexdigest(),
                         joined(spans),
                         len(spans) - len(base),
-                        redact(text, spans) if with_text and spans else None,
                     )
                 )
-            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "redacted"]
+            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     schema = (
         f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
-        "n_random long, redacted string"
+        "n_random long"
     )
     # the id goes through Python as text, because pandas has no integers with nulls
     read = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     found = read.mapInPandas(scan, schema.replace(f"doc_id {id_type}", "doc_id string", 1))
-    found = found.withColumn("doc_id", F.col("doc_id").cast(id_type))
-    return found if with_text else found.drop("redacted")
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_type))
