@@ -46,6 +46,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _NAME_HINT = re.compile(r"(?i:passw|secret|token|api_?key)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+_TIME = re.compile(r"\d{4}-?\d\d-?\d\dT[\dZ+-]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 
@@ -58,7 +59,7 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 
 def is_known(run: str) -> bool:
     """Digests and identifiers, which are random or numeric but no secrets."""
-    if _UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
+    if _UUID.fullmatch(run) or _TIME.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
         return True
     parts = [part for part in re.split(r"[-_/+=]+", run) if part]
     return all(part.isalpha() or part.isdigit() for part in parts)

@@ -2,7 +2,7 @@
 
 Labels say whether a document is toxic. From a bounded sample of labelled documents (``max_labelled``, those with the
 smallest hash of their id) the words that tell the classes apart are selected (``max_features`` by z-score of the log
-odds of their document frequencies). A toxic document's grade counts the occurrences of toxic words: 1, from ``grades[0]``
+odds of their document frequencies, if those differ by ``MIN_ODDS``). A toxic document's grade counts the occurrences of toxic words: 1, from ``grades[0]``
 on 2, from ``grades[1]`` on 3; other documents have grade 0. The model has one weight per word, shared by all grades,
 and ordered thresholds: P(grade > k) = sigmoid(w.x - t_k) with x = log(1 + occurrences). Every document's whole text is
 scored; the expected severity is the sum of P(grade > k).
@@ -30,6 +30,7 @@ MAX_FEATURES = 256
 GRADES = (3, 6)
 MIN_DOCUMENTS = 5
 MIN_Z = 3.5
+MIN_ODDS = 2.0
 WORD = re.compile(r"[a-zß-öø-ɏ]+")
 
 
@@ -69,7 +70,8 @@ def select_words(counted: DataFrame, max_features: int) -> list[tuple[str, float
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (bad + 1.0 - a)) - F.log(b / (good + 1.0 - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    top = held.select("word", z.alias("z")).where(F.abs("z") >= MIN_Z)
+    top = held.select("word", z.alias("z"), odds.alias("odds"))
+    top = top.where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS))
     return [(x["word"], x["z"]) for x in top.orderBy(F.abs("z").desc(), "word").limit(max_features).collect()]
 
 
