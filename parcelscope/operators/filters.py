@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import boxes_int
 from .windows import created_from, created_to, date_window, in_window
 
-BUILT_QUERY_LIMIT = 1000
-
 # Parameter names of the advanced search, and the column each one looks into.
 SUBSTRING_PARAMS = {
     "shipment_number": "number_shipment",
@@ -102,7 +100,10 @@ def weight_between(low=None, high=None) -> list[Column]:
 
 
 def weight_above(low) -> Column:
-    return F.col("weight_kg") > number_or_none(low)
+    bound = number_or_none(low)
+    if bound is None:
+        raise ValueError(f"no number: {low!r}")
+    return F.col("weight_kg") > bound
 
 
 def cod_is(answer: str) -> Column | None:
@@ -152,16 +153,22 @@ def search_conditions(**params) -> list[Column]:
     return conditions
 
 
-def build_query(df: DataFrame, filters: dict | None = None, columns: Iterable[str] | None = None, as_of=None):
-    """Newest 1,000 rows that pass the filters of a stored report; keys it does not know are ignored."""
+def build_query(
+    df: DataFrame,
+    filters: dict | None = None,
+    columns: Iterable[str] | None = None,
+    as_of=None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Rows that pass the filters of a stored report, newest first; keys it does not know are ignored."""
     filters = {name: value for name, value in (filters or {}).items() if value}
     conditions = [in_window(date_window(filters.get("date_filter"), as_of))]
     conditions += [
         contains_like(F.col(name), str(filters[name])) for name in BUILT_QUERY_SUBSTRINGS if name in filters
     ]
     conditions += weight_between(filters.get("min_weight"), filters.get("max_weight"))
-    rows = df.where(all_of(conditions)).orderBy(F.desc("id")).limit(BUILT_QUERY_LIMIT)
-    return project(rows, columns)
+    rows = df.where(all_of(conditions)).orderBy(F.desc("id"))
+    return project(rows if limit is None else rows.limit(limit), columns)
 
 
 def active(df: DataFrame) -> DataFrame:

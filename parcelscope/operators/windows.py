@@ -16,12 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import OTHER_MONTH
 from .ranks import nth_newest_id
 
-# Days that a preset reaches back, and hours of arrivals it stands for in an id window.
+# Days that a preset reaches back.
 DAYS_BACK = {"today": 0, "week": 7, "month": 30, "year": 365}
-HOURS = {"today": 24, "week": 168, "month": 720, "year": 8640}
-ROWS_PER_HOUR = 1000
-TOTAL_ROWS = 100_000
-CUSTOM_TOTAL_ROWS = 1_000_000
 
 
 class DateWindow(NamedTuple):
@@ -105,13 +101,6 @@ def _as_day(value: date | str) -> date:
     return date_parser.parse(value).date() if isinstance(value, str) else value
 
 
-def window_rows(preset: str | None, rows_per_hour: int = ROWS_PER_HOUR, total: int = TOTAL_ROWS) -> int:
-    """Rows that stand for a preset; ``total`` rows when there is no preset, a month for an unknown one."""
-    if _is_total(preset):
-        return total
-    return HOURS.get(preset.lower(), HOURS["month"]) * rows_per_hour
-
-
 def id_window(df: DataFrame, n: int) -> DataFrame:
     """Rows whose id is within ``n`` of the largest id: at most ``n`` rows, fewer where ids have gaps."""
     # The difference is taken inside the subquery, so that its result is a plain bound for the parquet filter.

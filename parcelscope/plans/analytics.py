@@ -1,7 +1,4 @@
-"""Top lists, averages and totals.
-
-``mode`` is ``recent_ids`` (the newest rows by id stand for a preset) or ``date`` (rows created inside the window).
-"""
+"""Top lists, averages and totals over the rows created inside a window; without a window, over all rows."""
 
 from __future__ import annotations
 
@@ -10,59 +7,35 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import has_digit, is_dmy
+from ..functions import has_digit
 from ..operators.aggregates import average_of, completeness, count_by, customer_stats, most_first, sample_groups, total
 from ..operators.filters import present
-from ..operators.windows import (
-    CUSTOM_TOTAL_ROWS,
-    ROWS_PER_HOUR,
-    TOTAL_ROWS,
-    date_window,
-    id_window,
-    in_window,
-    latest_n,
-    window_rows,
-)
+from ..operators.windows import date_window, in_window
 from ..sources import normalise
 
-RECENT_IDS = "recent_ids"
-BY_DATE = "date"
+CITY = "consignee_city"
 
 
 def _scope(
-    df: DataFrame,
-    kept: Column,
-    mode: str,
-    date_filter: str | None,
-    as_of: date | None,
-    start: str | None,
-    end: str | None,
-    rows_per_hour: int,
-    total_rows: int,
+    df: DataFrame, date_filter: str | None, as_of: date | None, start: str | None, end: str | None
 ) -> DataFrame:
-    """The kept rows of a window: by creation date, by id, or the newest of all kept rows without a preset."""
-    if mode == BY_DATE:
-        return normalise(df).where(kept & in_window(date_window(date_filter, as_of, start, end)))
-    if mode != RECENT_IDS:
-        raise ValueError(f"no such mode: {mode}")
-    if not date_filter or date_filter.lower() == "total":
-        return latest_n(df.where(kept), total_rows)
-    return id_window(df, window_rows(date_filter, rows_per_hour)).where(kept)
+    window = date_window(date_filter, as_of, start, end)
+    return df if window is None else normalise(df).where(in_window(window))
+
+
+def _has_city() -> Column:
+    return present(F.col(CITY), null_words=("NULL",))
 
 
 def top_customers(
     df: DataFrame,
     limit: int = 10,
     date_filter: str | None = None,
-    mode: str = RECENT_IDS,
     as_of: date | None = None,
     start: str | None = None,
     end: str | None = None,
-    rows_per_hour: int = ROWS_PER_HOUR,
-    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
-    kept = present(F.col("shipper_name"))
-    rows = _scope(df, kept, mode, date_filter, as_of, start, end, rows_per_hour, total_rows)
+    rows = _scope(df, date_filter, as_of, start, end).where(present(F.col("shipper_name")))
     return most_first(customer_stats(rows), limit=limit)
 
 
@@ -77,52 +50,36 @@ def by_city(
 def average_weight(
     df: DataFrame,
     date_filter: str | None = None,
-    mode: str = RECENT_IDS,
     as_of: date | None = None,
     start: str | None = None,
     end: str | None = None,
-    rows_per_hour: int = ROWS_PER_HOUR,
-    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Average of the parsed weights beside the number of rows whose weight text holds a digit."""
-    kept = has_digit(F.col("shipment_weight"))
-    rows = _scope(normalise(df), kept, mode, date_filter, as_of, start, end, rows_per_hour, total_rows)
+    rows = _scope(normalise(df), date_filter, as_of, start, end).where(has_digit(F.col("shipment_weight")))
     return average_of(rows, "weight_kg", "average_weight", "total_shipments")
 
 
 def total_shipments(
     df: DataFrame,
     date_filter: str | None = "month",
-    mode: str = RECENT_IDS,
     as_of: date | None = None,
     start: str | None = None,
     end: str | None = None,
-    rows_per_hour: int = ROWS_PER_HOUR,
-    custom_rows: int = CUSTOM_TOTAL_ROWS,
 ) -> DataFrame:
-    """All rows for ``total``; else the well-formed dates among the newest rows, or the rows of a date window."""
-    if date_filter and date_filter.lower() == "total":
-        return total(df)
-    if mode == BY_DATE:
-        return total(normalise(df).where(in_window(date_window(date_filter, as_of, start, end))))
-    newest = custom_rows if start and end else window_rows(date_filter or "month", rows_per_hour)
-    return total(latest_n(df, newest).where(is_dmy(F.col("shipment_creation_date"))))
+    """Rows of a window, or all rows for ``total``; custom bounds come first."""
+    return total(_scope(df, date_filter, as_of, start, end))
 
 
 def top_cities(
     df: DataFrame,
     limit: int = 10,
     date_filter: str | None = "month",
-    mode: str = RECENT_IDS,
     as_of: date | None = None,
     start: str | None = None,
     end: str | None = None,
-    rows_per_hour: int = ROWS_PER_HOUR,
-    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
-    kept = present(F.col("consignee_city"), null_words=("NULL",))
-    rows = _scope(df, kept, mode, date_filter, as_of, start, end, rows_per_hour, total_rows)
-    return most_first(count_by(rows, F.col("consignee_city").alias("city")), limit=limit)
+    rows = _scope(df, date_filter, as_of, start, end).where(_has_city())
+    return most_first(count_by(rows, F.col(CITY).alias("city")), limit=limit)
 
 
 def customer_sample(df: DataFrame) -> DataFrame:
@@ -143,16 +100,33 @@ def city_completeness(df: DataFrame) -> DataFrame:
 
 
 def analytics_summary(
-    df: DataFrame, date_filter: str | None = "month", mode: str = RECENT_IDS, cities: int = 5, **scope
+    df: DataFrame,
+    date_filter: str | None = "month",
+    cities: int = 5,
+    as_of: date | None = None,
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
-    """One row: total, average weight and the top cities as an array, all over the same window."""
-    top = top_cities(df, cities, date_filter, mode, **scope)
+    """One row: total, average weight and the top cities as an array, all from one count per city over one window."""
+    rows = _scope(normalise(df), date_filter, as_of, start, end)
+    weight = F.when(has_digit(F.col("shipment_weight")), F.col("weight_kg"))
+    per_city = rows.groupBy(F.col(CITY)).agg(
+        F.count(F.lit(1)).alias("shipment_count"), F.sum(weight).alias("kg"), F.count(weight).alias("weighed")
+    )
+    facts = per_city.agg(
+        F.coalesce(F.sum("shipment_count"), F.lit(0)).alias("total_shipments"),
+        F.round(F.sum("kg").cast("double") / F.sum("weighed"), 6).alias("average_weight"),
+    )
+    top = most_first(per_city.where(_has_city()).select(F.col(CITY).alias("city"), "shipment_count"), limit=cities)
     # At most ``cities`` rows come together here.
-    listed = top.agg(F.sort_array(F.collect_list(F.struct("shipment_count", "city")), asc=False).alias("top_cities"))
-    counted = total_shipments(df, date_filter, mode, **scope)
-    weighed = average_weight(df, date_filter, mode, **scope).select("average_weight")
-    return listed.select(
-        counted.scalar().alias("total_shipments"), weighed.scalar().alias("average_weight"), "top_cities"
+    listed = F.transform(
+        F.sort_array(F.collect_list(F.struct((-F.col("shipment_count")).alias("order"), "city"))),
+        lambda x: F.struct((-x["order"]).alias("shipment_count"), x["city"].alias("city")),
+    )
+    return top.agg(listed.alias("top_cities")).select(
+        facts.select("total_shipments").scalar().alias("total_shipments"),
+        facts.select("average_weight").scalar().alias("average_weight"),
+        "top_cities",
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import all_of, checked, contains_like, present, search_conditions, weight_above
 from ..operators.paging import BY_DATE, BY_ID, Page, first_rows, paginate
 from ..operators.search import SEARCH_COLUMNS, matches_search, search_index, search_text
-from ..operators.windows import date_window, id_window, in_window, window_rows
+from ..operators.windows import date_window, in_window
 from ..schema import SHIPMENT_COLUMNS
 from ..sources import normalise
 
@@ -55,12 +55,11 @@ def filter_shipments(
 
 
 def recent_shipments(
-    df: DataFrame, limit: int = 20, date_filter: str | None = None, rows_per_hour: int = 1000
+    df: DataFrame, limit: int = 20, date_filter: str | None = None, as_of: date | None = None
 ) -> DataFrame:
-    """Newest rows that have a creation date, within the id window of a preset when one is given."""
-    rows = df
-    if date_filter and date_filter.lower() != "total":
-        rows = id_window(df, window_rows(date_filter, rows_per_hour))
+    """Newest rows that have a creation date, within the window of a preset when one is given."""
+    window = date_window(date_filter, as_of)
+    rows = df if window is None else normalise(df).where(in_window(window))
     return _plain(first_rows(rows.where(present(F.col("shipment_creation_date"))), limit))
 
 

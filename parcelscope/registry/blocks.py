@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import paging
-from ..operators.ranks import key_at_rank, nth_newest_id
 from ..operators.windows import (
     DAYS_BACK,
-    HOURS,
     calendar_range,
     date_window,
     id_window,
     in_window,
     latest_n,
-    window_rows,
 )
 from ..plans import stored
 from ..sources import sample
@@ -90,38 +87,12 @@ def d04(spark, sf):
 
 @register("d05_id_window", over_shipments("SELECT id, creation_ymd FROM ship WHERE id > (SELECT max(id) - 24000 FROM ship)"))
 def d05(spark, sf):
-    return id_window(shipments(spark, sf), window_rows("today")).select("id", "creation_ymd")
+    return id_window(shipments(spark, sf), 24_000).select("id", "creation_ymd")
 
 
 @register("d06_latest_n", over_shipments("SELECT id, creation_ymd FROM ship ORDER BY id DESC LIMIT 2400"))
 def d06(spark, sf):
-    return latest_n(shipments(spark, sf), window_rows("today", rows_per_hour=100)).select("id", "creation_ymd")
-
-
-@register(
-    "d07_window_rows",
-    over_shipments(
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS preset, {size}::BIGINT AS size, count(*)::BIGINT AS rows FROM ship "
-            f"WHERE id > (SELECT max(id) - {size} FROM ship)"
-            for name, size in (
-                ("today", 24000),
-                ("week", 168000),
-                ("month", 720000),
-                ("year", 8640000),
-                ("fortnight", 720000),
-                ("total", 100000),
-            )
-        )
-    ),
-)
-def d07(spark, sf):
-    sizes = {name: window_rows(name) for name in (*HOURS, "fortnight", "total")}
-    rows = shipments(spark, sf)
-    newest = rows.agg(F.max("id")).scalar()
-    counts = _count_each(rows, {name: F.col("id") > newest - F.lit(size) for name, size in sizes.items()})
-    size_of = F.create_map(*[F.lit(part) for item in sizes.items() for part in item])
-    return counts.select("preset", size_of[F.col("preset")].cast("long").alias("size"), "rows")
+    return latest_n(shipments(spark, sf), 2_400).select("id", "creation_ymd")
 
 
 @register(
@@ -294,7 +265,7 @@ _where(
     over_shipments(
         f"""SELECT id, shipper_city, consignee_city, shipment_weight FROM ship WHERE creation_ymd >= '20240801'
         AND creation_ymd <= '20250801' AND shipper_city LIKE '%NATION_1%' AND weight_kg >= 0.3 AND weight_kg <= 25
-        ORDER BY id DESC LIMIT 1000"""
+        """
     ),
 )
 def f15(spark, sf):
@@ -586,24 +557,6 @@ def o08_info(spark, sf):
     return paging.page_info(shipments(spark, sf), page=3, limit=50)
 
 
-@register(
-    "o08_key_at_rank",
-    over_shipments(
-        """SELECT rank, creation_ymd, id FROM (
-          SELECT row_number() OVER (ORDER BY creation_ymd DESC NULLS FIRST, id DESC)::BIGINT AS rank, creation_ymd, id
-          FROM ship) WHERE rank IN (1, 100, 400, 1000)
-        UNION ALL SELECT rank, 'by id', id FROM (
-          SELECT row_number() OVER (ORDER BY id DESC)::BIGINT AS rank, id FROM ship) WHERE rank IN (1, 100, 400, 1000)"""
-    ),
-)
-def o08_key(spark, sf):
-    rows = shipments(spark, sf)
-    ranks = (1, 100, 400, 1000)
-    found = [(rank, *key_at_rank(rows, rank)) for rank in ranks]
-    found += [(rank, "by id", nth_newest_id(rows, rank)) for rank in ranks]
-    return spark.createDataFrame(found, "rank long, creation_ymd string, id long")
-
-
 @register(
     "o09_sample_groups",
     over_shipments(

@@ -96,13 +96,13 @@ def recent(spark, sf):
 @register(
     "recent_shipments_today",
     _rows(
-        "id > (SELECT max(id) - 24000 FROM ship) AND shipment_creation_date <> ''",
+        "creation_ymd = '20250801' AND shipment_creation_date <> ''",
         "id DESC",
         2000,
     ),
 )
 def recent_today(spark, sf):
-    return S.recent_shipments(shipments(spark, sf), limit=2000, date_filter="today")
+    return S.recent_shipments(shipments(spark, sf), limit=2000, date_filter="today", as_of=AS_OF)
 
 
 @register("by_weight", _rows("weight_kg > 0", BY_DATE, 50))
@@ -237,8 +237,6 @@ def token_counts(spark, sf):
 _NAMED = "shipper_name IS NOT NULL AND shipper_name <> ''"
 _CITY = "consignee_city IS NOT NULL AND consignee_city <> '' AND consignee_city <> 'NULL'"
 _DIGIT = "regexp_matches(shipment_weight, '[0-9]')"
-_DMY = "shipment_creation_date LIKE '__-___-__'"
-_LATEST = "(SELECT * FROM ship WHERE {where} ORDER BY id DESC LIMIT {n})"
 
 
 def _customers(source: str, where: str = "true") -> str:
@@ -263,28 +261,14 @@ def _weight(source: str, where: str = "true") -> str:
     )
 
 
-def _window(rows: int) -> str:
-    return f"id > (SELECT max(id) - {rows} FROM ship)"
-
-
-@register("top_customers", _customers(_LATEST.format(where=_NAMED, n=100000)))
+@register("top_customers", _customers("ship", _NAMED))
 def top_customers(spark, sf):
     return G.top_customers(shipments(spark, sf))
 
 
-@register("top_customers_recent_ids", _customers("ship", f"{_NAMED} AND {_window(2400)}"))
-def top_customers_recent_ids(spark, sf):
-    return G.top_customers(shipments(spark, sf), date_filter="today", rows_per_hour=100)
-
-
-@register("top_customers_latest_rows", _customers(_LATEST.format(where=_NAMED, n=5000)))
-def top_customers_latest_rows(spark, sf):
-    return G.top_customers(shipments(spark, sf), total_rows=5000)
-
-
 @register("top_customers_by_date", _customers("ship", f"{_NAMED} AND {IN_YEAR}"))
 def top_customers_by_date(spark, sf):
-    return G.top_customers(shipments(spark, sf), date_filter="year", mode=G.BY_DATE, as_of=AS_OF)
+    return G.top_customers(shipments(spark, sf), date_filter="year", as_of=AS_OF)
 
 
 @register("by_city", _cities("ship", IN_MONTH, 20))
@@ -297,33 +281,23 @@ def by_city_total(spark, sf):
     return G.by_city(shipments(spark, sf), "total", limit=30)
 
 
-@register("average_weight", _weight(_LATEST.format(where=_DIGIT, n=100000)))
+@register("average_weight", _weight("ship", _DIGIT))
 def average_weight(spark, sf):
     return G.average_weight(shipments(spark, sf))
 
 
-@register("average_weight_recent_ids", _weight("ship", f"{_DIGIT} AND {_window(24000)}"))
-def average_weight_recent_ids(spark, sf):
-    return G.average_weight(shipments(spark, sf), "today")
-
-
 @register("average_weight_by_date", _weight("ship", f"{_DIGIT} AND {IN_MONTH}"))
 def average_weight_by_date(spark, sf):
-    return G.average_weight(shipments(spark, sf), "month", mode=G.BY_DATE, as_of=AS_OF)
+    return G.average_weight(shipments(spark, sf), "month", as_of=AS_OF)
 
 
 def _total(source: str, where: str) -> str:
     return over_shipments(f"SELECT count(*)::BIGINT AS total FROM {source} WHERE {where}")
 
 
-@register("total_shipments", _total(_LATEST.format(where="true", n=720000), _DMY))
+@register("total_shipments", _total("ship", IN_MONTH))
 def total_shipments(spark, sf):
-    return G.total_shipments(shipments(spark, sf))
-
-
-@register("total_shipments_recent_rows", _total(_LATEST.format(where="true", n=2400), _DMY))
-def total_shipments_recent_rows(spark, sf):
-    return G.total_shipments(shipments(spark, sf), "today", rows_per_hour=100)
+    return G.total_shipments(shipments(spark, sf), as_of=AS_OF)
 
 
 @register("total_shipments_all", _total("ship", "true"))
@@ -331,29 +305,24 @@ def total_shipments_all(spark, sf):
     return G.total_shipments(shipments(spark, sf), "total")
 
 
-@register("total_shipments_custom_rows", _total(_LATEST.format(where="true", n=1000000), _DMY))
-def total_shipments_custom_rows(spark, sf):
-    return G.total_shipments(shipments(spark, sf), start="2024-01-01", end="2024-12-31")
-
-
 @register("total_shipments_by_date", _total("ship", "creation_ymd >= '20240101' AND creation_ymd <= '20241231'"))
 def total_shipments_by_date(spark, sf):
-    return G.total_shipments(shipments(spark, sf), mode=G.BY_DATE, start="2024-01-01", end="2024-12-31")
+    return G.total_shipments(shipments(spark, sf), start="2024-01-01", end="2024-12-31")
 
 
-@register("top_cities", _cities("ship", f"{_CITY} AND {_window(720000)}", 10))
+@register("top_cities", _cities("ship", f"{_CITY} AND {IN_WEEK}", 10))
 def top_cities(spark, sf):
-    return G.top_cities(shipments(spark, sf))
+    return G.top_cities(shipments(spark, sf), date_filter="week", as_of=AS_OF)
 
 
-@register("top_cities_total", _cities(_LATEST.format(where=_CITY, n=100000), "true", 10))
+@register("top_cities_total", _cities("ship", _CITY, 10))
 def top_cities_total(spark, sf):
     return G.top_cities(shipments(spark, sf), date_filter="total")
 
 
 @register("top_cities_by_date", _cities("ship", f"{_CITY} AND {IN_MONTH}", 10))
 def top_cities_by_date(spark, sf):
-    return G.top_cities(shipments(spark, sf), mode=G.BY_DATE, as_of=AS_OF)
+    return G.top_cities(shipments(spark, sf), as_of=AS_OF)
 
 
 @register(
@@ -390,19 +359,15 @@ def _summary(total: str, weight: str, cities: str) -> str:
 
 @register(
     "analytics_summary",
-    _summary(
-        f"{_DMY} AND id >= (SELECT min(id) FROM (SELECT id FROM ship ORDER BY id DESC LIMIT 720000))",
-        f"{_DIGIT} AND {_window(720000)}",
-        f"{_CITY} AND {_window(720000)}",
-    ),
+    _summary(IN_MONTH, f"{_DIGIT} AND {IN_MONTH}", f"{_CITY} AND {IN_MONTH}"),
 )
 def analytics_summary(spark, sf):
-    return G.analytics_summary_flat(shipments(spark, sf))
+    return G.analytics_summary_flat(shipments(spark, sf), as_of=AS_OF)
 
 
 @register("analytics_summary_by_date", _summary(IN_YEAR, f"{_DIGIT} AND {IN_YEAR}", f"{_CITY} AND {IN_YEAR}"))
 def analytics_summary_by_date(spark, sf):
-    return G.analytics_summary_flat(shipments(spark, sf), date_filter="year", mode=G.BY_DATE, as_of=AS_OF)
+    return G.analytics_summary_flat(shipments(spark, sf), date_filter="year", as_of=AS_OF)
 
 
 _PHONE = "shipper_phone LIKE '%800%'"

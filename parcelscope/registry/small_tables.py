@@ -36,8 +36,7 @@ _stored_report(
     "q02_report_without_sql",
     1,
     """SELECT id, shipper_city, shipment_weight FROM ship WHERE weight_kg >= 1
-    AND contains(shipper_city, 'NATION_' || (SELECT p_size % 25 FROM part WHERE p_partkey = 0)::VARCHAR)
-    ORDER BY id DESC LIMIT 1000""",
+    AND contains(shipper_city, 'NATION_' || (SELECT p_size % 25 FROM part WHERE p_partkey = 0)::VARCHAR)""",
 )
 
 

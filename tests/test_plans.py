@@ -36,7 +36,7 @@ def test_recent_is_newest_first(ships):
 
 def test_raw_and_stored_rows_give_the_same(spark, ships):
     raw = sample.raw_shipments(spark, SF_DIR)
-    options = {"date_filter": "year", "mode": analytics.BY_DATE, "as_of": date(2025, 8, 1)}
+    options = {"date_filter": "year", "as_of": date(2025, 8, 1)}
     assert analytics.top_cities(raw, **options).collect() == analytics.top_cities(ships, **options).collect()
 
 
@@ -46,7 +46,6 @@ def test_required_values(ships):
         lambda: listings.by_shipper(ships, ""),
         lambda: listings.by_consignee(ships, ""),
         lambda: listings.search_shipments(ships, "  "),
-        lambda: analytics.top_cities(ships, mode="other"),
     ):
         with pytest.raises(ValueError):
             call()
@@ -107,7 +106,7 @@ def test_widget_with_text_dates(spark, ships):
 
 
 def test_summary_is_one_row(ships):
-    summary = analytics.analytics_summary(ships)
+    summary = analytics.analytics_summary(ships, "total")
     row = summary.first()
     assert summary.count() == 1 and len(row["top_cities"]) == 5
     counts = [city["shipment_count"] for city in row["top_cities"]]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelscope.operators import filters as P
-from parcelscope.operators.windows import calendar_range, date_window, id_window, latest_n, window_rows
+from parcelscope.operators.windows import calendar_range, date_window, id_window, latest_n
 
 AS_OF = date(2025, 8, 1)
 
@@ -40,10 +40,9 @@ def test_calendar_range():
     assert calendar_range("decade", AS_OF) == (AS_OF, AS_OF)
 
 
-def test_window_rows():
-    sizes = [window_rows(p) for p in ("today", "week", "Month", "year", "quarter", "total", None)]
-    assert sizes == [24_000, 168_000, 720_000, 8_640_000, 720_000, 100_000, 100_000]
-    assert window_rows("today", rows_per_hour=100) == 2_400
+def test_a_bound_that_is_no_number_is_refused():
+    with pytest.raises(ValueError, match="no number"):
+        P.weight_above("heavy")
 
 
 def test_id_window_keeps_at_most_n(ships):
