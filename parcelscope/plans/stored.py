@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,45 +17,89 @@ from ..sources import normalise, with_classes
 
 VIEW = "shipments"
 SELECT_START = r"^(?i:\s*(SELECT|WITH)\b)"
-_DOUBLE_QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
-
+_TOKEN = re.compile(r"""--[^\n]*|/\*|'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|[^'"`/-]+|.""", re.DOTALL)
+_PARAMETER = re.compile(r"\{([A-Za-z_]\w*)\}")
+_MARKER = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")
+# Functions that call any Java method.
+_REFUSED = re.compile(r"(?i)`?\b(?:try_reflect|reflect|java_method)`?\s*\(")
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+_CTE = re.compile(r"^[\s:+-]*'?CTE \[([^\]]*)\]", re.MULTILINE)
+
+
+def _tokens(text: str) -> list[str]:
+    """Literals, quoted names, and what is between them; comments are left out."""
+    tokens = [token for token in _TOKEN.findall(text) if not token.startswith("--")]
+    if "/*" in tokens:
+        raise ValueError("comments in brackets are not allowed")
+    if any("\\'" in token for token in tokens if token.startswith("'")):
+        raise ValueError("write a quote in a literal twice")
+    return tokens
+
+
+def to_markers(text: str, args: dict | None = None) -> str:
+    """Values are bound, never pasted: ``'%{name}%'`` -> ``concat('%', :name, '%')``, and a bare ``{name}`` -> ``:name``.
+
+    Only inside a quoted name, which cannot be bound, the value itself is put in, without its quotes. ``"Name"``
+    becomes an identifier.
+    """
+    args = args or {}
 
-def to_markers(text: str) -> str:
-    """``'%{name}%'`` inside a quoted literal -> ``concat('%', :name, '%')``, so that values are bound, not pasted."""
+    def in_name(found: re.Match) -> str:
+        return re.sub(r'[`"]', "", str(args[found[1]])) if found[1] in args else found[0]
 
-    def bound(literal: re.Match) -> str:
-        parts = re.split(r"\{([A-Za-z_]\w*)\}", literal.group(1))
+    def bound(token: str) -> str:
+        parts = _PARAMETER.split(token[1:-1])
         if len(parts) == 1:
-            return literal.group(0)
+            return token
         pieces = [f":{part}" if at % 2 else f"'{part}'" for at, part in enumerate(parts) if part]
         return pieces[0] if len(pieces) == 1 else f"concat({', '.join(pieces)})"
 
-    return re.sub(r"'((?:[^']|'')*)'", bound, text)
+    done = []
+    for token in _tokens(text):
+        if token[0] == "'" and len(token) > 1:
+            done.append(bound(token))
+        elif token[0] in '"`' and len(token) > 1:
+            name = token[1:-1].replace('""', '"') if token[0] == '"' else token[1:-1].replace("``", "`")
+            done.append("`" + _PARAMETER.sub(in_name, name).replace("`", "``") + "`")
+        else:
+            done.append(_PARAMETER.sub(r":\1", token))
+    return "".join(done)
+
 
+def check_select(spark: SparkSession, text: str, views: Iterable[str] = (VIEW,)) -> str:
+    """The text without a closing semicolon, if it is one query over the given views; else it is refused before it runs.
 
-def check_select(spark: SparkSession, text: str, args: dict | None = None) -> str:
-    """The text without a closing semicolon, if it is one query; anything else is refused before it can run."""
+    What it reads is taken from its parsed plan, in which neither literals nor markers stand any more.
+    """
     query = text.strip().rstrip(";").rstrip()
     if not re.match(SELECT_START, query):
         raise ValueError("only SELECT queries are allowed")
-    # A command is no subquery, so this fails to parse for WITH ... INSERT and the like.
-    spark.sql(f"SELECT * FROM (\n{query}\n) LIMIT 0", args=args or {})
+    bare = "".join("''" if token[0] == "'" and len(token) > 1 else _MARKER.sub("NULL", token) for token in _tokens(query))
+    if _REFUSED.search(bare):
+        raise ValueError("calls of Java methods are not allowed")
+    # A command is no subquery, so WITH ... INSERT and the like don't parse here.
+    explained = spark.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{bare}\n)").first()[0]
+    parsed = explained.partition("== Analyzed Logical Plan ==")[0]
+    own = {name.strip() for found in _CTE.findall(parsed) for name in found.split(",")}
+    for name in _RELATION.findall(parsed):
+        if name not in own and name.lower() not in {view.lower() for view in views}:
+            raise ValueError(f"no such view: {name}")
     return query
 
 
 def run_sql(spark: SparkSession, shipments: DataFrame, text: str, **args) -> DataFrame:
-    """Runs stored SQL over shipments with its parameters bound. ``"Name"`` in it is an identifier."""
-    with_classes(shipments).createOrReplaceTempView(VIEW)
-    text = to_markers(text)
-    for name, value in args.items():
-        # What is left in braces stands in a column name.
-        text = text.replace(f"{{{name}}}", re.sub(r'[`"]', "", str(value)))
-    before = spark.conf.get(_DOUBLE_QUOTED, "false")
-    spark.conf.set(_DOUBLE_QUOTED, "true")
+    """Runs stored SQL over shipments with its parameters bound. ``"Name"`` in it is an identifier.
+
+    The rows are read by a view with a name of its own, which is gone when the plan is made, so calls don't disturb
+    one another.
+    """
+    query = check_select(spark, to_markers(text, args))
+    view = f"{VIEW}_{uuid.uuid4().hex}"
+    with_classes(shipments).createOrReplaceTempView(view)
     try:
-        return spark.sql(check_select(spark, text, args), args=args)
+        return spark.sql(f"WITH {VIEW} AS (SELECT * FROM {view}) SELECT * FROM (\n{query}\n)", args=args)
     finally:
-        spark.conf.set(_DOUBLE_QUOTED, before)
+        spark.catalog.dropTempView(view)
 
 
 def _row(table: DataFrame, id_: int, what: str):

@@ -72,10 +72,18 @@ _stored_widget("q03_widget_custom", 4, "2025-06-01", "2025-06-30")
     ),
 )
 def q04(spark, sf):
-    """Each stored text once, with whether it may run; the texts are few, as every report shares one."""
-    reports = sample.custom_reports(spark, sf)
-    runs = F.col("sql_query").rlike(stored.SELECT_START)
-    return reports.groupBy("sql_query").agg(F.count(F.lit(1)).alias("reports")).withColumn("runs", runs)
+    """Each stored text once, with whether the guard lets it run; the texts are few, as every report shares one."""
+
+    def runs(text: str) -> bool:
+        try:
+            return bool(stored.check_select(spark, stored.to_markers(text)))
+        except ValueError:
+            return False
+
+    counts = sample.custom_reports(spark, sf).groupBy("sql_query").agg(F.count(F.lit(1)).alias("reports"))
+    texts = [row["sql_query"] for row in sample.custom_reports(spark, sf).select("sql_query").distinct().collect()]
+    allowed = [text for text in texts if runs(text)]
+    return counts.withColumn("runs", F.col("sql_query").isin(allowed))
 
 
 @register(

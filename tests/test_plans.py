@@ -69,6 +69,19 @@ def test_values_are_bound_not_pasted(spark, ships):
     text = """SELECT count(*) AS "All Rows" FROM shipments WHERE consignee_city = '{city}'"""
     found = stored.run_sql(spark, ships, text, city="x' OR '1' = '1")
     assert found.columns == ["All Rows"] and found.first()[0] == 0
+    bare = "SELECT count(*) AS n FROM shipments WHERE consignee_city = {city}"
+    assert stored.run_sql(spark, ships, bare, city="'x' OR 1=1").first()[0] == 0
+    named = stored.run_sql(spark, ships, 'SELECT count(*) AS "Rows of {city}" FROM shipments', city='a"`b')
+    assert named.columns == ["Rows of ab"]
+
+
+def test_own_names_and_no_traces(spark, ships):
+    before = {table.name for table in spark.catalog.listTables()}
+    text = "WITH a AS (SELECT id FROM shipments), b AS (SELECT * FROM a) SELECT count(*) AS n FROM b -- it's all"
+    first = stored.run_sql(spark, ships.where("id < 100"), text)
+    second = stored.run_sql(spark, ships, text)
+    assert (first.first()["n"], second.first()["n"]) == (33, 1500)
+    assert {table.name for table in spark.catalog.listTables()} == before
 
 
 @pytest.mark.parametrize(
@@ -79,6 +92,14 @@ def test_values_are_bound_not_pasted(spark, ships):
         "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
         "SELECT 1; DROP VIEW shipments",
         "",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT `java_method`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT count(*) FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+        "SELECT (SELECT count(*) FROM other) FROM shipments",
+        "SELECT 'CTE [other]' FROM other",
+        "SELECT '\nCTE [other]' FROM other",
+        "SELECT 1 /* ' */ FROM other",
+        "SELECT '\\' FROM other WHERE 'x' = ''",
     ],
 )
 def test_only_queries_run(spark, ships, text):
