@@ -4,15 +4,16 @@ A document is the set of its distinct word shingles. Documents with equal sets f
 each class takes part. ``TREES`` random trees branch the classes: a node selects ``BRANCHES`` of ``COORDINATES``
 minwise hash functions, and a document goes to the child of each that stands for its own minwise token. Nodes of up to
 ``NODE`` documents are compared exhaustively on their full sets; larger ones branch again. At similarity 0.8 one tree
-finds a pair with probability 0.94, all five together with 0.999999.
+finds a pair with probability 0.94, all four together with 0.99998.
 
 Nodes that hold the same documents are compared once, and after the first tree only nodes whose documents aren't all in
 one component yet. Within a node a document is compared with all others unless it is in the node's largest component
 already, since links inside a component change nothing. So what a node gives is a spanning forest, never all pairs.
 
-A node that is still too large after ``LEVELS`` levels holds documents that are all alike. It is dealt into blocks,
-and blocks are compared inside. Documents outside the node's largest component after that are compared with every block.
-So no pair of a node is left out unless both are already known to be connected.
+Large nodes of the first tree are dealt into blocks that are compared inside, which connects most of a large group. After that
+the documents of a large node that are outside its largest component are compared with all its blocks if they are at most
+``NODE``, and else the node branches on; after ``LEVELS`` levels they are compared however many they are. So no pair
+of a node is left out unless both are already known to be connected.
 
 Defined results: a text without words has the empty set, links with nothing and is kept. A null id links with nothing,
 has a null component and is kept. Rows with equal ids are one document with one text, and all of them have its result. Only the named columns are read.
@@ -34,9 +35,9 @@ from .texts import GOLDEN, WordHashes, mixed, shingles, split_words
 
 SHINGLE = 5
 PERCENT = 80
-TREES = 5
+TREES = 4
 BRANCHES = 2
-FIRST_LEVELS = 2
+FIRST_LEVELS = 3
 LEVELS = 5
 COORDINATES = 64
 NODE = 500
@@ -91,7 +92,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def branch(members: DataFrame, levels: int) -> DataFrame:
-    """Children (node, rep, n_shingles) of members (node, rep, n_shingles, tokens), ``levels`` further down."""
+    """Children (node, rep, n_shingles, first) of members, which have tokens too, ``levels`` further down."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,42 +114,33 @@ def branch(members: DataFrame, levels: int) -> DataFrame:
                     "node": nodes.view(np.int64),
                     "rep": batch["rep"].to_numpy()[rows],
                     "n_shingles": batch["n_shingles"].to_numpy()[rows],
+                    "first": batch["first"].to_numpy()[rows],
                 }
             )
 
     id_type = dict(members.dtypes)["rep"]
-    schema = f"node long, rep {id_type}, n_shingles long"
-    return members.select("node", "rep", "n_shingles", "tokens").mapInPandas(run, schema)
-
-
-def tree_nodes(classes: DataFrame, trees: list[int], node: int) -> tuple[DataFrame, DataFrame]:
-    """Members (node, rep) of the small nodes of some trees, and of those that stay large."""
-    roots = F.explode(F.array(*[F.lit(tree).cast("long") for tree in trees]))
-    rows = stored(branch(classes.withColumn("node", roots), FIRST_LEVELS), "branches")
-    small, level = [], FIRST_LEVELS
-    while True:
-        counts = rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("n_shingles").alias("shingles"),
-            F.bit_xor(F.xxhash64("rep")).alias("same"),
-            F.min("rep").alias("low"),
-        )
-        # of nodes with the same members one is enough
-        counts = counts.where("n > 1").groupBy("n", "shingles", "same", "low").agg(F.min("node").alias("node"))
-        is_small = (F.col("n") == 2) | (F.col("n") <= node) & (F.col("shingles") <= NODE_SHINGLES)
-        counts = stored(counts.select("node", is_small.alias("small"), "n"), "node_sizes")
-        members = rows.join(counts, "node")
-        small.append(members.where("small").select("node", "rep"))
-        large = members.where("NOT small")
-        level += 1
-        if level > LEVELS or counts.where("NOT small").isEmpty():
-            break
-        with_tokens = large.select("node", "rep").join(classes.select("rep", "n_shingles", "tokens"), "rep")
-        rows = stored(branch(with_tokens, 1), "branches")
-    all_small = small[0]
-    for more in small[1:]:
-        all_small = all_small.unionByName(more)
-    return all_small, large.select("node", "rep", "n")
+    schema = f"node long, rep {id_type}, n_shingles int, first boolean"
+    return members.select("node", "rep", "n_shingles", "first", "tokens").mapInPandas(run, schema)
+
+
+def shared_nodes(rows: DataFrame, node: int, known: DataFrame | None = None) -> DataFrame:
+    """Members of nodes with two documents or more, of nodes with the same members once; with ``known`` components only
+    of nodes that hold more than one. ``blocks`` tells into how many parts a node must be dealt to be compared."""
+    held = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    members = _labelled(rows.join(held, "node"), known)
+    sizes = members.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("n_shingles").alias("shingles"),
+        F.bit_xor(F.xxhash64("rep")).alias("same"),
+        F.min("rep").alias("low"),
+        F.max("first").alias("first"),
+        (F.min("label") != F.max("label")).alias("mixed"),
+    )
+    sizes = sizes.where("mixed").groupBy("n", "shingles", "same", "low")
+    sizes = sizes.agg(F.min_by("node", F.struct(~F.col("first"), F.col("node"))).alias("node"), F.max("first").alias("first"))
+    blocks = F.greatest(F.ceil(F.col("n") / node), F.ceil(F.col("shingles") / NODE_SHINGLES)).cast("int")
+    sizes = sizes.select("node", "first", "n", F.when(F.col("n") == 2, 1).otherwise(blocks).alias("blocks"))
+    return stored(members.drop("first").join(sizes, "node"), "shared_nodes")
 
 
 def linked(sets: list[np.ndarray], label: list, must: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -205,12 +197,6 @@ def _labelled(members: DataFrame, known: DataFrame | None) -> DataFrame:
     return joined.withColumn("label", F.coalesce("component", "rep")).drop("component")
 
 
-def _mixed_only(members: DataFrame) -> DataFrame:
-    """Members of nodes with more than one label."""
-    labels = members.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return members.join(labels.where("low <> high").select("node"), "node")
-
-
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -226,33 +212,37 @@ def near_duplicates(
     sets = sketches(read, shingle)
     known_sets = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known_sets.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n_shingles"), F.first("tokens").alias("tokens")
     )
     classes = stored(classes, "classes")
-    texts = None
-    links, known = None, None
-    for some in ([0], list(range(1, trees))):
-        small, large = tree_nodes(classes, some, node)
-        small, large = stored(small, "small_nodes"), stored(large, "large_nodes")
-        small = _mixed_only(_labelled(small, known)) if known is not None else _labelled(small, None)
-        needed = small.select("rep").unionByName(large.select("rep")).distinct()
-        # the text of a class's document; equal ids have equal texts or the first by text
-        found = read.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        texts = stored(found.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")), "node_texts")
-        small = small.withColumn("must", F.lit(True)).join(texts, "rep")
-        new = [compare(small, ["node"], shingle, percent, id_type)]
-        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / node))
-        blocks = _labelled(large.withColumn("block", block), known)
-        inside = blocks.withColumn("must", F.lit(True)).join(texts, "rep")
-        new.append(compare(inside, ["node", "block"], shingle, percent, id_type))
-        more = stored(new[0].unionByName(new[1]), "links")
-        links = more if links is None else links.unionByName(more)
-        known = stored(components(links), "components")
-        across = _across_blocks(_mixed_only(_labelled(large, known)), node).join(texts, "rep")
-        more = stored(compare(across, ["node", "block", "part"], shingle, percent, id_type), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            known = stored(components(links), "components")
+    roots = F.explode(F.array(*[F.lit(tree).cast("long") for tree in range(trees)]))
+    rows = branch(classes.withColumn("node", roots).withColumn("first", F.col("node") == 0), FIRST_LEVELS)
+    members = shared_nodes(stored(rows, "branches"), node)
+    # the texts of all documents that share a node, fetched once
+    needed = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = read.join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    texts = stored(texts, "node_texts")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return compare(rows.join(texts, "rep"), ["node", "block", "part"], shingle, percent, id_type)
+
+    links = stored(compared(_in_blocks(members.where("first"))), "links")
+    known = stored(components(links), "components")
+    rows = members.where("NOT first OR blocks > 1").select("node", "rep", "n_shingles", "first")
+    for level in range(FIRST_LEVELS, LEVELS + 1):
+        members = _with_main(shared_nodes(rows, node, known))
+        # few documents outside the largest component: compared with all others; a small node is compared whole
+        small, few = F.col("blocks") == 1, F.col("others") <= node
+        if level == LEVELS:
+            few = F.lit(True)
+        new = compared(_in_blocks(members.where(small))).unionByName(compared(_across_blocks(members.where(~small & few), node)))
+        links = stored(links.unionByName(new), "links")
+        large = members.where(~small & ~few).select("node", "rep", "first")
+        if level == LEVELS or large.isEmpty():
+            break
+        rows = branch(large.join(classes.select("rep", "n_shingles", "tokens"), "rep"), 1)
+        rows = stored(rows, "branches")
+    known = stored(components(links), "components")
     final = classes.select("k1", "k2", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     joined = sets.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2"], "left")
@@ -266,18 +256,28 @@ def near_duplicates(
     )
 
 
-def _across_blocks(large: DataFrame, node: int) -> DataFrame:
-    """Members of large nodes dealt so that documents outside the largest component meet all blocks."""
-    per_label = large.groupBy("node", "n", "label").agg(F.count(F.lit(1)).alias("held"))
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of nodes dealt into blocks; a small node is one block."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return members.select("node", block.alias("block"), F.lit(0).alias("part"), "rep", "label", F.lit(True).alias("must"))
+
+
+def _with_main(members: DataFrame) -> DataFrame:
+    """Adds the node's largest component and the number of documents outside it."""
+    per_label = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("held"))
     main = per_label.groupBy("node").agg(
-        F.max_by("label", F.struct("held", "label")).alias("main"), (F.first("n") - F.max("held")).alias("others")
+        F.max_by("label", F.struct("held", "label")).alias("main"), (F.sum("held") - F.max("held")).alias("others")
     )
-    placed = large.join(main, "node")
-    placed = placed.withColumn("must", F.col("label") != F.col("main"))
-    blocks, parts = F.ceil(F.col("n") / node).cast("int"), F.ceil(F.col("others") / node).cast("int")
-    block, part = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.pmod(F.xxhash64("rep"), parts).cast("int")
+    return members.join(main, "node")
+
+
+def _across_blocks(members: DataFrame, node: int) -> DataFrame:
+    """Members of large nodes dealt so that documents outside the largest component meet all blocks."""
+    placed = members.withColumn("must", F.col("label") != F.col("main"))
+    parts = F.ceil(F.col("others") / node).cast("int")
+    block, part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), parts).cast("int")
     as_member = placed.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    as_other = placed.where("must").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    # in a block a document counts as outside the main component only where its own part meets the block
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    as_other = placed.where("must").withColumn("part", part).withColumn("block", every)
     as_member = as_member.withColumn("must", F.lit(False))
     return as_other.unionByName(as_member).select("node", "block", "part", "rep", "label", "must")
