@@ -21,9 +21,14 @@ _NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def valid_utf8(text: Column) -> Column:
-    """Text without the bytes that are no valid UTF-8."""
-    repaired = F.regexp_replace(F.make_valid_utf8(text), "\ufffd", "")
-    return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
+    """Text without the bytes that are no valid UTF-8.
+
+    The repair puts U+FFFD where bytes are broken. One that was there before is written in another way meanwhile.
+    """
+    kept = F.replace(F.replace(text, F.lit("\ufdd0"), F.lit("\ufdd0a")), F.lit("\ufffd"), F.lit("\ufdd0b"))
+    repaired = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    back = F.replace(F.replace(repaired, F.lit("\ufdd0b"), F.lit("\ufffd")), F.lit("\ufdd0a"), F.lit("\ufdd0"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
 
 
 def clean_text(text: Column) -> Column:

@@ -6,12 +6,16 @@ set_active), a key and the new values. The merged table is a new DataFrame; publ
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, TableSpec
 from ..sources.tables import with_defaults
 
+# Fixed value: how a stored query begins.
+SELECT_START = r"^(?i:\s*(SELECT|WITH)\b)"
 _NUMBERING_RANGES = 1 << 16
 _ROWS_PER_RANGE = 1_000_000
 
@@ -80,7 +84,7 @@ def fold_changes(changes: DataFrame, name: str, key: str = "id") -> DataFrame:
 
 
 def apply_changes(
-    base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | None = None
+    base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | Column | None = None
 ) -> DataFrame:
     """The table after a batch, as if its changes were applied in order.
 
@@ -106,22 +110,22 @@ def apply_changes(
 
 
 def new_rows(
-    base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | None = None
+    base: DataFrame, changes: DataFrame, name: str, key: str = "id", first_id: int | Column | None = None
 ) -> DataFrame:
     """Inserted rows with defaults, keys after the largest one, and for widgets positions after the last one."""
     return _filled(_numbered_inserts(base, changes, key, first_id), base, name, key, first_id)
 
 
-def _first_key(base: DataFrame, key: str, first_id: int | None) -> Column:
+def _first_key(base: DataFrame, key: str, first_id: int | Column | None) -> Column:
     return F.coalesce(base.agg(F.max(key)).scalar(), F.lit(0)) + 1 if first_id is None else F.lit(first_id)
 
 
-def _numbered_inserts(base: DataFrame, changes: DataFrame, key: str, first_id: int | None) -> DataFrame:
+def _numbered_inserts(base: DataFrame, changes: DataFrame, key: str, first_id: int | Column | None) -> DataFrame:
     inserts = changes.where(F.col("op") == "insert").drop(key)
     return numbered(inserts, "seq", key, _first_key(base, key, first_id))
 
 
-def _filled(rows: DataFrame, base: DataFrame, name: str, key: str, first_id: int | None) -> DataFrame:
+def _filled(rows: DataFrame, base: DataFrame, name: str, key: str, first_id: int | Column | None) -> DataFrame:
     if "position" in TABLES[name].schema.fieldNames():
         nth = F.col(key) - _first_key(base, key, first_id)
         rows = rows.withColumn("position", F.coalesce(base.agg(F.max("position")).scalar(), F.lit(-1)) + 1 + nth)
@@ -161,3 +165,61 @@ def check_unique(df: DataFrame, *keys: str) -> DataFrame:
     """Key values that occur more than once, with their number of rows; empty when the keys are unique."""
     counts = df.groupBy(*(keys or ("report_name", "user_id"))).agg(F.count(F.lit(1)).alias("rows"))
     return counts.where(F.col("rows") > 1)
+
+
+class Merge(NamedTuple):
+    """A table after a batch, the changes that were refused, and the largest key ever given out (one row)."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    last_id: DataFrame
+
+
+def rejected_changes(base: DataFrame, changes: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """``(seq, reason)`` of changes that may not be merged.
+
+    Stored SQL must begin like a query; a widget can't do without. The name of a report is unique per user: of the
+    changes that bring a name the first wins, and a name of a row that is neither deleted nor renamed by the batch is taken.
+    """
+    refused = []
+    fields = set(TABLES[name].schema.fieldNames()) & set(changes.columns)
+    writes = changes.where(F.col("op").isin("insert", "update", "patch"))
+    if "sql_query" in fields:
+        text = F.col("sql_query")
+        bad = ~F.coalesce(text, F.lit("")).rlike(SELECT_START)
+        absent = text.isNull() & (F.col("op") == "patch")
+        allowed = absent if name == "dashboard_widgets" else text.isNull() | (text == "")
+        refused.append(writes.where(bad & ~allowed).select("seq", F.lit("only SELECT queries are allowed").alias("reason")))
+    if "report_name" in fields:
+        user = F.coalesce(F.col("user_id"), F.lit("default_user")) if "user_id" in fields else F.lit("default_user")
+        given = writes.where(F.col("report_name").isNotNull()).select("seq", "op", key, "report_name", user.alias("user_id"))
+        first = given.groupBy("report_name", "user_id").agg(F.min_by(F.struct("op", key), "seq").alias("first"), F.min("seq").alias("at"))
+        later = given.join(first, ["report_name", "user_id"])
+        # the same row may be given its name again
+        again = F.col(key).eqNullSafe(F.col(f"first.{key}")) & (F.col("op") != "insert")
+        doubled = later.where((F.col("seq") > F.col("at")) & ~again)
+        gone = changes.where(F.col("op").isin("delete", "update")).select(F.col(key).alias("_gone"))
+        stays = base.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+        stays = stays.select("report_name", "user_id", F.col(key).alias("_holder"))
+        taken = given.join(stays, ["report_name", "user_id"]).where((F.col("op") == "insert") | (F.col(key) != F.col("_holder")))
+        names = doubled.select("seq").unionByName(taken.select("seq")).distinct()
+        refused.append(names.select("seq", F.lit("name is taken").alias("reason")))
+    none = changes.where(F.lit(False)).select("seq", F.lit("").alias("reason"))
+    for part in refused:
+        none = none.unionByName(part)
+    return none.groupBy("seq").agg(F.min("reason").alias("reason"))
+
+
+def merge_batch(base: DataFrame, changes: DataFrame, name: str, last_id: int | None = None, key: str = "id") -> Merge:
+    """``apply_changes`` with the rules of the table. Keep ``last_id`` with the table and pass it to the next batch.
+
+    Keys come after the largest one ever given out, so that of a deleted row doesn't come again.
+    """
+    rejected = rejected_changes(base, changes, name, key)
+    accepted = changes.join(rejected, "seq", "left_anti")
+    newest = base.agg(F.max(key)).scalar()
+    mark = F.greatest(F.coalesce(newest, F.lit(0)), F.lit(last_id or 0))
+    inserts = accepted.where(F.col("op") == "insert")
+    first_id = None if last_id is None else base.sparkSession.range(1).select(mark + 1).scalar()
+    rows = apply_changes(base, accepted, name, key, first_id)
+    return Merge(rows, rejected, inserts.agg((mark + F.count(F.lit(1))).alias("last_id")))

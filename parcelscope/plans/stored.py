@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import unpack_params
+from ..operators.changes import SELECT_START
 from ..operators.filters import active, build_query
 from ..operators.windows import calendar_range
 from ..sources import normalise, with_classes
 
 VIEW = "shipments"
-SELECT_START = r"^(?i:\s*(SELECT|WITH)\b)"
 _TOKEN = re.compile(r"""--[^\n]*|/\*|'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|[^'"`/-]+|.""", re.DOTALL)
 _PARAMETER = re.compile(r"\{([A-Za-z_]\w*)\}")
 _MARKER = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")

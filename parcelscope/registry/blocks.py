@@ -298,7 +298,8 @@ _where(
     over_tables(
         "custom_reports scheduled_reports",
         """SELECT s.*, r.report_name AS report_title, r.description AS report_description
-        FROM scheduled_reports s JOIN custom_reports r ON s.report_id = r.id WHERE s.is_active""",
+        FROM scheduled_reports s JOIN custom_reports r ON s.report_id = r.id WHERE s.is_active
+        ORDER BY s.next_run_at NULLS LAST, s.created_at DESC NULLS FIRST, s.id""",
     ),
 )
 def j01(spark, sf):

@@ -64,7 +64,7 @@ _EXPORTED = [name for name in SHIPMENT_COLUMNS if name not in ("id", "created_at
 )
 def x01(spark, sf):
     """Written and read back."""
-    path = _scratch(spark, "export")
+    path = scratch_path(spark, "export")
     export_csv(shipments(spark, sf).select("id", *_EXPORTED), path)
     read = spark.read.option("header", True).option("escape", '"').schema(
         ", ".join(f"{name} string" for name in ("id", *_EXPORTED))
@@ -74,14 +74,7 @@ def x01(spark, sf):
 
 @register("r05_export_summary", over_shipments("SELECT 'csv' AS format, count(*)::BIGINT AS records FROM ship"))
 def r05(spark, sf):
-    return export_summary(shipments(spark, sf).select(*_EXPORTED), _scratch(spark, "summary"))
-
-
-def _scratch(spark, name: str) -> str:
-    path = scratch_path(spark, name)
-    if path is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return path
+    return export_summary(shipments(spark, sf).select(*_EXPORTED), scratch_path(spark, "summary"))
 
 
 _SMALL = ("saved_searches", "custom_reports", "scheduled_reports", "dashboard_widgets")
@@ -99,7 +92,7 @@ _SMALL = ("saved_searches", "custom_reports", "scheduled_reports", "dashboard_wi
 )
 def r06(spark, sf):
     """Created in the catalog, published as a new version and scanned."""
-    path = _scratch(spark, "tables")
+    path = scratch_path(spark, "tables")
     database = f"small_{path[-12:]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/db'")
     ensure_tables(spark, path, database)
@@ -115,7 +108,10 @@ def r06(spark, sf):
     first, *rest = parts
     for part in rest:
         first = first.unionByName(part)
-    return first
+    # The few result rows are written, so that the database can go again.
+    first.write.parquet(f"{path}/result")
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.read.parquet(f"{path}/result")
 
 
 @register(
@@ -292,11 +288,11 @@ def n15(spark, sf):
     return documents.select("doc_id", N.has_presentation_forms(F.col("text")).alias("shaped"))
 
 
-@register("n16_valid_utf8", "SELECT doc_id, text FROM documents")
+@register("n16_valid_utf8", "SELECT doc_id, 'a' || chr(65533) || chr(64976) || text AS text FROM documents")
 def n16(spark, sf):
-    """Two bytes that are no valid UTF-8 are put in front of every text, and must be dropped again."""
+    """Two bytes that are no valid UTF-8 are put in front of every text and dropped again, a genuine U+FFFD is not."""
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    broken = F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("text", "UTF-8")).cast("string")
+    broken = F.concat(F.lit(bytearray(b"\xffa\xef\xbf\xbd\xfe\xef\xb7\x90")), F.encode("text", "UTF-8")).cast("string")
     return documents.select("doc_id", N.valid_utf8(broken).alias("text"))
 
 

@@ -170,9 +170,9 @@ def _documents_index(spark, sf):
 
 
 def _index(spark, name: str, inputs: list[str], index, key: str):
-    """Stored postings; computed anew by each search where there is no shared folder."""
+    """Stored postings."""
     path = write_once(spark, name, inputs, lambda to, tasks: search.write_index(index, to, tasks, key))
-    return index if path is None else spark.read.schema(index.schema).parquet(path)
+    return spark.read.schema(index.schema).parquet(path)
 
 
 _searched(
@@ -378,7 +378,8 @@ _YY = r"nullif(regexp_extract(shipment_creation_date, '\d{2}-[A-Za-z]{3}-(\d{2})
 def _monthly(name: str, where: str) -> str:
     return over_shipments(
         f"""SELECT {month_case('mon')} || '-20' || yy AS "Month", n AS "{name}" FROM (
-        SELECT {_MON} AS mon, {_YY} AS yy, count(*)::BIGINT AS n FROM ship WHERE {where} GROUP BY 1, 2)"""
+        SELECT {_MON} AS mon, {_YY} AS yy, count(*)::BIGINT AS n FROM ship WHERE {where} GROUP BY 1, 2)
+        ORDER BY "Month" DESC NULLS FIRST, "{name}" DESC"""
     )
 
 
@@ -466,7 +467,8 @@ _report(
 _report(
     "daily_volume_by_date",
     over_shipments(
-        f"""SELECT creation_ymd AS "Date", count(*)::BIGINT AS "Shipments" FROM ship WHERE {IN_MONTH} GROUP BY 1"""
+        f"""SELECT creation_ymd AS "Date", count(*)::BIGINT AS "Shipments" FROM ship WHERE {IN_MONTH} GROUP BY 1
+        ORDER BY 1 DESC"""
     ),
     T.daily_volume_by_date,
     as_of=AS_OF,
@@ -570,38 +572,3 @@ _report(
     T.shipper_summary_by_date,
     phone_number="800",
 )
-
-
-def _templates() -> str:
-    reads = {
-        "monthly_shipments_by_phone": "shipper_phone LIKE '%9516163600%'",
-        "shipments_by_sal_pattern": "regexp_matches(shipment_reference_number, '^SAL[0-9]+$')",
-        "top_20_destination_cities": "consignee_city IS NOT NULL",
-        "top_15_active_shippers": "shipment_creation_date >= '01-Oct-25'",
-        "shipment_distribution_by_weight": "shipment_weight IS NOT NULL",
-        "daily_shipment_volume": r"regexp_matches(shipment_creation_date, '\d{2}-[A-Za-z]{3}-25$')",
-        "shipper_performance_cities": "shipper_phone LIKE '%9516163600%'",
-        "city_to_city_routes": "shipper_city IS NOT NULL AND consignee_city IS NOT NULL",
-        "specific_shipper_top_cities": "shipper_phone LIKE '%920033385%' AND consignee_city IS NOT NULL",
-        "multi_box_shipments_analysis": "number_of_shipment_boxes IS NOT NULL",
-        "shipments_by_specific_city": "consignee_city = 'Riyadh'",
-        "comprehensive_shipper_summary": "shipper_phone LIKE '%920024673%'",
-    }
-
-    def quoted(text: str) -> str:
-        return "'" + text.replace("'", "''") + "'"
-
-    return over_shipments(
-        " UNION ALL ".join(
-            f"SELECT {quoted(r.id)} AS id, {quoted(r.report_name)} AS report_name, {quoted(r.description)} AS "
-            f"description, {quoted(r.report_type)} AS report_type, {quoted(', '.join(r.columns))} AS columns, "
-            f"{quoted(r.chart[0])} AS chart_type, count(*) FILTER (WHERE {reads.get(r.id, 'true')})::BIGINT AS "
-            "rows_read FROM ship"
-            for r in T.CATALOGUE
-        )
-    )
-
-
-@register("templates", _templates())
-def templates(spark, sf):
-    return T.templates(shipments(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as M
 from ..plans import stored
-from ..sources import sample
+from ..sources import sample, scratch_path
 from ..sources.sample import shipments
 from .base import AS_OF, register
 from .oracle import over_shipments, over_tables
@@ -130,6 +130,29 @@ def m01(spark, sf):
     return M.apply_changes(sample.custom_reports(spark, sf), inserts, "custom_reports")
 
 
+@register(
+    "m01_ids_are_not_reused",
+    over_tables(
+        "changes saved_searches search_changes",
+        """SELECT * FROM saved_searches WHERE id <> (SELECT max(id) FROM saved_searches) UNION ALL
+        SELECT (SELECT max(id) FROM saved_searches) + row_number() OVER (ORDER BY seq) AS id, title,
+        coalesce(description, ''), filters, changed_at, changed_at, 0, 'default_user'
+        FROM search_changes WHERE op = 'insert'""",
+    ),
+)
+def m01_ids(spark, sf):
+    """Two batches: the first deletes the newest row, the second inserts."""
+    base, changes = sample.saved_searches(spark, sf), sample.search_changes(spark, sf)
+    newest = base.agg(F.max("id").alias("id")).withColumn("op", F.lit("delete")).withColumn("seq", F.lit(0).cast("long"))
+    deletes = changes.limit(0).unionByName(newest, allowMissingColumns=True)
+    first = M.merge_batch(base, deletes, "saved_searches", 0)
+    last = first.last_id.first()["last_id"]
+    # Each version is published before the next batch.
+    path = scratch_path(spark, "saved_searches")
+    first.rows.write.parquet(path)
+    return M.merge_batch(spark.read.schema(base.schema).parquet(path), _of(changes, "insert"), "saved_searches", last).rows
+
+
 @register("m02_update", over_tables("custom_reports changes report_changes", _UPDATED_REPORTS))
 def m02(spark, sf):
     updates = _of(sample.report_changes(spark, sf), "update")
@@ -248,7 +271,7 @@ def m09(spark, sf):
     return M.cascade(sample.scheduled_reports(spark, sf), "report_id", deleted)
 
 
-@register("m10_reports", over_tables("custom_reports", "SELECT * FROM custom_reports"))
+@register("m10_reports", over_tables("custom_reports", "SELECT * FROM custom_reports ORDER BY created_at DESC NULLS FIRST, id"))
 def m10_reports(spark, sf):
     return stored.list_reports(sample.custom_reports(spark, sf))
 
@@ -258,12 +281,12 @@ def m10_report(spark, sf):
     return stored.get_report(sample.custom_reports(spark, sf), 7)
 
 
-@register("m10_searches", over_tables("saved_searches", "SELECT * FROM saved_searches"))
+@register("m10_searches", over_tables("saved_searches", "SELECT * FROM saved_searches ORDER BY last_used_at DESC NULLS FIRST, created_at DESC NULLS FIRST, id"))
 def m10_searches(spark, sf):
     return stored.list_searches(sample.saved_searches(spark, sf))
 
 
-@register("m10_widgets", over_tables("dashboard_widgets", "SELECT * FROM dashboard_widgets WHERE is_active"))
+@register("m10_widgets", over_tables("dashboard_widgets", "SELECT * FROM dashboard_widgets WHERE is_active ORDER BY position NULLS LAST, id"))
 def m10_widgets(spark, sf):
     return stored.list_widgets(sample.dashboard_widgets(spark, sf))
 

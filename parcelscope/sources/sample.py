@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SHIPMENT_COLUMNS
-from .normalised import normalise, write_normalised
+from .normalised import write_normalised
 from .scratch import write_once
 from .tables import load_shipments
 
@@ -89,8 +89,6 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_once(
         spark, "shipments", inputs, lambda to, tasks: write_normalised(raw_shipments(spark, sf_dir), to, tasks)
     )
-    if path is None:
-        return normalise(raw_shipments(spark, sf_dir))
     if path not in _opened or _opened[path].sparkSession is not spark:
         _opened[path] = load_shipments(spark, path, normalised=True)
     return _opened[path]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelscope.operators import changes as M
-from parcelscope.schema import DASHBOARD_WIDGETS, SAVED_SEARCHES, SCHEDULED_REPORTS
+from parcelscope.schema import CUSTOM_REPORTS, DASHBOARD_WIDGETS, SAVED_SEARCHES, SCHEDULED_REPORTS
 from parcelscope.sources import sample
 
 AT = dt.datetime(2025, 1, 1)
@@ -105,7 +105,7 @@ CHANGES = (
 @pytest.mark.parametrize(("seed", "hot"), [(1, False), (2, False), (3, True)])
 def test_merge_equals_changes_applied_one_by_one(spark, seed, hot):
     base, changes = widgets_and_changes(seed, hot)
-    # A deleted last id would be given out again by a counter that looks at the rows; keep the last rows.
+    # A batch places new widgets after the last position before it; a row deleted there would move the plain version's.
     changes = [c for c in changes if not (c["op"] == "delete" and c["id"] and c["id"] >= 20)]
     merged = M.apply_changes(
         spark.createDataFrame(base, DASHBOARD_WIDGETS), spark.createDataFrame(changes, CHANGES), "dashboard_widgets"
@@ -181,3 +181,52 @@ def test_usage_reorder_unique_cascade(spark):
     )
     gone = spark.createDataFrame([(7,)], "id long")
     assert {r["id"] for r in M.cascade(schedules, "report_id", gone).collect()} == {2, 3}
+
+
+def test_rules_of_a_batch(spark):
+    schema = "seq long, changed_at timestamp_ntz, op string, id long, report_name string, sql_query string"
+    base = M.merge_batch(
+        spark.createDataFrame([], CUSTOM_REPORTS),
+        spark.createDataFrame(
+            [
+                (1, AT, "insert", None, "a", "SELECT 1"),
+                (2, AT, "insert", None, "b", ""),
+                (3, AT, "insert", None, "a", "SELECT 2"),
+                (4, AT, "insert", None, "c", "DROP TABLE x"),
+                (5, AT, "insert", None, "d", "with x as (select 1) select * from x"),
+            ],
+            schema,
+        ),
+        "custom_reports",
+        0,
+    )
+    assert {r["seq"]: r["reason"] for r in base.rejected.collect()} == {
+        3: "name is taken",
+        4: "only SELECT queries are allowed",
+    }
+    assert sorted((r["id"], r["report_name"]) for r in base.rows.collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    last = base.last_id.first()["last_id"]
+    assert last == 3
+    def published(merge):
+        return spark.createDataFrame(merge.rows.collect(), CUSTOM_REPORTS)
+
+    second = M.merge_batch(
+        published(base),
+        spark.createDataFrame(
+            [(9, AT, "delete", 3, None, None), (10, AT, "insert", None, "b", ""), (11, AT, "update", 1, "a", "SELECT 3")], schema
+        ),
+        "custom_reports",
+        last,
+    )
+    assert [r["seq"] for r in second.rejected.collect()] == [10] and second.last_id.first()["last_id"] == 3
+    third = M.merge_batch(
+        published(second), spark.createDataFrame([(12, AT, "insert", None, "e", "SELECT 4")], schema), "custom_reports", 3
+    )
+    assert sorted((r["id"], r["report_name"]) for r in third.rows.collect()) == [(1, "a"), (2, "b"), (4, "e")]
+
+
+def test_a_widget_needs_a_query(spark):
+    rows = [(1, AT, "insert", None, "w", None), (2, AT, "patch", 1, None, ""), (3, AT, "patch", 1, "x", None)]
+    batch = spark.createDataFrame(rows, "seq long, changed_at timestamp_ntz, op string, id long, widget_name string, sql_query string")
+    refused = M.rejected_changes(spark.createDataFrame([], DASHBOARD_WIDGETS), batch, "dashboard_widgets")
+    assert sorted(r["seq"] for r in refused.collect()) == [1, 2]

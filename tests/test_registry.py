@@ -46,6 +46,18 @@ def test_query_equals_oracle(spark, duck, key):
     assert table_of(found.columns, found.collect()) == table_of(names, expected.fetchall())
 
 
+ORDERED = "m10_reports m10_searches m10_widgets j01_active_schedules monthly_by_phone monthly_sal daily_volume_by_date".split()
+
+
+@pytest.mark.parametrize("key", ORDERED)
+def test_order_equals_that_of_the_oracle(spark, duck, key):
+    found = QUERIES[key](spark, SF_DIR)
+    expected = duck.execute(ORACLES[key])
+    names = [column[0] for column in expected.description]
+    mine = [tuple(plain(row[name]) for name in names) for row in found.collect()]
+    assert mine == [tuple(map(plain, row)) for row in expected.fetchall()]
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(driver.oracle_sql()) <= set(driver.queries()) and set(QUERIES) <= set(driver.queries())

@@ -144,4 +144,5 @@ def test_no_machine_local_folder_on_a_cluster(master):
     class Session:
         conf = Conf(spark_master=master)
 
-    assert scratch.scratch_path(Session(), "x") is None
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_path(Session(), "x")
