@@ -171,3 +171,27 @@ dc_best AS (SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CA
 
 
 ORACLES["op6_decontamination"] = f"WITH {decontamination_sql('documents')} SELECT * FROM dc_best"
+
+
+def _crc_entry(half: int) -> int:
+    """What four zero bits behind ``half`` do to a CRC-32."""
+    for _ in range(4):
+        half = half >> 1 ^ (0xEDB88320 if half & 1 else 0)
+    return half
+
+
+# DuckDB has no CRC-32: the halves of all bytes, lower half first, are folded one after the other.
+ORACLES["op4_byte_shards"] = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, CAST(strlen(t) + 1 AS BIGINT) AS size, list_transform(string_split(hex(encode(t)), ''),
+  lambda x: CAST(instr('0123456789ABCDEF', x) - 1 AS BIGINT)) AS half FROM t),
+c AS (SELECT rid, doc_id, size, CASE WHEN t = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(range(len(half)), lambda i: half[xor(i, 1) + 1])),
+  lambda c, x: xor(c >> 4, ({[_crc_entry(half) for half in range(16)]}::BIGINT[])[(xor(c, x) & 15) + 1])),
+  4294967295::BIGINT) END AS text_crc32 FROM n),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size, rid
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INT) AS shard FROM s)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size, rid) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INT) AS grown_shard FROM p"""
