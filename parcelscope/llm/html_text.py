@@ -2,12 +2,15 @@
 
 A page is cut into blocks of text. The tag path of a block lists the block elements above it, each with its class.
 Per path the text length and the punctuation of its blocks are added up and divided by the number of blocks; both
-ratios are smoothed over neighbouring blocks in page order, averaged per path again, multiplied, and compared with a
-threshold relative to the page's own spread. Blocks of the paths above it are content nodes. The smallest element that
-holds nearly all of their text is the article; its other blocks (headings, short paragraphs, list items) belong to it.
+ratios are smoothed over neighbouring blocks in page order, averaged per path again, multiplied, weighted by what the
+path's elements say, and compared with a threshold relative to the spread over the page's paths. All blocks of the
+paths above it are content and make up the text, wherever they lie. Shorter blocks (headings, short paragraphs, list
+items) join them if content lies in the container they are in, or in their ``<article>``.
 
-Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never
-candidates: they are known by element, role or by a word in class or id, unless they contain the article.
+A path inside ``<article>`` or ``<main>`` counts twice. Forms speak against a path; it is content all the same if its
+weighted ratio is at least half of the best ratio on the page outside forms. Menus, page headers, footers, sidebars,
+notices, adverts, scripts, styles and reader comments are never candidates: they are known by element, role or by a word
+in class or id, unless they contain the article.
 
 Defined results: a null or empty page, and one without text, gives an empty text; open and stray tags, tags cut off at
 the end and comments that aren't closed are read as browsers do, roughly; a null id stays null; rows that repeat give
@@ -42,7 +45,8 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike "
     "strong sub sup time tt u var".split()
 )
-BOILERPLATE = set("head nav menu footer aside form button dialog fieldset".split())
+BOILERPLATE = set("head nav menu footer aside button dialog".split())
+DOUBTFUL = set("form fieldset".split())
 CLOSES_PARAGRAPH = set(
     "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 "
     "h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split()
@@ -65,17 +69,18 @@ MARKS = set(
     "pager login signup register search".split()
 )
 LAYOUT = set("with has have no not layout page is js".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+DOUBT, IN_ARTICLE = 0.1, 2.0
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class _Element:
-    __slots__ = ("name", "above", "boilerplate", "path", "blocks", "holds_article", "out", "depth")
+    __slots__ = ("name", "above", "boilerplate", "trust", "path", "holds_article", "state", "depth")
 
-    def __init__(self, name: str, above: _Element | None, boilerplate: bool, step: str):
-        self.name, self.above, self.boilerplate = name, above, boilerplate
+    def __init__(self, name: str, above: _Element | None, boilerplate: bool, trust: float, step: str):
+        self.name, self.above, self.boilerplate, self.trust = name, above, boilerplate, trust
         self.path = (above.path if above else "") + step
-        self.blocks, self.holds_article, self.out = 0, False, None
+        self.holds_article, self.state = False, None
         self.depth = above.depth + 1 if above else 0
 
     def line(self):
@@ -86,9 +91,9 @@ class _Element:
 
 
 @lru_cache(maxsize=1 << 14)
-def _reading(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether name and attributes mark boilerplate, and the element's step in a tag path."""
-    marked, role, tokens = name in BOILERPLATE, "", []
+def _reading(name: str, attributes: str) -> tuple[bool, float, str]:
+    """Whether name and attributes mark boilerplate, the trust its words leave, and the element's step in a tag path."""
+    marked, doubtful, role, tokens = name in BOILERPLATE, name in DOUBTFUL, "", []
     for found in ATTRIBUTE.finditer(attributes):
         key = found[1].lower()
         value = found[2] or found[3] or found[4] or ""
@@ -102,15 +107,18 @@ def _reading(name: str, attributes: str) -> tuple[bool, str]:
                 if parts and parts[0] not in LAYOUT:  # has-sidebar and the like tell about the element, not what it is
                     tokens += parts
     marked = marked or role in ROLES or not MARKS.isdisjoint(tokens)
+    trust = DOUBT if doubtful or role == "form" else 1.0
     step = "" if name in INLINE else "/" + ".".join([name, *sorted(set(tokens))])
-    return marked and name not in ("html", "body", "article", "main"), step
+    if name in ("html", "body", "article", "main"):
+        return False, 1.0, step
+    return marked, trust, step
 
 
 def _element(name: str, attributes: str, above: _Element | None) -> _Element:
-    marked, step = _reading(name, attributes if HAS_MARKS.search(attributes) else "")
+    marked, trust, step = _reading(name, attributes if HAS_MARKS.search(attributes) else "")
     if name == "header" and not marked:
         marked = above is None or not any(x.name in ("article", "main") for x in above.line())
-    return _Element(name, above, marked, step)
+    return _Element(name, above, marked, trust, step)
 
 
 def blocks_of(page: str) -> list[tuple[_Element, str]]:
@@ -132,7 +140,7 @@ def blocks_of(page: str) -> list[tuple[_Element, str]]:
         nonlocal holder
         if not parts:
             holder = element
-        elif element.boilerplate != holder.boilerplate:
+        elif (element.boilerplate, element.trust) != (holder.boilerplate, holder.trust):
             end_block()
             holder = element
         parts.append(html.unescape(text) if "&" in text else text)
@@ -180,11 +188,11 @@ def blocks_of(page: str) -> list[tuple[_Element, str]]:
         if name in VOID:
             continue
         if name in CLOSES_PARAGRAPH:
-            close({"p"}, CONTAINERS | BOILERPLATE | {"table", "header", "blockquote", "li"})
+            close({"p"}, CONTAINERS | BOILERPLATE | DOUBTFUL | {"table", "header", "blockquote", "li"})
         if name in CLOSES_SAME:
             close(*CLOSES_SAME[name])
         if name == "body" or name not in INLINE:  # formatting left open doesn't reach into new blocks
-            while current.name in INLINE and not current.boilerplate:
+            while current.name in INLINE and not current.boilerplate and current.trust == 1:
                 current = current.above
         if current.depth >= DEEPEST:
             continue
@@ -205,8 +213,10 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.concatenate((first, first, values, last, last)), WEIGHTS, mode="valid")
 
 
-def content_nodes(lengths: np.ndarray, marks: np.ndarray, paths: list[str], share: float = 0.5) -> np.ndarray:
-    """Which blocks lie on content paths, by length and punctuation per path."""
+def content_nodes(
+    lengths: np.ndarray, marks: np.ndarray, paths: list, trust: np.ndarray, weights: np.ndarray, share: float = 0.5
+) -> np.ndarray:
+    """Which blocks lie on content paths, by length and punctuation per path; trust and weight are the path's own."""
     number = {each: at for at, each in enumerate(dict.fromkeys(paths))}
     path = np.array([number[each] for each in paths])
     count = np.bincount(path)
@@ -214,47 +224,52 @@ def content_nodes(lengths: np.ndarray, marks: np.ndarray, paths: list[str], shar
     def ratio(values: np.ndarray) -> np.ndarray:
         per_path = np.bincount(path, values) / count
         smoothed = _smooth(per_path[path])
-        return (np.bincount(path, smoothed) / count)[path]
+        return np.bincount(path, smoothed) / count
 
-    fused = ratio(lengths.astype(float)) * (1 + ratio(marks.astype(float)))
+    fused = ratio(lengths.astype(float)) * (1 + ratio(marks.astype(float))) * (np.bincount(path, trust * weights) / count)
     threshold = min(share * fused.std(), 0.5 * fused.max())
-    return fused >= threshold
+    doubted = np.bincount(path, trust) / count < 0.99
+    best = fused[~doubted].max(initial=0.0)
+    return ((fused >= threshold) & (~doubted | (fused >= 0.5 * best)))[path]
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+def _state(element: _Element) -> tuple[bool, float, bool]:
+    """Whether the element is no candidate, the trust left by all words above its text, and whether an article holds it."""
+    if element.state is None:
+        out, trust, inside = _state(element.above) if element.above is not None else (False, 1.0, False)
+        if not element.holds_article:
+            out, trust = out or element.boilerplate, trust * element.trust
+        element.state = out, trust, inside or element.name in ("article", "main")
+    return element.state
 
-    def excluded(element: _Element) -> bool:
-        if element.out is None:
-            own = element.boilerplate and not element.holds_article
-            element.out = own or element.above is not None and excluded(element.above)
-        return element.out
 
-    blocks = [(element, text) for element, text in blocks if not excluded(element)]
+def main_text(page: str | None) -> str:
+    blocks = [(element, text) for element, text in blocks_of(page or "") if not _state(element)[0]]
     if not blocks:
         return ""
     lengths = np.array([len(text) for _, text in blocks])
     marks = np.array([len(PUNCTUATION.findall(text)) for _, text in blocks])
-    chosen = content_nodes(lengths, marks, [element.path for element, _ in blocks])
-    weight: dict[_Element, int] = {}
-    for (element, text), is_content in zip(blocks, chosen):
-        for x in element.line():
-            x.blocks += 1
-            weight[x] = weight.get(x, 0) + (len(text) if is_content else 0)
-    total = max(1, int(lengths[chosen].sum()))
-    articles = [x for x in weight if x.name in ("article", "main")]
-    if articles and sum(weight[x] for x in articles if x.name == "article") >= total / 2:
-        kept = {x for x in articles if x.name == "article"}
-    elif articles and max(weight[x] for x in articles) >= total / 2:
-        kept = {x for x in articles if weight[x] >= total / 2}
-    else:
-        holders = [x for x in weight if x.name in CONTAINERS and weight[x] >= 0.9 * total]
-        best = max(holders, key=lambda x: len(list(x.line()))) if holders else blocks[0][0]
-        while best.blocks < 2 and best.above is not None and best.above.name != "body":
-            best = best.above
-        kept = {best}
-    inside = [text for element, text in blocks if any(x in kept for x in element.line())]
-    return " ".join(inside)
+    trust = np.array([_state(element)[1] for element, _ in blocks])
+    weights = np.array([IN_ARTICLE if _state(element)[2] else 1.0 for element, _ in blocks])
+    paths = [(element.path, *_state(element)[1:]) for element, _ in blocks]
+    chosen = content_nodes(lengths, marks, paths, trust, weights)
+    above = {x for (element, _), is_content in zip(blocks, chosen) if is_content for x in element.line()}
+    nearest = {_container(element) for (element, _), is_content in zip(blocks, chosen) if is_content}
+
+    def joins(element: _Element) -> bool:
+        if any(x.trust < 1 and not x.holds_article and x not in above for x in element.line()):
+            return False
+        if any(x.name == "article" and x in above for x in element.line()):
+            return True
+        container = _container(element)
+        return container in (nearest if container.name in ("html", "body") else above)
+
+    return " ".join(text for (element, text), is_content in zip(blocks, chosen) if is_content or joins(element))
+
+
+def _container(element: _Element) -> _Element:
+    """The innermost container that holds the element's text."""
+    return next((x for x in element.line() if x.name in CONTAINERS), element)
 
 
 def extract_pages(
