@@ -7,10 +7,10 @@ path's elements say, and compared with a threshold relative to the spread over t
 paths above it are content and make up the text, wherever they lie. Shorter blocks (headings, short paragraphs, list
 items) join them if content lies in the container they are in, or in their ``<article>``.
 
-A path inside ``<article>`` or ``<main>`` counts twice. Forms speak against a path; it is content all the same if its
-weighted ratio is at least half of the best ratio on the page outside forms. Menus, page headers, footers, sidebars,
-notices, adverts, scripts, styles and reader comments are never candidates: they are known by element, role or by a word
-in class or id, unless they contain the article.
+A path inside ``<article>`` or ``<main>`` counts twice. Words such as sidebar, comments or share in class or id, and
+forms, speak against a path, less so beside words such as content or text; the path is content all the same if its
+weighted ratio is at least half of the best ratio on the page without such words. Menus, page headers, footers, asides,
+scripts, styles, and what is hidden or has the role of one of these are no candidates, unless they hold the article.
 
 Defined results: a null or empty page, and one without text, gives an empty text; open and stray tags, tags cut off at
 the end and comments that aren't closed are read as browsers do, roughly; a null id stays null; rows that repeat give
@@ -35,7 +35,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")
 HAS_MARKS = re.compile(r"class|id|role|hidden", re.I)
 
 DEEPEST = 512
@@ -69,8 +70,9 @@ MARKS = set(
     "pager login signup register search".split()
 )
 LAYOUT = set("with has have no not layout page is js".split())
+CONTENT = set("article body content editor entry main post story text".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-DOUBT, IN_ARTICLE = 0.1, 2.0
+DOUBT, SLIGHT_DOUBT, IN_ARTICLE = 0.1, 0.6, 2.0
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -99,15 +101,19 @@ def _reading(name: str, attributes: str) -> tuple[bool, float, str]:
         value = found[2] or found[3] or found[4] or ""
         if key == "role":
             role = value.strip().lower()
-        elif key == "hidden":
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
             marked = True
-        else:
+        elif key in ("class", "id"):
             for each in value.split():
                 parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", each).lower())
                 if parts and parts[0] not in LAYOUT:  # has-sidebar and the like tell about the element, not what it is
                     tokens += parts
-    marked = marked or role in ROLES or not MARKS.isdisjoint(tokens)
-    trust = DOUBT if doubtful or role == "form" else 1.0
+    marked = marked or role in ROLES
+    trust = 1.0
+    if doubtful or role == "form":
+        trust = DOUBT
+    elif not MARKS.isdisjoint(tokens):
+        trust = DOUBT if CONTENT.isdisjoint(tokens) else SLIGHT_DOUBT
     step = "" if name in INLINE else "/" + ".".join([name, *sorted(set(tokens))])
     if name in ("html", "body", "article", "main"):
         return False, 1.0, step
@@ -177,6 +183,8 @@ def blocks_of(page: str) -> list[tuple[_Element, str]]:
                     break
             continue
         attributes = found[3] or found[6] or ""
+        if name in ("svg", "math") and attributes.endswith("/") and not UNQUOTED_END.search(attributes):
+            continue
         if name in RAW:
             closing = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = closing.end() if closing else size

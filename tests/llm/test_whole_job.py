@@ -22,3 +22,19 @@ def test_pages_without_article():
     assert html_text.main_text(page) == " ".join(f"T {PARTS[0]} {PARTS[1]} Short.".split())
     page = f"<body><form id=aspnet><div id=c><h1>T</h1><p>{PARTS[0]}</p></div></form></body>"
     assert html_text.main_text(page) == " ".join(f"T {PARTS[0]}".split())
+
+
+def test_attributes_are_read_by_name():
+    page = """<article style="overflow:hidden" aria-hidden="false"><p>Seen, all of it.</p><p hidden>Not</p>
+        <p aria-hidden="true">Nor</p><div data-hidden="no" title="class=ad">Yes, seen.</div></article>"""
+    assert html_text.main_text(page) == "Seen, all of it. Yes, seen."
+    page = """<article><p>Before the icon, <svg class="i" width=1 /> after the icon.</p><math/><p>The end, really.</p>
+        <svg href=a/><text>drawn</text></svg></article>"""
+    assert html_text.main_text(page) == "Before the icon, after the icon. The end, really."
+
+
+def test_class_words_are_outvoted_by_path_ratios():
+    for name in ("content sidebar-right", "elementor-widget-text-editor", "article-share-body", "sidebar"):
+        page = f"""<body><div>Site</div><div class="{name}"><h1>T</h1><p>{PARTS[0]}</p><p>Short.</p>
+            <div class=comments><p>I think, well, that this is fine.</p></div></div><div class=ad>Buy, now.</div></body>"""
+        assert html_text.main_text(page) == " ".join(f"T {PARTS[0]} Short.".split())
