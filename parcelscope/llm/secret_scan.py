@@ -4,11 +4,14 @@ The base spans are those of the patterns, leftmost and without overlap per kind:
 assigned value of 6 characters or more (the span is the whole match), ``AKIA`` keys of 20 characters or more, and runs
 of 24 or more hex digits.
 
-The method looks at every run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that mixes letters and digits. A
-tokenizer's vocabulary holds what people write, so such text has many characters per token; random strings fall apart
-into short tokens. A run with fewer than ``max_ratio`` characters per token is a span of kind ``random``, unless it is a
-digest of a known length or an identifier that isn't secret: a UUID, a number, a date or time, a dotted or dashed
-version, or a name whose parts between ``_-/`` are each letters only or digits only.
+The method looks at every run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter. A tokenizer's vocabulary
+holds what people write, so such text has many characters per token; random strings fall apart into short tokens. A run
+with fewer than ``max_ratio`` characters per token is a span of kind ``random``, unless it is a digest of a known length
+or an identifier that isn't secret: a UUID, a number, a date or time. A run whose parts between ``-_/+=`` are each letters
+only or digits only may be a name or a version; it is random if its longer words, ``MIN_LETTERS`` or more together, have
+fewer than ``LETTERS_RATIO`` characters per token.
+A run that isn't random as a whole is cut at its separators: neighbouring parts that each fall apart, 16 characters or
+more together, are tested in the same way, so words joined to a key don't hide it.
 A random span inside a base span is not given again.
 
 Defined results: a null text has no spans; a null id stays null; rows that repeat give rows that repeat; only the named
@@ -31,6 +34,10 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_RATIO = 2.0
+LETTERS_RATIO = 1.7
+MIN_RUN = 16
+MIN_LETTERS = 12
+SHORT = 4
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -42,9 +49,11 @@ _NAMES = "|".join([_either_case(x) for x in ("password", "passwd", "secret", "to
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+PART = re.compile(r"[A-Za-z0-9]+")
 _NAME_HINT = re.compile(r"(?i:passw|secret|token|api_?key)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_UUID_INSIDE = re.compile(rf"(?<![0-9A-Za-z]){_UUID.pattern}(?![0-9A-Za-z])")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _TIME = re.compile(r"\d{4}-?\d\d-?\d\dT[\dZ+-]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -59,10 +68,7 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 
 def is_known(run: str) -> bool:
     """Digests and identifiers, which are random or numeric but no secrets."""
-    if _UUID.fullmatch(run) or _TIME.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
-        return True
-    parts = [part for part in re.split(r"[-_/+=]+", run) if part]
-    return all(part.isalpha() or part.isdigit() for part in parts)
+    return bool(_UUID.fullmatch(run) or _TIME.fullmatch(run) or len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run))
 
 
 def characters_per_token(run: str, vocabulary: str = VOCABULARY) -> float:
@@ -80,15 +86,58 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def is_random(run: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
+    parts = PART.findall(run)
+    if is_known(run) or all(map(str.isdigit, parts)):
+        return False
+    if not all(part.isalpha() or part.isdigit() for part in parts):
+        return characters_per_token(run, vocabulary) < max_ratio
+    words = [part for part in parts if part.isalpha() and len(part) >= SHORT]
+    letters = sum(map(len, words))
+    if letters < MIN_LETTERS:
+        return False
+    return letters < min(LETTERS_RATIO, max_ratio) * sum(len(encoding(vocabulary).encode_ordinary(word)) for word in words)
+
+
+def _falls_apart(part: str, vocabulary: str, max_ratio: float) -> bool:
+    if part.isdigit() or is_known(part):
+        return False
+    return characters_per_token(part, vocabulary) < (min(LETTERS_RATIO, max_ratio) if part.isalpha() else max_ratio)
+
+
+def _stretches(run: str, vocabulary: str, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """Places of neighbouring parts that each fall apart; parts too short to tell go with the ones before them."""
+    known = [m.span() for m in _UUID_INSIDE.finditer(run)]
+    start = short = end = None
+    for m in PART.finditer(run):
+        inside = any(a <= m.start() < b for a, b in known)
+        if not inside and len(m[0]) < SHORT:
+            if start is not None:
+                end = m.end()
+            elif short is None:
+                short = m.start()
+        elif not inside and _falls_apart(m[0], vocabulary, max_ratio):
+            if start is None:  # base64 has + in the middle, names don't
+                start = short if short is not None and run[m.start() - 1] == "+" else m.start()
+            end = m.end()
+        else:
+            if start is not None:
+                yield start, end
+            start = short = end = None
+    if start is not None:
+        yield start, len(run) if not run[end:].strip("=") else end
+
+
 def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        letters = sum(map(str.isalpha, run))
-        if not letters or letters == len(run) or not any(map(str.isdigit, run)) or is_known(run):
-            continue
-        if characters_per_token(run, vocabulary) < max_ratio:
+        if is_random(run, vocabulary, max_ratio):
             found.append((m.start(), 3, m.end()))
+            continue
+        for start, end in _stretches(run, vocabulary, max_ratio):
+            if end - start >= MIN_RUN and is_random(run[start:end], vocabulary, max_ratio):
+                found.append((m.start() + start, 3, m.start() + end))
     return found
 
 

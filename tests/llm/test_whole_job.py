@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
-from parcelscope.llm import html_text
+import random
+import string
+
+from parcelscope.llm import html_text, secret_scan
 
 # HTML
 
@@ -38,3 +41,29 @@ def test_class_words_are_outvoted_by_path_ratios():
         page = f"""<body><div>Site</div><div class="{name}"><h1>T</h1><p>{PARTS[0]}</p><p>Short.</p>
             <div class=comments><p>I think, well, that this is fine.</p></div></div><div class=ad>Buy, now.</div></body>"""
         assert html_text.main_text(page) == " ".join(f"T {PARTS[0]} Short.".split())
+
+
+# secret scans
+
+
+def keys(alphabet, size, n=300):
+    rng = random.Random(7)
+    return ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(n)]
+
+
+def test_keys_of_letters_only_are_found():
+    found = [secret_scan.random_spans(key) == [(0, 3, 20)] for key in keys(string.ascii_letters, 20)]
+    assert sum(found) >= 285
+    for name in ("MAX_CONNECTION_TIMEOUT_SECONDS", "getElementsByTagNameNS", "Donaudampfschifffahrt", "item-1-2-3-4-5-6-7-8", "a/b/c/d/e/f/g/h/i"):
+        assert secret_scan.random_spans(name) == []
+
+
+def test_words_joined_to_a_key_do_not_hide_it():
+    for before in ("services/configuration/production/", "authentication_key_", "https-production="):
+        for after in ("", "/configuration/production"):
+            at = len(before)
+            found = [secret_scan.random_spans(before + key + after) for key in keys(string.ascii_letters + string.digits, 24)]
+            assert sum(any(a <= at and b >= at + 24 for a, _, b in spans) for spans in found) >= 290
+    key = "q7Zx9Lp2Vw8Rt5Ks3Nd6"
+    text = f"see services/configuration/production/{key}== now"
+    assert secret_scan.redact(text, secret_scan.all_spans(text)[1]) == "see services/configuration/production/<SECRET> now"
