@@ -3,7 +3,10 @@
 import random
 import string
 
-from parcelscope.llm import html_text, secret_scan
+import numpy as np
+import xxhash
+
+from parcelscope.llm import html_text, masked_lm, secret_scan
 
 # HTML
 
@@ -67,3 +70,21 @@ def test_words_joined_to_a_key_do_not_hide_it():
     key = "q7Zx9Lp2Vw8Rt5Ks3Nd6"
     text = f"see services/configuration/production/{key}== now"
     assert secret_scan.redact(text, secret_scan.all_spans(text)[1]) == "see services/configuration/production/<SECRET> now"
+
+
+# language model
+
+
+def test_training_reads_every_window_and_words_are_their_own_tokens(spark, docs_of):
+    rows = [(at, f"common words{at} here") for at in range(40)] + [(50, None), (51, "")]
+    frequent = np.array([xxhash.xxh64_intdigest(b"common"), xxhash.xxh64_intdigest(b"here")], np.uint64)
+    tokens = masked_lm.Tokens(frequent)
+    stored = masked_lm.training_windows(docs_of(rows), frequent)
+    sizes = [len(tokens.windows([text])[0]) for _, text in rows]
+    assert stored.agg({"n": "sum"}).first()[0] == sum(sizes) == int(masked_lm.token_counts(stored).sum())
+    assert all(size >= 3 for size in sizes[:40])
+    ending = [tokens[word] for word in (b"nation", b"qzxtion", b"xkjwvtion")]
+    assert len(set(ending)) == 3 and len(ending[2]) > len(ending[0])
+    pieces = [x - masked_lm.FREQUENT for x in tokens[b"xkjwvtion"]]
+    assert tokens.pieces.decode(pieces) == " xkjwvtion"
+    assert tokens.pieces.n_vocab == masked_lm.PIECES
