@@ -7,9 +7,13 @@ on 2, from ``grades[1]`` on 3; other documents have grade 0. The model has one w
 and ordered thresholds: P(grade > k) = sigmoid(w.x - t_k) with x = log(1 + occurrences). Every document's whole text is
 scored; the expected severity is the sum of P(grade > k).
 
+Words are runs of letters of any script with their marks, lower-cased. Scripts without spaces between words (Han, kana,
+Thai, Khmer and their like) give pairs of neighbouring characters instead, a single character itself.
+
 Defined results: a null or empty text has no words and gets the model's score of no evidence; without labels, or with one class only,
 severity is 0 and nothing is toxic; a null id stays null and is never a labelled document; rows that repeat give rows
-that repeat; only the named columns are read. A document labelled twice counts twice in the sample.
+that repeat; only the named columns are read. Rows that share a doc_id are one document of the sample, whose counts are the
+mean over the rows, rounded up; an id labelled toxic and not toxic is one document of either class.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,41 +36,62 @@ GRADES = (3, 6)
 MIN_DOCUMENTS = 5
 MIN_Z = 3.5
 MIN_ODDS = 2.0
-WORD = re.compile(r"[a-zß-öø-ɏ]+")
+LATIN_WORD = re.compile(r"[a-zªµºß-öø-ɏ]+")
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+SPACELESS = r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Yi}]"
+WORD = regex.compile(rf"(?V1)([{SPACELESS}&&[\p{{L}}\p{{M}}]]+)|[[\p{{L}}\p{{M}}]--{SPACELESS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    if not BEYOND_LATIN.search(text):
+        return LATIN_WORD.findall(text)
+    words = []
+    for found in WORD.finditer(text):
+        run = found[0]
+        if found[1] and len(run) > 1:
+            words += map("".join, zip(run, run[1:]))
+        else:
+            words.append(run)
+    return words
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(toxic, words, counts) of the sampled labelled documents; at most ``max_labelled`` labels."""
+    """(doc_id, toxic, word, total, n) of the sampled labelled documents: occurrences of the word over the id's rows.
+
+    At most ``max_labelled`` labels are read. A row without a word holds the number of all words and, in n, of rows.
+    """
     sample = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [Counter(words_of(text)) for text in batch["text"]]
             yield pd.DataFrame(
                 {
+                    "doc_id": batch["doc_id"],
                     "toxic": batch["toxic"],
-                    "n_words": [x.total() for x in counts],
-                    "words": [list(x) for x in counts],
-                    "counts": [list(x.values()) for x in counts],
+                    "words": [[None, *x] for x in counts],
+                    "counts": [[x.total(), *x.values()] for x in counts],
                 }
             )
 
-    joined = docs.join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    return stored(joined.mapInPandas(count, "toxic int, n_words long, words array<string>, counts array<int>"), "labelled_words")
+    joined = docs.join(F.broadcast(sample), "doc_id")
+    joined = joined.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
+    counted = joined.mapInPandas(count, "doc_id string, toxic int, words array<string>, counts array<long>")
+    counted = counted.select("doc_id", "toxic", F.inline(F.arrays_zip("words", "counts")))
+    grouped = counted.groupBy("doc_id", "toxic", F.col("words").alias("word"))
+    return stored(grouped.agg(F.sum("counts").alias("total"), F.count(F.lit(1)).alias("n")), "labelled_words")
 
 
 def select_words(counted: DataFrame, max_features: int) -> list[tuple[str, float]]:
     """Words with the largest z-scores of their log odds; positive ones speak for toxic."""
-    total = counted.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    documents = counted.where("word IS NULL")
+    total = documents.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     if not total["n"] or total["toxic"] in (0, total["n"]):
         return []
     bad, good = float(total["toxic"]), float(total["n"] - total["toxic"])
-    held = counted.select("toxic", F.explode("words").alias("word")).groupBy("word")
+    held = counted.where("word IS NOT NULL").groupBy("word")
     held = held.agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (bad + 1.0 - a)) - F.log(b / (good + 1.0 - b))
@@ -138,9 +164,16 @@ def fit_toxicity(
     if not selected:
         return None
     model = OrdinalModel(selected, np.zeros(len(selected) + 2), np.zeros(1 + len(grades)))
-    wanted = F.array(*[F.lit(word) for word in model.number])
-    zipped = F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(wanted, x["words"]))
-    rows = counted.select("toxic", "n_words", zipped.alias("found")).collect()  # at most max_labelled x max_features numbers
+    none, mean = F.col("word").isNull(), F.ceil(F.col("total") / F.col("rows")).cast("int")
+    of_id = counted.where(none | F.col("word").isin(list(model.number))).groupBy("doc_id", "toxic")
+    of_id = of_id.agg(
+        F.max(F.when(none, F.col("n"))).alias("rows"),
+        F.max(F.when(none, F.col("total"))).alias("total"),
+        F.sort_array(F.collect_list(F.when(~none, F.struct("word", "total")))).alias("found"),
+    )
+    mean_of = F.transform("found", lambda x: F.struct(x["word"], F.ceil(x["total"] / F.col("rows")).cast("int")))
+    rows = of_id.select("doc_id", "toxic", mean.alias("n_words"), mean_of.alias("found")).orderBy("doc_id", "toxic")
+    rows = rows.collect()  # at most max_labelled x max_features numbers, however many rows share an id
     x = np.array([model.features(dict(map(tuple, row["found"])), row["n_words"]) for row in rows])
     hits = [sum(count for word, count in row["found"] if word in model.evidence) for row in rows]
     y = np.array([0 if not row["toxic"] else 1 + sum(n >= limit for limit in grades) for row, n in zip(rows, hits)])

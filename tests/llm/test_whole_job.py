@@ -6,7 +6,7 @@ import string
 import numpy as np
 import xxhash
 
-from parcelscope.llm import html_text, masked_lm, secret_scan
+from parcelscope.llm import html_text, masked_lm, secret_scan, toxicity
 
 # HTML
 
@@ -88,3 +88,30 @@ def test_training_reads_every_window_and_words_are_their_own_tokens(spark, docs_
     pieces = [x - masked_lm.FREQUENT for x in tokens[b"xkjwvtion"]]
     assert tokens.pieces.decode(pieces) == " xkjwvtion"
     assert tokens.pieces.n_vocab == masked_lm.PIECES
+
+
+# toxicity
+
+
+def test_words_of_other_scripts():
+    assert toxicity.words_of("Злой Καλός رديء हिन्दी Straße x2") == ["злой", "καλός", "رديء", "हिन्दी", "straße", "x"]
+    assert toxicity.words_of("坏东西, 好 ๑ไทย") == ["坏东", "东西", "好", "ไท", "ทย"]
+
+
+def test_toxic_documents_of_other_scripts_are_found(spark, docs_of):
+    rng = random.Random(8)
+    for plain, bad in (("абвгде", "злой"), ("αβγδεζ", "κακός"), ("天地人日月山", "坏东西")):
+        words = ["".join(rng.choice(plain) for _ in range(4)) for _ in range(40)]
+        rows = [(at, " ".join(rng.choices(words, k=40) + [bad] * (at % 4 == 0))) for at in range(200)]
+        labels = spark.createDataFrame([(at, int(at % 4 == 0)) for at in range(150)], "doc_id long, toxic int")
+        out = {r.doc_id: r.toxic for r in toxicity.ordinal_toxicity(docs_of(rows), labels).collect()}
+        assert all(out[at] == (at % 4 == 0) for at in range(150, 200))
+
+
+def test_an_id_of_many_rows_is_one_labelled_document(spark, docs_of):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = [(1, "bad bad word")] * 30 + [(1, "bad")] + [(2, "fine word")]
+    counted = toxicity.labelled_words(docs_of(rows), labels, 100)
+    assert counted.where("word IS NULL").count() == 2
+    found = {(r.doc_id, r.word): (r.total, r.n) for r in counted.collect()}
+    assert found["1", "bad"] == (61, 31) and found["1", None] == (91, 31) and found["2", None] == (2, 1)
