@@ -16,6 +16,7 @@ from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN
 from .resampling import importance_resampling
 from .secret_scan import secret_scan
 from .sharding import byte_shards
+from .token_counts import token_counts
 from .toxicity import ordinal_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +174,11 @@ dc_best AS (SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CA
 ORACLES["op6_decontamination"] = f"WITH {decontamination_sql('documents')} SELECT * FROM dc_best"
 
 
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
 def _crc_entry(half: int) -> int:
     """What four zero bits behind ``half`` do to a CRC-32."""
     for _ in range(4):
