@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .decontamination import decontamination
+from .hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES, hard_negatives
 from .html_text import extract_pages
 from .masked_lm import pseudo_likelihood
 from .near_duplicates import near_duplicates
+from .phrases import COVERED, LEAST, LONGEST, SCALE, TOP, phrase_collocations
 from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .resampling import importance_resampling
 from .secret_scan import secret_scan
@@ -179,6 +181,59 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hard_negatives"] = f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS anchor, a.vec_id AS anchor_id, e.rid, e.vec_id, a.label = e.label AS same,
+    CAST(list_inner_product(a.q, e.q) AS BIGINT) AS score FROM e a JOIN e ON a.rid <> e.rid WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, anchor_id, rid, vec_id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= {POSITIVES})
+SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid) AS INT) AS rank
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND {LOW} * p.score <= 100 * n.score AND 100 * n.score <= {HIGH} * p.score
+QUALIFY rank <= {NEGATIVES}"""
+
+
+@_query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(_read(spark, sf_dir, "documents"))
+
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, ws[p : p + {n - 1}] AS g FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS p FROM w)"
+    for n in range(1, LONGEST + 1)
+)
+ORACLES["op13_phrase_collocations"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM d),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, g, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= {LEAST}),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+cut AS (SELECT c.lang, c.g, a, k, l.f AS l, r.f AS r,
+    CAST({SCALE}::HUGEINT * a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[: k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1 :]),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, g[p : p + n - 1] AS g, max(a) AS longer FROM (SELECT *, unnest(range(1, len(g) - n + 2)) AS p
+    FROM (SELECT lang, g, a, unnest(range(2, len(g))) AS n FROM c)) GROUP BY ALL),
+o AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, a, l, r, score FROM s LEFT JOIN i ON i.lang = s.lang AND i.g = s.g
+  WHERE longer IS NULL OR 100::HUGEINT * longer < {COVERED}::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+  phrase, a, l, r, n, score FROM o JOIN t USING (lang) QUALIFY rank <= {TOP}"""
+
+
 def _crc_entry(half: int) -> int:
     """What four zero bits behind ``half`` do to a CRC-32."""
     for _ in range(4):
