@@ -15,15 +15,11 @@ from ..operators.changes import SELECT_START
 from ..operators.filters import active, build_query
 from ..operators.windows import calendar_range
 from ..sources import normalise, with_classes
+from . import guard
 
 VIEW = "shipments"
 _TOKEN = re.compile(r"""--[^\n]*|/\*|'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|[^'"`/-]+|.""", re.DOTALL)
 _PARAMETER = re.compile(r"\{([A-Za-z_]\w*)\}")
-_MARKER = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")
-# Functions that call any Java method.
-_REFUSED = re.compile(r"(?i)`?\b(?:try_reflect|reflect|java_method)`?\s*\(")
-_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_CTE = re.compile(r"^[\s:+-]*'?CTE \[([^\]]*)\]", re.MULTILINE)
 
 
 def _tokens(text: str) -> list[str]:
@@ -67,41 +63,41 @@ def to_markers(text: str, args: dict | None = None) -> str:
 
 
 def check_select(spark: SparkSession, text: str, views: Iterable[str] = (VIEW,)) -> str:
-    """The text without a closing semicolon, if it is one query over the given views; else it is refused before it runs.
-
-    What it reads is taken from its parsed plan, in which neither literals nor markers stand any more.
-    """
+    """The text without a closing semicolon, if it is one query over the given views; else it is refused before it runs."""
     query = text.strip().rstrip(";").rstrip()
     if not re.match(SELECT_START, query):
-        raise ValueError("only SELECT queries are allowed")
-    bare = "".join("''" if token[0] == "'" and len(token) > 1 else _MARKER.sub("NULL", token) for token in _tokens(query))
-    if _REFUSED.search(bare):
-        raise ValueError("calls of Java methods are not allowed")
-    # A command is no subquery, so WITH ... INSERT and the like don't parse here.
-    explained = spark.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{bare}\n)").first()[0]
-    parsed = explained.partition("== Analyzed Logical Plan ==")[0]
-    own = {name.strip() for found in _CTE.findall(parsed) for name in found.split(",")}
-    for name in _RELATION.findall(parsed):
-        if name not in own and name.lower() not in {view.lower() for view in views}:
-            raise ValueError(f"no such view: {name}")
+        raise guard.Refused("only SELECT queries are allowed")
+    guard.check_text(spark, query, views)
     return query
 
 
-def run_sql(spark: SparkSession, shipments: DataFrame, text: str, **args) -> DataFrame:
-    """Runs stored SQL over shipments with its parameters bound. ``"Name"`` in it is an identifier.
+def verdicts(texts: DataFrame, column: str = "sql_query", views: Iterable[str] = (VIEW,)) -> DataFrame:
+    """Stored texts with why each may not run (``refused``), null if it may; an empty one may not."""
+    return guard.with_verdicts(texts, column, views, lambda text: check_select(texts.sparkSession, to_markers(text), views))
 
-    The rows are read by a view with a name of its own, which is gone when the plan is made, so calls don't disturb
-    one another.
-    """
-    query = check_select(spark, to_markers(text, args))
+
+def _over(spark: SparkSession, rows: DataFrame, query: str, args: dict) -> DataFrame:
+    """The query over ``rows`` by a view with a name of its own, which is gone when the plan is made."""
     view = f"{VIEW}_{uuid.uuid4().hex}"
-    with_classes(shipments).createOrReplaceTempView(view)
+    rows.createOrReplaceTempView(view)
     try:
         return spark.sql(f"WITH {VIEW} AS (SELECT * FROM {view}) SELECT * FROM (\n{query}\n)", args=args)
     finally:
         spark.catalog.dropTempView(view)
 
 
+def run_sql(spark: SparkSession, shipments: DataFrame, text: str, **args) -> DataFrame:
+    """Runs stored SQL over shipments with its parameters bound. ``"Name"`` in it is an identifier.
+
+    The text is parsed and checked, then analysed over empty rows and checked again, and only then reads shipments. Calls
+    don't disturb one another.
+    """
+    query = check_select(spark, to_markers(text, args))
+    rows = with_classes(shipments)
+    guard.check_leaves(_over(spark, guard.empty_like(rows), query, args))
+    return _over(spark, rows, query, args)
+
+
 def _row(table: DataFrame, id_: int, what: str):
     found = table.where(F.col("id") == id_).limit(1).first()
     if found is None:

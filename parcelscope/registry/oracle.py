@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.sample import GUARDED
+
 # Month names with their numbers.
 _MONTHS = {
     "Jan": "01",
@@ -96,7 +98,12 @@ ship AS (
 
 _CREATED = "TIMESTAMP '2025-01-01 00:00:00' + to_hours(CAST({key} % 5000 AS INT))"
 
+_GUARDED = ", ".join("'" + text.replace("'", "''") + "'" for text in GUARDED)
+
 _TABLES = {
+    "guarded_texts": f"""guarded_texts AS (
+  SELECT p_partkey AS id, p_partkey % {len(GUARDED)} AS kind,
+    replace(([{_GUARDED}])[p_partkey % {len(GUARDED)} + 1], '{{}}', p_name) AS sql_query FROM part)""",
     "custom_reports": f"""custom_reports AS (
   SELECT p_partkey + 1 AS id, p_name || ' ' || (p_partkey % 97)::VARCHAR AS report_name,
     CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS description,

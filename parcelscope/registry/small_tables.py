@@ -72,18 +72,19 @@ _stored_widget("q03_widget_custom", 4, "2025-06-01", "2025-06-30")
     ),
 )
 def q04(spark, sf):
-    """Each stored text once, with whether the guard lets it run; the texts are few, as every report shares one."""
+    """Each stored text once, with whether the guard lets it run."""
+    counts = sample.custom_reports(spark, sf).groupBy("sql_query").agg(F.count(F.lit(1)).alias("reports"))
+    return stored.verdicts(counts).withColumn("runs", F.col("refused").isNull()).drop("refused")
 
-    def runs(text: str) -> bool:
-        try:
-            return bool(stored.check_select(spark, stored.to_markers(text)))
-        except ValueError:
-            return False
 
-    counts = sample.custom_reports(spark, sf).groupBy("sql_query").agg(F.count(F.lit(1)).alias("reports"))
-    texts = [row["sql_query"] for row in sample.custom_reports(spark, sf).select("sql_query").distinct().collect()]
-    allowed = [text for text in texts if runs(text)]
-    return counts.withColumn("runs", F.col("sql_query").isin(allowed))
+@register(
+    "q04_guard",
+    over_tables("guarded_texts", "SELECT id, sql_query, kind < 9 AS runs FROM guarded_texts"),
+)
+def q04_guard(spark, sf):
+    """Texts of every kind that stored SQL may and may not be, one per part."""
+    checked = stored.verdicts(sample.guarded_texts(spark, sf))
+    return checked.select("id", "sql_query", F.col("refused").isNull().alias("runs"))
 
 
 @register(

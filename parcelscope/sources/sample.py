@@ -122,6 +122,42 @@ def custom_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+GUARDED = [
+    "SELECT count(*) AS n FROM shipments WHERE shipper_city = '{}'",
+    "WITH a AS (SELECT id FROM shipments WHERE shipper_name = '{}'), b AS (SELECT * FROM a) SELECT count(*) FROM b",
+    "SELECT s.id FROM shipments s JOIN (SELECT max(id) AS id FROM shipments) m ON s.id = m.id AND s.cod <> '{}'",
+    "SELECT id, row_number() OVER (PARTITION BY shipper_city ORDER BY id) AS nth FROM shipments WHERE cod LIKE '%{}'",
+    "SELECT shipper_city, count(*) FROM shipments GROUP BY shipper_city HAVING count(*) > 3 OR shipper_city = '{}' ORDER BY 2 LIMIT 5",
+    "SELECT id FROM shipments WHERE id IN (SELECT id FROM shipments WHERE cod = '{}') UNION ALL SELECT 1",
+    "SELECT 'IDENTIFIER(''{}'')' AS text, 'FROM other' AS words FROM shipments",
+    "SELECT b.part FROM shipments LATERAL VIEW explode(split(shipper_name, '{}')) b AS part",
+    "SELECT id FROM shipments WHERE shipper_phone LIKE concat('%', :phone_number, '{}')",
+    "SELECT * FROM IDENTIFIER('parquet.`/data/{}`')",
+    "SELECT * FROM IDENTIFIER('{}')",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', '{}') FROM shipments",
+    "SELECT * FROM parquet.`/data/file` WHERE name = '{}'",
+    "SELECT * FROM other WHERE name = '{}'",
+    "SELECT * FROM other WHERE id IN (WITH other AS (SELECT 1 AS id) SELECT id FROM other) AND name = '{}'",
+    "SELECT * FROM range(3) WHERE 'x' = '{}'",
+    "SELECT reflect('java.lang.System', 'getProperty', '{}') FROM shipments",
+    "SELECT input_file_name() FROM shipments WHERE shipper_name = '{}'",
+    "SELECT TRANSFORM(id) USING 'cat {}' FROM shipments",
+    "INSERT INTO shipments SELECT '{}'",
+    'SELECT 1; DROP VIEW shipments -- {}',
+    '',
+]
+"""Texts that the guard of stored SQL lets through (the first nine) and refuses, around a name."""
+
+
+def guarded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per part, of a kind by its key, with the part's name in its literal."""
+    kinds = F.array(*[F.lit(text) for text in GUARDED])
+    kind = (F.col("p_partkey") % len(GUARDED)).cast("int")
+    return _read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), kind.alias("kind"), F.replace(F.get(kinds, kind), F.lit("{}"), F.col("p_name")).alias("sql_query")
+    )
+
+
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One saved search per customer."""
     return _read(spark, sf_dir, "customer").select(

@@ -100,6 +100,22 @@ def test_own_names_and_no_traces(spark, ships):
         "SELECT '\nCTE [other]' FROM other",
         "SELECT 1 /* ' */ FROM other",
         "SELECT '\\' FROM other WHERE 'x' = ''",
+        "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')",
+        "SELECT * FROM IDENTIFIER('default.custom_reports')",
+        "SELECT * FROM IDENTIFIER('other')",
+        "SELECT * FROM shipments WHERE id IN (SELECT id FROM IDENTIFIER('x' || 'y'))",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM shipments",
+        "SELECT * FROM range(3)",
+        "SELECT * FROM sql_keywords()",
+        "SELECT * FROM shipments, LATERAL explode(array(1))",
+        "SELECT * FROM other WHERE id IN (WITH other AS (SELECT 1 AS id) SELECT id FROM other)",
+        "SELECT * FROM (WITH other AS (SELECT 1 AS id) SELECT id FROM other) JOIN other USING (id)",
+        "SELECT input_file_name() FROM shipments",
+        "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT own_function(id) FROM shipments",
+        "SELECT TRANSFORM(id) USING 'cat' FROM shipments",
+        "SELECT * FROM shipments VERSION AS OF 1",
+        "SELECT 1) UNION ALL (SELECT 2",
     ],
 )
 def test_only_queries_run(spark, ships, text):
@@ -109,6 +125,43 @@ def test_only_queries_run(spark, ships, text):
         stored.run_sql(spark, ships, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT 'IDENTIFIER(x) FROM other' AS a FROM shipments",
+        "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 3) SELECT i FROM n",
+        "SELECT a.id FROM shipments a JOIN shipments b ON a.id = b.id, LATERAL (SELECT a.id + 1) c",
+        "SELECT id FROM shipments LATERAL VIEW explode(array(1, 2)) t AS x",
+        "SELECT x FROM VALUES (1), (2) AS t(x)",
+        "SELECT shipper_city, count(*) FILTER (WHERE cod_amount > 1) FROM shipments GROUP BY ALL HAVING count(*) > 1",
+        "SELECT transform(array(id), x -> x + 1), CASE WHEN id BETWEEN 1 AND 2 THEN 'a' || 'b' END FROM shipments",
+        "SELECT * FROM (SELECT shipper_city, id FROM shipments) PIVOT (count(id) FOR shipper_city IN ('NATION_1', 'NATION_2'))",
+    ],
+)
+def test_queries_of_all_kinds_run(spark, ships, text):
+    stored.run_sql(spark, ships, text).collect()
+
+
+def test_a_function_of_the_session_does_not_pass_for_a_built_in_one(spark, ships):
+    spark.udf.register("own_upper", lambda text: "mine")
+    with pytest.raises(ValueError):
+        stored.run_sql(spark, ships, "SELECT own_upper(shipper_city) FROM shipments")
+
+
+def test_refused_texts_read_nothing(spark, ships, tmp_path):
+    """A file that does not exist would be an error of another kind if it were looked up."""
+    for text in (f"SELECT * FROM parquet.`{tmp_path}/none`", f"SELECT * FROM IDENTIFIER('parquet.`{tmp_path}/none`')"):
+        with pytest.raises(ValueError, match="no such view|only SELECT"):
+            stored.run_sql(spark, ships, text)
+
+
+def test_verdicts_over_a_table(spark):
+    texts = ["SELECT 1", "SELECT 'a' FROM shipments", "SELECT 'b' FROM shipments", "SELECT * FROM IDENTIFIER('a')", None, ""]
+    rows = spark.createDataFrame([(at, text) for at, text in enumerate(texts)], "id int, sql_query string")
+    found = {row["id"]: row["refused"] for row in stored.verdicts(rows).collect()}
+    assert [found[at] is None for at in range(len(texts))] == [True, True, True, False, False, False]
+
+
 def test_missing_report_and_fallback(spark, ships):
     table = sample.custom_reports(spark, SF_DIR)
     with pytest.raises(LookupError):
