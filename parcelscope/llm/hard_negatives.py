@@ -295,6 +295,8 @@ def _anchors_of(shelves: DataFrame, plan: Layout, positives: int) -> DataFrame:
     def own(blocks: pd.DataFrame) -> pd.DataFrame:
         shelf = Shelf(blocks, plan)
         at = np.flatnonzero(shelf.anchors)
+        if not len(at):
+            return pd.DataFrame({name.split()[0]: pd.Series(dtype=object) for name in _ANCHORS.split(", ")})
         found = pd.DataFrame(
             {
                 "tile": int(blocks["shelf"].iloc[0]) // plan.tile_parts,
@@ -307,11 +309,9 @@ def _anchors_of(shelves: DataFrame, plan: Layout, positives: int) -> DataFrame:
                 "highs": [[_END]] * len(at),
             }
         )
-        if len(at):
-            best = search(found, shelf, plan, True, positives).groupby("row")["score"].agg(["size", "min"])
-            floor = best.loc[best["size"] == positives, "min"].reindex(found["row"])
-            found["lows"] = [[-_END if pd.isna(x) else int(x)] for x in floor.astype(object)]
-        return found
+        best = search(found, shelf, plan, True, positives).groupby("row")["score"].agg(["size", "min"])
+        floor = best.loc[best["size"] == positives, "min"].to_dict()
+        return found.assign(lows=[[int(floor.get(row, -_END))] for row in found["row"]])
 
     return shelves.groupBy("shelf").applyInPandas(own, _ANCHORS)
 
