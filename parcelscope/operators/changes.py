@@ -67,7 +67,7 @@ def _written(spec: TableSpec) -> dict[str, list[tuple[Column, Column]]]:
 
 
 def fold_changes(changes: DataFrame, name: str, key: str = "id") -> DataFrame:
-    """One row per key: whether it was deleted, and per column the last value written, as if applied in order.
+    """One row per key: when it was deleted, and per column the last value written with its place, as if applied in order.
 
     ``max_by`` combines on the map side, so one key may hold any part of the batch.
     """
@@ -79,8 +79,9 @@ def fold_changes(changes: DataFrame, name: str, key: str = "id") -> DataFrame:
     for column, writes in _written(spec).items():
         for writes_it, value in writes:
             at = F.when(writes_it, F.col("seq"))
-            last.append(F.max_by(F.struct(value.alias("value")), at).alias(f"new_{column}"))
-    return rows.groupBy(key).agg(F.bool_or(F.col("op") == "delete").alias("deleted"), *last)
+            last.append(F.max_by(F.struct(value.alias("value"), "seq"), at).alias(f"new_{column}"))
+    deleted = F.max(F.when(F.col("op") == "delete", F.col("seq")))
+    return rows.groupBy(key).agg(deleted.alias("deleted"), *last)
 
 
 def apply_changes(
@@ -89,19 +90,20 @@ def apply_changes(
     """The table after a batch, as if its changes were applied in order.
 
     Inserts get consecutive new keys, and later changes of the batch may name those. Changes of keys that do not exist
-    at their time do nothing.
+    at their time do nothing: the last write of a key counts if it is behind the key's insert, so one pass over the
+    changes is enough.
     """
     columns = TABLES[name].schema.fieldNames()
-    numbered_inserts = _numbered_inserts(base, changes, key, first_id)
-    born = numbered_inserts.select(key, F.col("seq").alias("_born"))
-    in_time = changes.join(born, key, "left").where(F.col("_born").isNull() | (F.col("seq") > F.col("_born")))
-    folded = fold_changes(in_time, name, key)
+    folded = fold_changes(changes, name, key)
     written = {column[4:] for column in folded.columns if column.startswith("new_")}
-    rows = base.unionByName(_filled(numbered_inserts, base, name, key, first_id))
-    merged = rows.join(folded, key, "left").where(~F.coalesce(F.col("deleted"), F.lit(False)))
-    return merged.select(
+    born = F.lit(None).cast("long").alias("_born")
+    rows = base.select(*columns, born).unionByName(_filled(_numbered_inserts(base, changes, key, first_id), base, name, key, first_id, True))
+    merged = rows.join(folded, key, "left")
+    behind = lambda at: F.col("_born").isNull() | (at > F.col("_born"))
+    deleted = F.col("deleted").isNotNull() & behind(F.col("deleted"))
+    return merged.where(~deleted).select(
         *[
-            F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.value")).otherwise(F.col(c)).alias(c)
+            F.when(F.col(f"new_{c}").isNotNull() & behind(F.col(f"new_{c}.seq")), F.col(f"new_{c}.value")).otherwise(F.col(c)).alias(c)
             if c in written
             else F.col(c)
             for c in columns
@@ -125,10 +127,14 @@ def _numbered_inserts(base: DataFrame, changes: DataFrame, key: str, first_id: i
     return numbered(inserts, "seq", key, _first_key(base, key, first_id))
 
 
-def _filled(rows: DataFrame, base: DataFrame, name: str, key: str, first_id: int | Column | None) -> DataFrame:
+def _filled(
+    rows: DataFrame, base: DataFrame, name: str, key: str, first_id: int | Column | None, with_seq: bool = False
+) -> DataFrame:
     if "position" in TABLES[name].schema.fieldNames():
         nth = F.col(key) - _first_key(base, key, first_id)
         rows = rows.withColumn("position", F.coalesce(base.agg(F.max("position")).scalar(), F.lit(-1)) + 1 + nth)
+    if with_seq:
+        return with_defaults(rows, name, F.col("changed_at"), F.col("seq").alias("_born"))
     return with_defaults(rows, name, F.col("changed_at"))
 
 
@@ -168,58 +174,108 @@ def check_unique(df: DataFrame, *keys: str) -> DataFrame:
 
 
 class Merge(NamedTuple):
-    """A table after a batch, the changes that were refused, and the largest key ever given out (one row)."""
+    """A table after a batch, the changes that were refused, and one row with the largest key and ``seq`` ever given out.
+
+    ``children`` is the table below it without the rows whose parent the batch deleted.
+    """
 
     rows: DataFrame
     rejected: DataFrame
     last_id: DataFrame
+    children: DataFrame | None = None
 
 
-def rejected_changes(base: DataFrame, changes: DataFrame, name: str, key: str = "id") -> DataFrame:
-    """``(seq, reason)`` of changes that may not be merged.
+def broken_rule(changes: DataFrame, name: str) -> Column:
+    """Why a change may not be merged, judged by itself, or null.
 
-    Stored SQL must begin like a query; a widget can't do without. The name of a report is unique per user: of the
-    changes that bring a name the first wins, and a name of a row that is neither deleted nor renamed by the batch is taken.
+    Stored SQL must begin like a query; a widget can't do without. Columns that may not be null must be given by an
+    insert and by an update that writes them.
     """
-    refused = []
-    fields = set(TABLES[name].schema.fieldNames()) & set(changes.columns)
-    writes = changes.where(F.col("op").isin("insert", "update", "patch"))
-    if "sql_query" in fields:
+    spec, fields = TABLES[name], set(changes.columns)
+    op, found = F.col("op"), F.lit(None).cast("string")
+    if "sql_query" in fields & set(spec.schema.fieldNames()):
         text = F.col("sql_query")
         bad = ~F.coalesce(text, F.lit("")).rlike(SELECT_START)
-        absent = text.isNull() & (F.col("op") == "patch")
+        absent = text.isNull() & (op == "patch")
         allowed = absent if name == "dashboard_widgets" else text.isNull() | (text == "")
-        refused.append(writes.where(bad & ~allowed).select("seq", F.lit("only SELECT queries are allowed").alias("reason")))
-    if "report_name" in fields:
-        user = F.coalesce(F.col("user_id"), F.lit("default_user")) if "user_id" in fields else F.lit("default_user")
-        given = writes.where(F.col("report_name").isNotNull()).select("seq", "op", key, "report_name", user.alias("user_id"))
-        first = given.groupBy("report_name", "user_id").agg(F.min_by(F.struct("op", key), "seq").alias("first"), F.min("seq").alias("at"))
-        later = given.join(first, ["report_name", "user_id"])
-        # the same row may be given its name again
-        again = F.col(key).eqNullSafe(F.col(f"first.{key}")) & (F.col("op") != "insert")
-        doubled = later.where((F.col("seq") > F.col("at")) & ~again)
-        gone = changes.where(F.col("op").isin("delete", "update")).select(F.col(key).alias("_gone"))
-        stays = base.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-        stays = stays.select("report_name", "user_id", F.col(key).alias("_holder"))
-        taken = given.join(stays, ["report_name", "user_id"]).where((F.col("op") == "insert") | (F.col(key) != F.col("_holder")))
-        names = doubled.select("seq").unionByName(taken.select("seq")).distinct()
-        refused.append(names.select("seq", F.lit("name is taken").alias("reason")))
-    none = changes.where(F.lit(False)).select("seq", F.lit("").alias("reason"))
-    for part in refused:
-        none = none.unionByName(part)
-    return none.groupBy("seq").agg(F.min("reason").alias("reason"))
-
-
-def merge_batch(base: DataFrame, changes: DataFrame, name: str, last_id: int | None = None, key: str = "id") -> Merge:
-    """``apply_changes`` with the rules of the table. Keep ``last_id`` with the table and pass it to the next batch.
-
-    Keys come after the largest one ever given out, so that of a deleted row doesn't come again.
+        writes = op.isin("insert", "update", "patch")
+        found = F.when(writes & bad & ~allowed, F.lit("only SELECT queries are allowed"))
+    for column in spec.required:
+        given = F.col(column) if column in fields else F.lit(None)
+        writes = op == "insert"
+        if column in spec.replaced:
+            writes = op.isin("insert", "update")
+        found = F.coalesce(found, F.when(writes & given.isNull(), F.lit(f"{column} is missing")))
+    return found
+
+
+def rejected_changes(
+    base: DataFrame, changes: DataFrame, name: str, key: str = "id", last_id: int | None = None
+) -> DataFrame:
+    """``(seq, reason)`` of changes that may not be merged: those that break a rule, and those whose name is taken.
+
+    The name of a report is unique per user at every moment, as if the changes were applied one by one.
     """
-    rejected = rejected_changes(base, changes, name, key)
-    accepted = changes.join(rejected, "seq", "left_anti")
-    newest = base.agg(F.max(key)).scalar()
-    mark = F.greatest(F.coalesce(newest, F.lit(0)), F.lit(last_id or 0))
-    inserts = accepted.where(F.col("op") == "insert")
+    return _judged(base, changes, name, key, last_id).where("reason IS NOT NULL").select("seq", "reason")
+
+
+def _mark(base: DataFrame, key: str, last_id: int | None) -> Column:
+    return F.greatest(F.coalesce(base.agg(F.max(key)).scalar(), F.lit(0)), F.lit(last_id or 0))
+
+
+def _judged(base: DataFrame, changes: DataFrame, name: str, key: str, last_id: int | None) -> DataFrame:
+    judged = changes.withColumn("reason", broken_rule(changes, name))
+    if "report_name" not in TABLES[name].schema.fieldNames() or "report_name" not in changes.columns:
+        return judged
+    from .names import taken_names
+
+    user = F.coalesce(F.col("user_id"), F.lit("default_user")) if "user_id" in changes.columns else F.lit("default_user")
+    batch = judged.where("reason IS NULL AND op IN ('insert', 'update', 'patch', 'delete')").select(
+        "seq",
+        "op",
+        F.when(F.col("op") != "insert", F.col(key)).cast("long").alias("key"),
+        F.when(F.col("op") != "delete", F.col("report_name")).alias("name"),
+        F.when(F.col("op") == "insert", user).alias("user"),
+    )
+    taken = taken_names(base, batch, "report_name", "user_id", key, last_id)
+    taken = taken.select("seq", F.lit("name is taken").alias("_taken"))
+    return judged.join(taken, "seq", "left").withColumn("reason", F.coalesce("reason", "_taken")).drop("_taken")
+
+
+def merge_batch(
+    base: DataFrame,
+    changes: DataFrame,
+    name: str,
+    last_id: int | None = None,
+    key: str = "id",
+    last_seq: int | None = None,
+    children: tuple[DataFrame, str] | None = None,
+) -> Merge:
+    """``apply_changes`` with the rules of the table. Keep ``last_id`` and ``last_seq`` with the table and pass them on.
+
+    Keys come after the largest one ever given out, so that of a deleted row doesn't come again. Changes up to
+    ``last_seq`` have been merged before and are skipped, so a batch that comes again changes nothing. ``children`` is a
+    table with the name of its column that holds keys of this one: its rows go with their parent.
+    """
+    if last_seq is not None:
+        changes = changes.where(F.col("seq") > last_seq)
+    judged = _judged(base, changes, name, key, last_id)
+    rejected = judged.where("reason IS NOT NULL").select("seq", "reason")
+    accepted = judged.where("reason IS NULL").drop("reason")
+    mark = _mark(base, key, last_id)
     first_id = None if last_id is None else base.sparkSession.range(1).select(mark + 1).scalar()
     rows = apply_changes(base, accepted, name, key, first_id)
-    return Merge(rows, rejected, inserts.agg((mark + F.count(F.lit(1))).alias("last_id")))
+    newest = judged.agg(
+        (mark + F.count_if((F.col("op") == "insert") & F.col("reason").isNull())).alias("last_id"),
+        F.greatest(F.max("seq"), F.lit(last_seq).cast("long")).alias("last_seq"),
+    )
+    left = None
+    if children:
+        table, parent = children
+        left = cascade(table, parent, _gone(rows, accepted, key), key)
+    return Merge(rows, rejected, newest, left)
+
+
+def _gone(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """Keys that the batch deletes and the table no longer has."""
+    return deleted_keys(accepted.where(F.col(key).isNotNull()), key).join(rows.select(key), key, "left_anti")

@@ -157,6 +157,12 @@ _TABLES = {
     CASE WHEN seq % 2 = 0 THEN 'changed' END AS description, CASE WHEN seq % 3 = 0 THEN 'SELECT 1' END AS sql_query,
     CASE WHEN seq % 5 = 0 THEN '{}' END AS parameters
   FROM changes WHERE op IN ('insert', 'update', 'delete'))""",
+    "named_reports": "named_reports AS (SELECT * REPLACE (report_name || ' #' || id::VARCHAR AS report_name) FROM custom_reports)",
+    "name_changes": """name_changes AS (
+  SELECT seq, changed_at, op, c.id,
+    CASE WHEN op <> 'delete' THEN coalesce(r.report_name, 'Shared ' || (seq * 7 % 61)::VARCHAR) END AS report_name
+  FROM changes c LEFT JOIN named_reports r ON seq % 4 = 0 AND r.id = (seq * 11) % 150 + 1
+  WHERE op IN ('insert', 'update', 'delete'))""",
     "search_changes": """search_changes AS (
   SELECT seq, changed_at, op, id, 'Search ' || seq::VARCHAR AS title,
     CASE WHEN seq % 2 = 0 THEN 'changed' END AS description, '{"cod":"yes"}' AS filters

@@ -259,6 +259,49 @@ def m08(spark, sf):
     return M.check_unique(sample.custom_reports(spark, sf))
 
 
+# The text applies the changes one after the other, where the Spark side settles all verdicts together.
+@register(
+    "m08_names_in_order",
+    over_tables(
+        "custom_reports named_reports changes name_changes",
+        """WITH c AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM name_changes),
+        s AS (
+          SELECT 0::BIGINT AS i, NULL::BIGINT AS refused, (SELECT max(id) FROM named_reports) AS last,
+            (SELECT list({'k': id, 'n': report_name}) FROM named_reports) AS held
+          UNION ALL
+          SELECT i, CASE WHEN taken THEN seq END, last + (op = 'insert' AND NOT taken)::BIGINT,
+            CASE WHEN taken THEN held
+              WHEN op = 'insert' THEN list_append(held, {'k': last + 1, 'n': report_name})
+              WHEN op = 'delete' THEN list_filter(held, lambda x: x.k <> id)
+              ELSE list_transform(held, lambda x: CASE WHEN x.k = id THEN {'k': x.k, 'n': report_name} ELSE x END) END
+          FROM (SELECT c.i, c.seq, c.op, c.id, c.report_name, s.last, s.held,
+              len(list_filter(s.held, lambda x: x.n = c.report_name AND x.k IS DISTINCT FROM c.id)) > 0
+                AND (c.op = 'insert' OR c.op = 'update' AND len(list_filter(s.held, lambda x: x.k = c.id)) > 0) AS taken
+            FROM s JOIN c ON c.i = s.i + 1) t
+        )
+        SELECT refused AS seq, 'name is taken' AS reason FROM s WHERE refused IS NOT NULL""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def m08_in_order(spark, sf):
+    """Changes of a batch that want a name which another report holds at their time."""
+    return M.rejected_changes(sample.named_reports(spark, sf), sample.name_changes(spark, sf), "custom_reports")
+
+
+@register(
+    "m09_cascade_in_merge",
+    over_tables(
+        "scheduled_reports custom_reports named_reports changes report_changes",
+        """SELECT * FROM scheduled_reports
+        WHERE report_id NOT IN (SELECT id FROM report_changes WHERE op = 'delete')""",
+    ),
+)
+def m09_merge(spark, sf):
+    """Schedules after a batch of changes to the reports they belong to."""
+    below = (sample.scheduled_reports(spark, sf), "report_id")
+    batch = sample.report_changes(spark, sf)
+    return M.merge_batch(sample.named_reports(spark, sf), batch, "custom_reports", children=below).children
+
+
 @register(
     "m09_cascade",
     over_tables(
@@ -301,12 +344,10 @@ def m10_widgets(spark, sf):
     ),
 )
 def merge_reports(spark, sf):
-    return M.apply_changes(sample.custom_reports(spark, sf), sample.report_changes(spark, sf), "custom_reports")
+    return M.merge_batch(sample.custom_reports(spark, sf), sample.report_changes(spark, sf), "custom_reports").rows
 
 
-@register(
-    "merge_saved_searches",
-    over_tables(
+_MERGED_SEARCHES = over_tables(
         "saved_searches changes search_changes",
         f"""SELECT * EXCLUDE (changed, new_title, new_description, new_filters) REPLACE (
           coalesce(new_title, title) AS title, coalesce(new_filters, filters) AS filters,
@@ -318,10 +359,23 @@ def merge_reports(spark, sf):
         UNION ALL SELECT (SELECT max(id) FROM saved_searches) + row_number() OVER (ORDER BY seq), title,
           coalesce(description, ''), filters, changed_at, changed_at, 0, 'default_user'
         FROM search_changes WHERE op = 'insert'""",
-    ),
-)
+    )
+
+
+@register("merge_saved_searches", _MERGED_SEARCHES)
 def merge_searches(spark, sf):
-    return M.apply_changes(sample.saved_searches(spark, sf), sample.search_changes(spark, sf), "saved_searches")
+    return M.merge_batch(sample.saved_searches(spark, sf), sample.search_changes(spark, sf), "saved_searches").rows
+
+
+@register("m01_replay", _MERGED_SEARCHES)
+def m01_replay(spark, sf):
+    """A batch that comes twice: the second time it is behind the mark kept with the table and changes nothing."""
+    base, batch = sample.saved_searches(spark, sf), sample.search_changes(spark, sf)
+    once = M.merge_batch(base, batch, "saved_searches")
+    mark = once.last_id.first()
+    path = scratch_path(spark, "saved_searches")
+    once.rows.write.parquet(path)
+    return M.merge_batch(spark.read.schema(base.schema).parquet(path), batch, "saved_searches", mark["last_id"], last_seq=mark["last_seq"]).rows
 
 
 @register(
@@ -338,7 +392,7 @@ def merge_searches(spark, sf):
     ),
 )
 def merge_widgets(spark, sf):
-    return M.apply_changes(sample.dashboard_widgets(spark, sf), sample.widget_changes(spark, sf), "dashboard_widgets")
+    return M.merge_batch(sample.dashboard_widgets(spark, sf), sample.widget_changes(spark, sf), "dashboard_widgets").rows
 
 
 @register(
@@ -366,4 +420,4 @@ def merge_widgets(spark, sf):
     ),
 )
 def merge_schedules(spark, sf):
-    return M.apply_changes(sample.scheduled_reports(spark, sf), sample.schedule_changes(spark, sf), "scheduled_reports")
+    return M.merge_batch(sample.scheduled_reports(spark, sf), sample.schedule_changes(spark, sf), "scheduled_reports").rows

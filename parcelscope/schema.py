@@ -109,7 +109,7 @@ class TableSpec:
 
     ``defaults`` fill absent values on insert, ``replaced`` are the columns a full update writes (an absent one goes
     back to its value in ``reset``), ``patched`` are the columns a patch may write, and ``stamped`` names the
-    operations that set ``updated_at``.
+    operations that set ``updated_at``. ``required`` columns may not be null.
     """
 
     schema: T.StructType
@@ -118,6 +118,7 @@ class TableSpec:
     reset: dict = field(default_factory=dict)
     patched: tuple[str, ...] = ()
     stamped: tuple[str, ...] = ()
+    required: tuple[str, ...] = ()
 
 
 # The column defaults of the four tables.
@@ -133,6 +134,7 @@ TABLES: dict[str, TableSpec] = {
         },
         replaced=("title", "description", "filters"),
         reset={"description": ""},
+        required=("title", "filters"),
     ),
     "custom_reports": TableSpec(
         schema=CUSTOM_REPORTS,
@@ -146,6 +148,7 @@ TABLES: dict[str, TableSpec] = {
         },
         replaced=("report_name", "description", "sql_query", "parameters"),
         reset={"description": "", "sql_query": "", "parameters": "{}"},
+        required=("report_name",),
     ),
     "scheduled_reports": TableSpec(
         schema=SCHEDULED_REPORTS,
@@ -179,6 +182,7 @@ TABLES: dict[str, TableSpec] = {
             "email_body": "",
         },
         stamped=("update", "set_active"),
+        required=("report_id", "schedule_name"),
     ),
     "dashboard_widgets": TableSpec(
         schema=DASHBOARD_WIDGETS,
@@ -195,5 +199,6 @@ TABLES: dict[str, TableSpec] = {
         },
         patched=("widget_name", "description", "widget_type", "sql_query", "icon", "color", "date_range"),
         stamped=("patch",),
+        required=("widget_name", "sql_query"),
     ),
 }

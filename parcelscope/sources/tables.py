@@ -47,8 +47,8 @@ def load_jdbc(
     return reader.options(**options).load()
 
 
-def with_defaults(df: DataFrame, name: str, at=None) -> DataFrame:
-    """Fills absent values of a new row of a small table; ``at`` is the time column of the change."""
+def with_defaults(df: DataFrame, name: str, at=None, *beside) -> DataFrame:
+    """Fills absent values of a new row of a small table; ``at`` is the time column of the change, ``beside`` stay next to it."""
     spec = TABLES[name]
     now = F.current_timestamp().cast("timestamp_ntz") if at is None else at
     columns = []
@@ -59,7 +59,7 @@ def with_defaults(df: DataFrame, name: str, at=None) -> DataFrame:
             default = spec.defaults[field.name]
             given = F.coalesce(given, now if default is NOW else F.lit(default).cast(field.dataType))
         columns.append(given.alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *beside)
 
 
 def ensure_tables(spark: SparkSession, folder: str, database: str = "default") -> list[str]:

@@ -230,3 +230,108 @@ def test_a_widget_needs_a_query(spark):
     batch = spark.createDataFrame(rows, "seq long, changed_at timestamp_ntz, op string, id long, widget_name string, sql_query string")
     refused = M.rejected_changes(spark.createDataFrame([], DASHBOARD_WIDGETS), batch, "dashboard_widgets")
     assert sorted(r["seq"] for r in refused.collect()) == [1, 2]
+
+
+NAMED = "seq long, changed_at timestamp_ntz, op string, id long, report_name string, sql_query string, user_id string"
+
+
+def named_one_by_one(base, changes):
+    """(refused seqs, {id: (name, sql)}) after the changes were applied in order, row by row."""
+    rows = {i: (name, user, "SELECT 0") for i, name, user in base}
+    last, refused = max(rows, default=0), []
+    for seq, op, key, name, sql, user in sorted(changes):
+        owner = rows[key][1] if op != "insert" and key in rows else user
+        taken = name is not None and any(r[:2] == (name, owner) for i, r in rows.items() if i != key)
+        if op in ("insert", "update") and name is None or sql and not sql.startswith("SELECT"):
+            refused.append(seq)
+        elif op == "insert":
+            if taken:
+                refused.append(seq)
+            else:
+                last += 1
+                rows[last] = (name, user, sql or "")
+        elif key not in rows:
+            continue
+        elif op == "delete":
+            del rows[key]
+        elif op == "update":
+            if taken:
+                refused.append(seq)
+            else:
+                rows[key] = (name, rows[key][1], sql or "")
+    return sorted(refused), {i: (r[0], r[2]) for i, r in rows.items()}
+
+
+def check_names(spark, base, changes):
+    schema = "id long, report_name string, user_id string"
+    table = spark.createDataFrame(base, schema).selectExpr(
+        "id", "report_name", "'' AS description", "'SELECT 0' AS sql_query", "'{}' AS parameters", f"TIMESTAMP_NTZ '{AT}' AS created_at",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS last_executed", "0 AS execution_count", "user_id",
+    )
+    batch = spark.createDataFrame([(s, stamp(s % 1000), op, k, n, q, u) for s, op, k, n, q, u in changes], NAMED)
+    merged = M.merge_batch(table, batch, "custom_reports")
+    refused, rows = named_one_by_one(base, changes)
+    assert sorted(r["seq"] for r in merged.rejected.collect()) == refused
+    assert {r["id"]: (r["report_name"], r["sql_query"]) for r in merged.rows.collect()} == rows
+    assert merged.last_id.first()["last_seq"] == max(c[0] for c in changes)
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        # the update is refused for its text, so row 2 keeps "b" and the insert is refused
+        [(1, "update", 2, "c", "DROP x", "u"), (2, "insert", None, "b", None, "u")],
+        # the name is free only after the insert
+        [(1, "insert", None, "b", None, "u"), (2, "delete", 2, None, None, "u")],
+        # a name given up by a rename, and the freed name taken and given up again
+        [(1, "update", 2, "c", None, "u"), (2, "insert", None, "b", None, "u"), (3, "update", 1, "b", None, "u"), (4, "update", 3, "d", None, "u"), (5, "update", 1, "b", None, "u")],
+        # not null, another user's name, a key that the batch itself made, one that never was
+        [(1, "update", 2, None, None, "u"), (2, "insert", None, "b", None, "v"), (3, "update", 3, "a", None, "v"), (4, "update", 9, "a", None, "u"), (5, "insert", None, "a", None, "u")],
+    ],
+)
+def test_who_holds_a_name_when(spark, changes):
+    check_names(spark, [(1, "a", "u"), (2, "b", "u")], changes)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_names_equal_changes_applied_one_by_one(spark, seed):
+    dice = random.Random(seed)
+    base = [(i, f"n{i}", dice.choice("uv")) for i in range(1, 13)]
+    changes = []
+    for seq in dice.sample(range(10**6), 150):
+        op = dice.choice(["insert", "update", "update", "update", "delete"] if dice.random() < 0.6 else ["update"])
+        key = None if op == "insert" else 5 if dice.random() < 0.3 else dice.randint(1, 25)
+        name = None if op == "delete" or dice.random() < 0.05 else f"n{dice.randint(1, 18)}"
+        changes.append((seq, op, key, name, dice.choice([None, "SELECT 1", "DROP x"]) if op != "delete" else None, dice.choice("uv")))
+    check_names(spark, base, changes)
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark):
+    base = sample.saved_searches(spark, SF_DIR)
+    batch = sample.search_changes(spark, SF_DIR)
+    once = M.merge_batch(base, batch, "saved_searches", 0)
+    mark, rows = once.last_id.first(), spark.createDataFrame(once.rows.collect(), SAVED_SEARCHES)
+    twice = M.merge_batch(rows, batch, "saved_searches", mark["last_id"], last_seq=mark["last_seq"])
+    assert rows.exceptAll(twice.rows).count() == 0 and twice.rows.count() == rows.count()
+    assert tuple(twice.last_id.first()) == tuple(mark)
+
+
+def test_children_go_with_their_parent(spark):
+    reports = sample.named_reports(spark, SF_DIR).where("id <= 3")
+    schedules = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (4, None)], "id long, report_id long")
+    batch = spark.createDataFrame([(1, AT, "delete", 1, None, None, None), (2, AT, "update", 2, "new", None, None)], NAMED)
+    left = M.merge_batch(reports, batch, "custom_reports", children=(schedules, "report_id")).children
+    assert sorted(r["id"] for r in left.collect()) == [2, 3, 4]
+
+
+def test_last_before_equals_a_plain_loop(spark):
+    from parcelscope.operators.running import last_before
+
+    dice = random.Random(4)
+    rows = [(dice.choice(["a", "b", "b", "b", None]), at, at if dice.random() < 0.3 else None) for at in range(0, 900, 3)]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(5)
+    found = {r["at"]: r["found"] for r in last_before(df, ["k"], "at", F.col("v"), "found", 100, 700, 16).collect()}
+    last = {}
+    for key, at, value in rows:
+        assert found[at] == last.get(key)
+        last[key] = value if value is not None else last.get(key)
