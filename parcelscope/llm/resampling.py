@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .sharding import with_prefix_sums
 from .store import stored
-from .texts import GOLDEN, WordHashes, mixed, split_words
+from .texts import GOLDEN, WordHashes, chunks, mixed, split_words
 
 BUCKETS = 10_000
 MAX_TARGET = 20_000
@@ -48,9 +48,11 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, raw, target = WordHashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            found, owner = ngram_buckets(batch["text"], hashes, buckets)
-            raw += np.bincount(found, minlength=buckets)
-            target += np.bincount(found[batch["is_target"].to_numpy(bool)[owner]], minlength=buckets)
+            texts, wanted = batch["text"].tolist(), batch["is_target"].to_numpy(bool)
+            for part in chunks(texts):
+                found, owner = ngram_buckets(texts[part], hashes, buckets)
+                raw += np.bincount(found, minlength=buckets)
+                target += np.bincount(found[wanted[part][owner]], minlength=buckets)
         yield pd.DataFrame({"bucket": np.arange(buckets), "raw": raw, "target": target})
 
     per_task = docs.select("text", "is_target").mapInPandas(count, "bucket long, raw long, target long")
@@ -73,8 +75,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            found, owner = ngram_buckets(batch["text"], hashes, len(ratios))
-            weights = np.bincount(owner, ratios[found], minlength=len(batch))
+            texts, weights = batch["text"].tolist(), np.zeros(len(batch))
+            for part in chunks(texts):
+                found, owner = ngram_buckets(texts[part], hashes, len(ratios))
+                weights[part] = np.bincount(owner, ratios[found], minlength=len(weights[part]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "noise": batch["noise"], "log_weight": weights})
 
     read = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id").alias("noise"), "text")

@@ -20,7 +20,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Hash of each word; the cache is emptied when it is full, so its size is bounded."""
 
-    FULL = 1 << 19
+    FULL = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.FULL:
