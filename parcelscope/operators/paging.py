@@ -8,12 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import total
-from .ranks import key_at_rank, nth_newest_id
-from .windows import created_from, created_to
-
-# Up to this rank a page is a plain top-k, for which every task hands that many rows to a single one. Behind it the
-# page is found by counting, so that what one task gets does not grow with the depth of the page.
-TOP_K = 1_000
+from .ranks import ROWS, newest_order, rows_between
+from .windows import created_to
 
 BY_ID = "id"
 BY_DATE = "date"
@@ -25,10 +21,8 @@ class Page(NamedTuple):
 
 
 def newest_first(df: DataFrame, order: str = BY_ID) -> DataFrame:
-    """By id, or by normalised date with undated rows first and the id as tie-break."""
-    if order == BY_ID:
-        return df.orderBy(F.desc("id"))
-    return df.orderBy(F.desc_nulls_first("creation_ymd"), F.desc("id"))
+    """By id, or by normalised date with undated rows first and the id as tie-break; repeated ids in an order of their own."""
+    return df.orderBy(*newest_order(df, order == BY_DATE))
 
 
 def _check(page: int, limit: int) -> None:
@@ -40,45 +34,41 @@ def first_rows(df: DataFrame, limit: int, order: str = BY_ID) -> DataFrame:
     return page_rows(df, 1, limit, order)
 
 
-def page_rows(df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID, top_k: int = TOP_K) -> DataFrame:
-    """Rows of one page. A deep page first finds the key it begins with and takes what follows."""
+def page_rows(
+    df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID, counts: DataFrame | None = None
+) -> DataFrame:
+    """Rows of one page, found by counting what is before them; nothing is before the first page, which is a top-k.
+
+    ``counts`` are the stored counts of exactly the rows of ``df`` (``ranks.load_counts``); without them the rows are counted.
+    """
     _check(page, limit)
-    skipped = (page - 1) * limit
-    if skipped + limit <= top_k:
-        return newest_first(df, order).offset(skipped).limit(limit)
-    at_or_after, key_at = (_from_id, nth_newest_id) if order == BY_ID else (_from_key, key_at_rank)
-    rows = df
-    if skipped:
-        first = key_at(df, skipped + 1)
-        if first is None:
-            return df.limit(0)
-        rows = at_or_after(df, first)
-    if limit <= top_k:
-        return newest_first(rows, order).limit(limit)
-    # A large page is cut at its last key as well, so that its rows are sorted by many tasks.
-    last = key_at(df, skipped + limit)
-    return newest_first(rows if last is None else at_or_after(rows, last, until=True), order)
-
-
-def _from_id(df: DataFrame, id_: int, until: bool = False) -> DataFrame:
-    return df.where(F.col("id") >= id_ if until else F.col("id") <= id_)
-
-
-def _from_key(df: DataFrame, key: tuple[str | None, int], until: bool = False) -> DataFrame:
-    """Rows that come at or after a key in the order by date, or with ``until`` at or before it."""
-    day, id_ = key
-    ymd = F.col("creation_ymd")
-    same = ymd.eqNullSafe(F.lit(day)) & (F.col("id") >= id_ if until else F.col("id") <= id_)
-    if until:
-        return df.where(same if day is None else ymd.isNull() | (created_from(day) & (same | (ymd > day))))
-    return df.where(same | ymd.isNotNull() if day is None else created_to(day) & (same | (ymd < day)))
-
-
-def page_info(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
+    if page == 1:
+        return newest_first(df, order).limit(limit)
+    first = (page - 1) * limit + 1
+    found = rows_between(df, first, first + limit - 1, order == BY_DATE, counts)
+    return found.orderBy("rank_").drop("rank_")
+
+
+def rows_after(df: DataFrame, id_: int, day: str | None = None, limit: int = 20, order: str = BY_ID) -> DataFrame:
+    """The next rows after the one with this id (and date, in the order by date), where a reader goes from page to page.
+
+    Reads only what is older than the key. Rows that share the whole key are taken as seen.
+    """
+    _check(1, limit)
+    older = F.col("id") < id_
+    if order == BY_DATE:
+        ymd = F.col("creation_ymd")
+        same = ymd.eqNullSafe(F.lit(day)) & older
+        older = same | ymd.isNotNull() if day is None else created_to(day) & (same | (ymd < day))
+    return newest_first(df.where(older), order).limit(limit)
+
+
+def page_info(df: DataFrame, page: int = 1, limit: int = 20, counts: DataFrame | None = None) -> DataFrame:
     """One row: page, limit, total, total_pages, has_next, has_prev."""
     _check(page, limit)
+    found = total(df) if counts is None else counts.agg(F.coalesce(F.sum(ROWS), F.lit(0)).alias("total"))
     pages = F.expr(f"(total + {limit - 1}) div {limit}")
-    return total(df).select(
+    return found.select(
         F.lit(page).cast("long").alias("page"),
         F.lit(limit).cast("long").alias("limit"),
         "total",
@@ -88,6 +78,8 @@ def page_info(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
     )
 
 
-def paginate(df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID) -> Page:
+def paginate(
+    df: DataFrame, page: int = 1, limit: int = 20, order: str = BY_ID, counts: DataFrame | None = None
+) -> Page:
     """Rows and facts of one page over the same filtered plan."""
-    return Page(page_rows(df, page, limit, order), page_info(df, page, limit))
+    return Page(page_rows(df, page, limit, order, counts), page_info(df, page, limit, counts))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import OTHER_MONTH
-from .ranks import nth_newest_id
+from .ranks import newest_rows
 
 # Days that a preset reaches back.
 DAYS_BACK = {"today": 0, "week": 7, "month": 30, "year": 365}
@@ -107,11 +107,9 @@ def id_window(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("id") > df.agg(F.max("id") - F.lit(n)).scalar())
 
 
-def latest_n(df: DataFrame, n: int) -> DataFrame:
-    """Exactly the ``n`` rows with the largest ids, or all rows when there are fewer.
+def latest_n(df: DataFrame, n: int, counts: DataFrame | None = None) -> DataFrame:
+    """Exactly the ``n`` rows with the largest ids, or all rows when there are fewer; unsorted and spread over the tasks.
 
-    The smallest id among them is found first, so that the rows stay spread over the tasks; a sort with a limit
-    would send up to ``n`` rows of every task into one.
+    ``counts`` are the stored counts of exactly these rows; without them the rows are counted in the same plan.
     """
-    oldest = nth_newest_id(df, n)
-    return df if oldest is None else df.where(F.col("id") >= oldest)
+    return newest_rows(df, n, counts)

@@ -19,8 +19,8 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[name for name in SHIPMENT_COLUMNS if name in df.columns])
 
 
-def _page(rows: DataFrame, page: int, limit: int, order: str) -> Page:
-    found = paginate(rows, page, limit, order)
+def _page(rows: DataFrame, page: int, limit: int, order: str, counts: DataFrame | None = None) -> Page:
+    found = paginate(rows, page, limit, order, counts)
     return Page(_plain(found.rows), found.info)
 
 
@@ -32,9 +32,13 @@ def list_shipments(
     start: str | None = None,
     end: str | None = None,
     as_of: date | None = None,
+    counts: DataFrame | None = None,
 ) -> Page:
+    """Newest shipments by id. ``counts`` are the stored counts of all of ``df``; a date window takes its part of them."""
     window = date_window(date_filter, as_of, start, end)
-    return _page(normalise(df).where(in_window(window)), page, limit, BY_ID)
+    if counts is not None and window is not None:
+        counts = counts.where(F.col("creation_ymd").between(window.start, window.end))
+    return _page(normalise(df).where(in_window(window)), page, limit, BY_ID, counts)
 
 
 def filter_shipments(

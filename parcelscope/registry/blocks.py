@@ -90,6 +90,12 @@ def d05(spark, sf):
     return id_window(shipments(spark, sf), 24_000).select("id", "creation_ymd")
 
 
+@register("d06_latest_n_counted", over_shipments("SELECT id, creation_ymd FROM ship ORDER BY id DESC LIMIT 777"))
+def d06_counted(spark, sf):
+    """The border of the newest rows from the counts stored beside the shipments."""
+    return latest_n(shipments(spark, sf), 777, sample.shipment_counts(spark, sf)).select("id", "creation_ymd")
+
+
 @register("d06_latest_n", over_shipments("SELECT id, creation_ymd FROM ship ORDER BY id DESC LIMIT 2400"))
 def d06(spark, sf):
     return latest_n(shipments(spark, sf), 2_400).select("id", "creation_ymd")
@@ -534,8 +540,9 @@ def o08(spark, sf):
     ),
 )
 def o08_deep(spark, sf):
-    """Behind the depth of a top-k: the key it begins with is found by counting."""
-    rows = paging.page_rows(shipments(spark, sf), page=201, limit=50, order=paging.BY_DATE)
+    """What is before the page is taken from the counts stored beside the shipments."""
+    counts = sample.shipment_counts(spark, sf)
+    rows = paging.page_rows(shipments(spark, sf), page=201, limit=50, order=paging.BY_DATE, counts=counts)
     return rows.select("id", "creation_ymd")
 
 
@@ -547,6 +554,45 @@ def o08_deep_id(spark, sf):
     return paging.page_rows(shipments(spark, sf), page=241, limit=50).select("id", "creation_ymd")
 
 
+@register(
+    "o08_deep_page_of_filter",
+    over_shipments(
+        """SELECT id, creation_ymd FROM ship WHERE weight_kg > 0.4
+        ORDER BY creation_ymd DESC NULLS FIRST, id DESC LIMIT 30 OFFSET 300"""
+    ),
+)
+def o08_deep_filter(spark, sf):
+    """A filter has no stored counts: its rows are counted in the plan that reads them."""
+    rows = paging.page_rows(shipments(spark, sf).where("weight_kg > 0.4"), page=11, limit=30, order=paging.BY_DATE)
+    return rows.select("id", "creation_ymd")
+
+
+@register(
+    "o08_repeated_ids",
+    over_shipments(
+        """SELECT day, id, count(*)::BIGINT AS rows FROM (SELECT creation_ymd AS day, id // 10 AS id FROM ship
+        ORDER BY 1 DESC NULLS FIRST, 2 DESC LIMIT 101 OFFSET 202) GROUP BY 1, 2"""
+    ),
+)
+def o08_repeated(spark, sf):
+    """A page over ids that repeat holds as many rows of each as it should."""
+    rows = shipments(spark, sf).withColumn("id", F.expr("id div 10"))
+    page = paging.page_rows(rows, page=3, limit=101, order=paging.BY_DATE)
+    return page.groupBy(F.col("creation_ymd").alias("day"), "id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "o08_after_key",
+    over_shipments(
+        """SELECT id, creation_ymd FROM ship WHERE creation_ymd < '20250615' OR (creation_ymd = '20250615' AND id < 900)
+        ORDER BY creation_ymd DESC, id DESC LIMIT 40"""
+    ),
+)
+def o08_after(spark, sf):
+    """The rows that follow a date and id, as when a reader turns the page."""
+    return paging.rows_after(shipments(spark, sf), 900, "20250615", 40, paging.BY_DATE).select("id", "creation_ymd")
+
+
 @register(
     "o08_page_info",
     over_shipments(

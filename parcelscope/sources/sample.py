@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import load_counts, write_counts
 from ..schema import SHIPMENT_COLUMNS
 from .normalised import write_normalised
 from .scratch import write_once
@@ -94,6 +95,12 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _opened[path]
 
 
+def shipment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per date and range of ids, stored beside the shipments."""
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "supplier", "customer", "nation")]
+    return load_counts(spark, write_once(spark, "shipment_counts", inputs, lambda to, _: write_counts(shipments(spark, sf_dir), to)))
+
+
 _CREATED = "CAST(timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, {key} % 5000) AS TIMESTAMP_NTZ)"
 
 

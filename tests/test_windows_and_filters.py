@@ -51,15 +51,15 @@ def test_id_window_keeps_at_most_n(ships):
 
 
 def test_latest_n_is_exact_with_gaps_and_small_buckets(spark):
-    from parcelscope.operators.ranks import nth_newest_id
+    from parcelscope.operators.ranks import newest_rows
 
     ids = [1, 2, 3, 1_000, 1_001, 500_000, 500_007, 10_000_000_000]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     newest = sorted(ids, reverse=True)
     for n in range(1, len(ids) + 1):
-        assert nth_newest_id(df, n, buckets=4) == newest[n - 1]
-    assert nth_newest_id(df, len(ids) + 1, buckets=4) is None
-    assert nth_newest_id(df.limit(0), 1) is None
+        assert sorted((r["id"] for r in newest_rows(df, n, block_ids=4).collect()), reverse=True) == newest[:n]
+    assert newest_rows(df, len(ids) + 1, block_ids=4).count() == len(ids)
+    assert newest_rows(df.limit(0), 1).count() == 0
     assert latest_n(df, 100).count() == len(ids)
 
 
