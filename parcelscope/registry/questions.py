@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import search
+from ..operators import search, segments
 from ..plans import analytics as G
 from ..plans import listings as S
 from ..plans import reports as T
@@ -185,6 +185,46 @@ _searched(
     ),
 )
 
+_GROWN_QUERY = 'moved nation_3 or "9 moved" or nation_4 -"4 not specified"'
+_GROWN = """(SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'moved ' || (id % 11)::VARCHAR ELSE consignee_city END AS consignee_city)
+    FROM ship WHERE id % 7 <> 0) ship"""
+_GROWN_SQL = f"""SELECT id FROM (SELECT *, {_padded(_SEARCH_TEXT)} AS words FROM {_GROWN})
+    WHERE (contains(words, ' moved ') AND contains(words, ' nation 3 ')) OR contains(words, ' 9 moved ')
+    OR (contains(words, ' nation 4 ') AND NOT contains(words, ' 4 not specified '))"""
+
+
+def _grown_index(spark, sf) -> str:
+    """An index written in three batches: even ids, odd ids, and changes to both."""
+    rows = shipments(spark, sf)
+
+    def write(to: str, tasks: int) -> None:
+        segments.add_segment(rows.where("id % 2 = 0"), to, 1, tasks=tasks)
+        segments.add_segment(rows.where("id % 2 = 1"), to, 2, tasks=tasks)
+        changed = rows.where("id % 5 = 0 AND id % 7 <> 0")
+        city = F.expr("'moved ' || CAST(id % 11 AS STRING)")
+        gone = rows.where("id % 5 = 0 OR id % 7 = 0")
+        segments.add_segment(changed.withColumn("consignee_city", city), to, 3, tasks=tasks, removed=gone)
+
+    inputs = [f"{sf}/{name}.parquet" for name in ("orders", "lineitem", "supplier", "customer", "nation")]
+    return write_once(spark, "growing_index", inputs, write)
+
+
+@register("s08_growing_index", over_shipments(_GROWN_SQL))
+def growing_index(spark, sf):
+    """A search over the segments of three batches, one of which replaces and removes rows."""
+    return search.search_index(segments.open_segments(spark, _grown_index(spark, sf)), _GROWN_QUERY)
+
+
+@register("s08_folded_index", over_shipments(_GROWN_SQL))
+def folded_index(spark, sf):
+    """The same search after the three segments were folded into one."""
+    path = _grown_index(spark, sf)
+    folded = write_once(
+        spark, "folded_index", [path], lambda to, tasks: segments.fold_segments(spark, path, to, 3, tasks)
+    )
+    return search.search_index(segments.open_segments(spark, folded), _GROWN_QUERY)
+
+
 _DOC_QUERY = "the -and or \"in the\""
 _DOC_SQL = "(contains(words, ' the ') AND NOT contains(words, ' and ')) OR contains(words, ' in the ')"
 _DOCS = f"(SELECT *, {_padded('text')} AS words FROM documents)"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parcelscope.operators import search
+from parcelscope.operators import search, segments
 
 TEXTS = {
     1: "the cat sat on the mat",
@@ -81,3 +81,39 @@ def test_stored_index_answers_like_the_column(spark, ships, tmp_path):
     by_index = {r["id"] for r in search.search_index(index, query).collect()}
     by_column = {r["id"] for r in ships.where(search.matches_search(search.search_text(), query)).collect()}
     assert by_index == by_column and by_index
+
+
+def test_an_index_of_three_batches_answers_like_one_built_at_once(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    first = {1: "red box", 2: "blue box", 3: "red cat", 4: "the green hat"}
+    second = {5: "red hat", 2: "blue hat", 6: ""}
+    third = {3: "green cat", 7: "red box box"}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id long, text string")
+    segments.add_segment(frame(first), path, 1, "text", tasks=2)
+    for _ in range(2):  # a batch that is written again replaces itself
+        segments.add_segment(frame(second), path, 2, "text", tasks=2, removed=frame({2: ""}))
+    segments.add_segment(frame(third), path, 5, "text", tasks=2, removed=frame({3: "", 5: ""}))
+    whole = {**first, **second, **third}
+    del whole[5]
+    at_once = search.build_index(frame(whole), "text")
+    to = str(tmp_path / "folded")
+    segments.fold_segments(spark, path, to, 5, 2)
+    segments.add_segment(frame({8: "red box"}), to, 6, "text", tasks=1, removed=frame({7: ""}))
+    grown = segments.open_segments(spark, path)
+    order = ["token", "id", "pos"]
+    assert sorted(map(tuple, grown.select(*order).collect())) == sorted(map(tuple, at_once.select(*order).collect()))
+    for query in ("red", "box", "hat", '"red box"', "red -cat", "-red", "green or blue"):
+        expected = {r["id"] for r in search.search_index(at_once, query, frame(whole)).collect()}
+        assert {r["id"] for r in search.search_index(grown, query, frame(whole)).collect()} == expected
+    folded = segments.open_segments(spark, to)
+    assert {r["id"] for r in search.search_index(folded, '"red box"').collect()} == {1, 8}
+
+
+def test_a_search_opens_the_buckets_of_its_words_only(spark, ships, tmp_path):
+    path = str(tmp_path / "index")
+    search.write_index(search.build_index(ships), path, 4)
+    index = spark.read.parquet(path)
+    files = index.where(search.bucket_of(F.lit("supplier")) == F.col("bucket")).select("_metadata.file_path").distinct().count()
+    plan = search.search_index(index, "supplier")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    assert "bucket" in filters and files == 1 < len(index.inputFiles())
