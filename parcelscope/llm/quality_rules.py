@@ -8,8 +8,8 @@ removed. A document that loses more than ``max_lost`` of its words is depleted a
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; rows that repeat
 give rows that repeat; only the named columns are read, so others may have any name.
 
-All work is done by DataFrame functions. The number of lines held by a share s of the documents of a host is at most
-(lines per document) / s, so the array of a host's removed lines stays small however many documents it has.
+All work is done by DataFrame functions. Removed lines are joined by host and line, so a host may have any number of
+them; what a document gets back is the list of its own removed lines, by the hash of its text.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .store import stored
 
 SYMBOLS = "#*$%&|<>"
-MIN_DOCUMENTS = 10
-MAX_SHARE = 0.08
+MIN_DOCUMENTS = 20
 MAX_LOST = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -69,8 +68,10 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr("CAST(covered_ AS BIGINT)")).drop(*steps)
 
 
-def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per document: host, text, its words and lines, and the base counts with ``base_failed``."""
+def text_rules(
+    docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
+    """Per document: host, text, its lines and the ``removed`` ones among them, and the base counts with ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -78,6 +79,8 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(host_col).alias("host"),
         F.struct(*[F.col(name) for name in docs.columns]).alias("input_row"),
     )
+    same = F.col("host").eqNullSafe(F.col("host_")) & (F.xxhash64("text") == F.col("copy_"))
+    read = read.join(removed, same, "left").drop("host_", "copy_")  # before anything is derived, so that rows are small
     cut = _with_repeated_words(read.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(text)))
     bare = text
     for symbol in SYMBOLS:
@@ -91,7 +94,7 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # inline keeps the optimizer from writing the steps above out again in every filter on the counts
     counted = cut.select(
-        "doc_id", "host", "text", "input_row", F.transform("lines", _normal).alias("lines_"), F.inline(F.array(counts))
+        "doc_id", "host", "text", "input_row", "removed", F.transform("lines", _normal).alias("lines_"), F.inline(F.array(counts))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words")
@@ -99,35 +102,27 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.withColumn("base_failed", failed)
 
 
-def frequent_lines(
-    docs: DataFrame,
-    min_documents: int = MIN_DOCUMENTS,
-    max_share: float = MAX_SHARE,
-    text_col: str = "text",
-    host_col: str = "source",
+def removed_lines(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """Per host, the hashes of the lines above both limits: (host, removed array<long>)."""
+    """(host_, copy_, removed array<long>): for each text with lines above the limit, their hashes.
+
+    A text stands for all its copies on its host. Should two texts share a hash, they share a list of lines that are removed
+    on their host anyway, and each loses those it has.
+    """
     read = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     line_hashes = F.array_distinct(F.transform(_lines(F.col("text")), lambda line: F.xxhash64(_normal(line))))
-    hashed = read.where("text IS NOT NULL").select(
-        "host",
-        # the hash of a whole text stands for all its copies
-        F.xxhash64("text").alias("copy"),
-        # the extra null is held by every document, so its count is the number of documents
-        F.explode(F.concat(F.array(F.lit(None).cast("long")), line_hashes)).alias("line"),
-    )
-    counts = hashed.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts.where((F.col("n") > min_documents) | F.col("line").isNull()), "line_counts")
-    documents = counts.where("line IS NULL").select(F.col("host").alias("host_"), F.col("n").alias("documents"))
-    above = counts.where("line IS NOT NULL").join(documents, F.col("host").eqNullSafe(F.col("host_")))
-    above = above.where(F.col("n") > F.lit(max_share) * F.col("documents"))
-    return above.groupBy("host").agg(F.collect_list("line").alias("removed"))
+    held = read.where("text IS NOT NULL").select("host", F.xxhash64("text").alias("copy"), F.explode(line_hashes).alias("line"))
+    held = stored(held.distinct(), "held_lines")
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
+    above = counts.select(F.col("host").alias("host_"), F.col("line").alias("line_"))
+    found = held.join(above, F.col("host").eqNullSafe(F.col("host_")) & (F.col("line") == F.col("line_")))
+    return found.groupBy("host_", F.col("copy").alias("copy_")).agg(F.collect_list("line").alias("removed"))
 
 
 def quality_rules(
     docs: DataFrame,
     min_documents: int = MIN_DOCUMENTS,
-    max_share: float = MAX_SHARE,
     max_lost: float = MAX_LOST,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -135,12 +130,11 @@ def quality_rules(
 ) -> DataFrame:
     """Per document the base counts, the words on removed lines, ``kept``, the cleaned text and the row it came from.
 
-    The removed lines are written once; Spark then broadcasts them if their file is below its broadcast limit, and
-    else joins by host, where skewed hosts are split.
+    The lists of removed lines are written once; Spark then broadcasts them if their file is below its broadcast limit,
+    and else joins by host and hash of the text, where skewed keys are split.
     """
-    removed = stored(frequent_lines(docs, min_documents, max_share, text_col, host_col), "frequent_lines")
-    rules = text_rules(docs, id_col, text_col, host_col)
-    joined = rules.join(removed.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")), "left")
+    removed = stored(removed_lines(docs, min_documents, text_col, host_col), "removed_lines")
+    joined = text_rules(docs, removed, id_col, text_col, host_col)
     lost = F.expr(
         """CASE WHEN removed IS NULL THEN 0L ELSE CAST(aggregate(
              filter(lines_, l -> array_contains(removed, xxhash64(l))), 0,

@@ -14,7 +14,7 @@ from .html_text import extract_pages
 from .masked_lm import pseudo_likelihood
 from .near_duplicates import near_duplicates
 from .phrases import COVERED, LEAST, LONGEST, SCALE, TOP, phrase_collocations
-from .quality_rules import MAX_LOST, MAX_REPEATED, MAX_SHARE, MIN_DOCUMENTS, MIN_WORDS, quality_rules
+from .quality_rules import MAX_LOST, MAX_REPEATED, MIN_DOCUMENTS, MIN_WORDS, quality_rules
 from .resampling import importance_resampling
 from .secret_scan import secret_scan
 from .sharding import byte_shards
@@ -48,10 +48,8 @@ win AS (SELECT rid, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS k
   FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
 rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT q) AS n_repeat FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT t) AS documents FROM d WHERE NOT none GROUP BY host),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM
-    (SELECT host, t, unnest(nl) AS line FROM n) GROUP BY host, line) f JOIN hosts h USING (host)
-  WHERE n > {MIN_DOCUMENTS} AND n > {MAX_SHARE}::DOUBLE * documents),
+    (SELECT host, t, unnest(nl) AS line FROM n) GROUP BY host, line) f WHERE n > {MIN_DOCUMENTS}),
 lost AS (SELECT rid, sum(len(string_split(line, ' '))) AS lost FROM
     (SELECT rid, host, unnest(nl) AS line FROM n) JOIN freq USING (host, line) GROUP BY rid),
 q AS (SELECT rid, doc_id, n.host, t, none, CAST(len(ws) AS BIGINT) AS n_words,

@@ -53,6 +53,17 @@ def test_quality_frequent_lines_are_removed_and_depleted_documents_go(docs_of):
     assert all(r.kept for r in quality_rules.quality_rules(docs_of(copies)).collect())
 
 
+def test_a_line_keeps_its_verdict_as_the_host_grows(docs_of):
+    rng = np.random.default_rng(8)
+    rows = [(at, f"{text_of(rng, 60)}\nshared by some") for at in range(25)] + [(at, text_of(rng, 60)) for at in range(25, 40)]
+    more = rows + [(at, text_of(rng, 60)) for at in range(40, 1500)]
+    for table in (rows, more):
+        out = {r.doc_id: r.lost_words for r in quality_rules.quality_rules(docs_of(table)).collect()}
+        assert [out[at] for at in range(40)] == [3] * 25 + [0] * 15
+    fewer = rows[5:]
+    assert {r.lost_words for r in quality_rules.quality_rules(docs_of(fewer)).collect()} == {0}
+
+
 def test_quality_odd_rows(docs_of, odd_rows):
     out = quality_rules.quality_rules(docs_of(odd_rows))
     assert out.count() == len(odd_rows) and out.where("doc_id = 1 AND base_failed AND n_words = 0").count() == 1
