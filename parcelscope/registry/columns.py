@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import functions as N
 from ..operators.changes import new_rows
+from ..operators.paging import first_rows
 from ..sources import (
     ensure_tables,
     export_csv,
+    export_csv_parts,
     export_summary,
     from_json_rows,
+    from_rows,
     load_table,
     publish,
     sample,
@@ -72,6 +75,51 @@ def x01(spark, sf):
     return read.csv(path)
 
 
+def _read_joined(spark, path: str, columns: list[str]):
+    """The parts put one after the other in the order of their names, read as one file."""
+    parts = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("name"))
+    joined = parts.agg(F.array_join(F.array_sort(F.collect_list(F.struct("name", "value")))["value"], "").alias("text"))
+    folder = scratch_path(spark, "joined")
+    joined.write.text(folder, lineSep="")
+    schema = ", ".join(f"{name} string" for name in columns)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(folder)
+
+
+_INLINE = ["id", "number_shipment", "shipper_name", "consignee_city", "cod"]
+
+
+@register(
+    "x01_inline_rows_to_csv",
+    over_shipments(
+        f"""SELECT id::VARCHAR AS id, {', '.join(f"nullif({name}, '') AS {name}" for name in _INLINE[1:])}
+        FROM ship ORDER BY ship.id DESC LIMIT 500"""
+    ),
+)
+def x01_inline(spark, sf):
+    """A caller's records, with keys left out where they have no value, become one CSV file out of many parts."""
+    newest = first_rows(shipments(spark, sf), 500).select(*_INLINE).collect()  # what a caller sends along
+    rows = [{key: value for key, value in row.asDict().items() if value is not None} for row in newest]
+    path = scratch_path(spark, "inline")
+    export_csv_parts(from_rows(spark, rows).select(*_INLINE), path)
+    return _read_joined(spark, path, _INLINE)
+
+
+@register(
+    "x01_ordered_parts",
+    over_shipments(
+        "SELECT id::VARCHAR AS id, " + ", ".join(f"nullif({name}, '') AS {name}" for name in _EXPORTED) + " FROM ship"
+    ),
+)
+def x01_parts(spark, sf):
+    """All shipments as parts in the order of their ids with one header, read back part by part."""
+    path = scratch_path(spark, "ordered")
+    columns = ["id", *_EXPORTED]
+    export_csv_parts(shipments(spark, sf).select(*columns), path)
+    # no value holds a line break, so the parts can be read apart; the header is a row of its own then
+    read = spark.read.schema(", ".join(f"{name} string" for name in columns)).option("escape", '"').csv(path)
+    return read.where("id <> 'id'")
+
+
 @register("r05_export_summary", over_shipments("SELECT 'csv' AS format, count(*)::BIGINT AS records FROM ship"))
 def r05(spark, sf):
     return export_summary(shipments(spark, sf).select(*_EXPORTED), scratch_path(spark, "summary"))

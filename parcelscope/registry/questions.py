@@ -8,11 +8,12 @@ from ..functions import tokens
 from ..operators import search, segments
 from ..plans import analytics as G
 from ..plans import listings as S
+from ..plans import partials as P
 from ..plans import reports as T
 from ..plans import stored
 from ..sources import write_once
-from ..sources.sample import shipments
-from .base import AS_OF, register
+from ..sources.sample import shipment_partials, shipments
+from .base import AS_OF, ORACLES, register
 from .blocks import IN_MONTH, MANY, MANY_SQL
 from .columns import PHONE_TYPE, REFERENCE_TYPE, WEIGHT_BAND, WEIGHT_BAND_KG
 from .oracle import SHIPMENT_COLUMNS, month_case, over_shipments
@@ -612,3 +613,34 @@ _report(
     T.shipper_summary_by_date,
     phone_number="800",
 )
+
+
+def _partials(key: str, sql: str, run) -> None:
+    """A question answered from monthly partials, against the text of the same question over rows."""
+    register(key, sql)(lambda spark, sf: run(shipment_partials(spark, sf)))
+
+
+_partials("by_city_partials", _cities("ship", IN_YEAR, 20), lambda parts: P.by_city(parts, "year", as_of=AS_OF))
+_partials("top_cities_partials", _cities("ship", f"{_CITY} AND {IN_MONTH}", 10), lambda parts: P.top_cities(parts, as_of=AS_OF))
+_partials("top_cities_partials_total", _cities("ship", _CITY, 10), lambda parts: P.top_cities(parts, date_filter="total"))
+_partials(
+    "total_shipments_partials",
+    over_shipments(f"SELECT count(*)::BIGINT AS total FROM ship WHERE {IN_YEAR}"),
+    lambda parts: P.total_shipments(parts, "year", as_of=AS_OF),
+)
+_partials(
+    "average_weight_partials", _weight("ship", f"{_DIGIT} AND {IN_YEAR}"), lambda parts: P.average_weight(parts, "year", as_of=AS_OF)
+)
+_partials(
+    "top_customers_partials",
+    _customers("ship", f"{_NAMED} AND {IN_YEAR}"),
+    lambda parts: P.top_customers(parts, date_filter="year", as_of=AS_OF),
+)
+_partials("top20_cities_partials", ORACLES["top20_cities"], P.top20_cities)
+_partials("city_routes_partials", ORACLES["city_routes"], P.city_routes)
+
+
+@register("top_customers_approximate", _customers("ship", f"{_NAMED} AND {IN_YEAR}"))
+def top_customers_approximate(spark, sf):
+    """Distinct consignees from merged sketches, which are exact while a shipper has few of them."""
+    return P.top_customers(shipment_partials(spark, sf), date_filter="year", as_of=AS_OF, approximate=True)

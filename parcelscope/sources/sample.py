@@ -101,6 +101,20 @@ def shipment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_counts(spark, write_once(spark, "shipment_counts", inputs, lambda to, _: write_counts(shipments(spark, sf_dir), to)))
 
 
+def shipment_partials(spark: SparkSession, sf_dir: str):
+    """Monthly partials of the shipments, appended in two batches."""
+    from ..plans.partials import add_partials, load_partials
+
+    rows = shipments(spark, sf_dir)
+
+    def write(to: str, _: int) -> None:
+        add_partials(rows.where("id % 3 = 0"), to)
+        add_partials(rows.where("id % 3 <> 0"), to)
+
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "supplier", "customer", "nation")]
+    return load_partials(spark, write_once(spark, "shipment_partials", inputs, write), rows)
+
+
 _CREATED = "CAST(timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, {key} % 5000) AS TIMESTAMP_NTZ)"
 
 

@@ -31,6 +31,24 @@ def export_csv(df: DataFrame, path: str) -> Observation:
     return counted
 
 
+def export_csv_parts(df: DataFrame, path: str, order: str = "id", tasks: int | None = None) -> None:
+    """The same as parts that, put one after the other in the order of their names, are one valid CSV file.
+
+    The first part is the header line; rows follow in the order of a column, each range of it written by a task of its own.
+    """
+    spark = df.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ",".join(name if name.isidentifier() else '"' + name.replace('"', '""') + '"' for name in df.columns)
+    header = spark.range(0, 1, 1, 1).select(F.lit(names).alias("value"))
+    options = {key: str(value).lower() if isinstance(value, bool) else value for key, value in CSV_OPTIONS.items() if key != "header"}
+    written = F.struct(*[_as_written(name, kind) for name, kind in df.dtypes])
+    # a row of one empty column would be an empty line, which readers skip
+    line = F.to_csv(written, options)
+    line = F.when(line == "", F.lit('""')).otherwise(line)
+    rows = df.repartitionByRange(tasks, order).sortWithinPartitions(order).select(line.alias("value"))
+    header.union(rows).write.text(path)
+
+
 def _as_written(name: str, kind: str) -> Column:
     column = F.col(f"`{name}`")
     if kind == "boolean":
