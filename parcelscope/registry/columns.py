@@ -79,8 +79,9 @@ def _read_joined(spark, path: str, columns: list[str]):
     """The parts put one after the other in the order of their names, read as one file."""
     parts = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("name"))
     joined = parts.agg(F.array_join(F.array_sort(F.collect_list(F.struct("name", "value")))["value"], "").alias("text"))
+    joined = joined.select(F.rtrim("text", F.lit("\n")))  # the writer ends the file with a line break itself
     folder = scratch_path(spark, "joined")
-    joined.write.text(folder, lineSep="")
+    joined.write.text(folder)
     schema = ", ".join(f"{name} string" for name in columns)
     return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(folder)
 
