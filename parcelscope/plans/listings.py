@@ -7,9 +7,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.filters import all_of, checked, contains_like, present, search_conditions, weight_above
+from ..operators.filters import all_of, checked, present, search_conditions, weight_above
 from ..operators.paging import BY_DATE, BY_ID, Page, first_rows, paginate
 from ..operators.search import SEARCH_COLUMNS, matches_search, search_index, search_text
+from ..operators.substrings import GramIndex, where_contains
 from ..operators.windows import date_window, in_window
 from ..schema import SHIPMENT_COLUMNS
 from ..sources import normalise
@@ -49,13 +50,14 @@ def filter_shipments(
     page: int = 1,
     limit: int = 20,
     as_of: date | None = None,
+    grams: GramIndex | None = None,
 ) -> Page:
-    """Rows whose column, whatever its type, contains the value."""
+    """Rows whose column, whatever its type, contains the value; ``grams`` spares the scan of an indexed column."""
     if not column or not value:
         raise ValueError("column and value are required")
-    found = contains_like(checked(df, column).cast("string"), value)
-    rows = normalise(df).where(found & in_window(date_window(date_filter, as_of)))
-    return _page(rows, page, limit, BY_DATE)
+    checked(df, column)
+    rows = normalise(df).where(in_window(date_window(date_filter, as_of)))
+    return _page(where_contains(rows, column, value, grams), page, limit, BY_DATE)
 
 
 def recent_shipments(
@@ -87,20 +89,35 @@ def by_weight(
     return _newest_where(df, weight_above(min_weight), date_filter, limit, as_of)
 
 
+def _newest_named(
+    df: DataFrame, column: str, value: str, date_filter: str | None, limit: int, as_of: date | None, grams: GramIndex | None
+) -> DataFrame:
+    if not value:
+        raise ValueError(f"{column} is required")
+    rows = normalise(df).where(in_window(date_window(date_filter, as_of)))
+    return _plain(first_rows(where_contains(rows, column, value, grams), limit, BY_DATE))
+
+
 def by_shipper(
-    df: DataFrame, shipper_name: str, date_filter: str | None = None, limit: int = 50, as_of: date | None = None
+    df: DataFrame,
+    shipper_name: str,
+    date_filter: str | None = None,
+    limit: int = 50,
+    as_of: date | None = None,
+    grams: GramIndex | None = None,
 ) -> DataFrame:
-    if not shipper_name:
-        raise ValueError("shipper_name is required")
-    return _newest_where(df, contains_like(F.col("shipper_name"), shipper_name), date_filter, limit, as_of)
+    return _newest_named(df, "shipper_name", shipper_name, date_filter, limit, as_of, grams)
 
 
 def by_consignee(
-    df: DataFrame, consignee_name: str, date_filter: str | None = None, limit: int = 50, as_of: date | None = None
+    df: DataFrame,
+    consignee_name: str,
+    date_filter: str | None = None,
+    limit: int = 50,
+    as_of: date | None = None,
+    grams: GramIndex | None = None,
 ) -> DataFrame:
-    if not consignee_name:
-        raise ValueError("consignee_name is required")
-    return _newest_where(df, contains_like(F.col("consignee_name"), consignee_name), date_filter, limit, as_of)
+    return _newest_named(df, "consignee_name", consignee_name, date_filter, limit, as_of, grams)
 
 
 def search_shipments(

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators import search, segments
+from ..operators.substrings import where_contains
 from ..plans import analytics as G
 from ..plans import listings as S
 from ..plans import partials as P
 from ..plans import reports as T
 from ..plans import stored
 from ..sources import write_once
-from ..sources.sample import shipment_partials, shipments
+from ..sources.sample import shipment_grams, shipment_partials, shipments
 from .base import AS_OF, ORACLES, register
 from .blocks import IN_MONTH, MANY, MANY_SQL
 from .columns import PHONE_TYPE, REFERENCE_TYPE, WEIGHT_BAND, WEIGHT_BAND_KG
@@ -644,3 +645,33 @@ _partials("city_routes_partials", ORACLES["city_routes"], P.city_routes)
 def top_customers_approximate(spark, sf):
     """Distinct consignees from merged sketches, which are exact while a shipper has few of them."""
     return P.top_customers(shipment_partials(spark, sf), date_filter="year", as_of=AS_OF, approximate=True)
+
+
+@register("by_shipper_index", ORACLES["by_shipper"])
+def by_shipper_index(spark, sf):
+    return S.by_shipper(shipments(spark, sf), "00001", "year", as_of=AS_OF, grams=shipment_grams(spark, sf))
+
+
+@register("by_consignee_index", ORACLES["by_consignee"])
+def by_consignee_index(spark, sf):
+    return S.by_consignee(shipments(spark, sf), "#00000007", grams=shipment_grams(spark, sf))
+
+
+@register("filter_index", _rows("shipment_reference_number LIKE '%SAL%48%'", BY_DATE, 20, 20))
+def filter_index(spark, sf):
+    """A pattern with a wildcard: its plain part finds the rows to look at."""
+    grams = shipment_grams(spark, sf)
+    return S.filter_shipments(shipments(spark, sf), "shipment_reference_number", "SAL%48", page=2, grams=grams).rows
+
+
+@register("filter_index_scan", _rows("shipper_phone LIKE '%_2%'", BY_DATE, 20))
+def filter_index_scan(spark, sf):
+    """A pattern too short for the index scans."""
+    return S.filter_shipments(shipments(spark, sf), "shipper_phone", "_2", grams=shipment_grams(spark, sf)).rows
+
+
+@register("monthly_by_phone_index", ORACLES["monthly_by_phone"])
+def monthly_by_phone_index(spark, sf):
+    """The report over the rows that the index finds."""
+    rows = where_contains(shipments(spark, sf), "shipper_phone", "800", shipment_grams(spark, sf))
+    return T.monthly_by_phone(rows, "800")

@@ -101,6 +101,20 @@ def shipment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_counts(spark, write_once(spark, "shipment_counts", inputs, lambda to, _: write_counts(shipments(spark, sf_dir), to)))
 
 
+def shipment_grams(spark: SparkSession, sf_dir: str):
+    """Grams of the shipments' lookup columns, appended in two batches."""
+    from ..operators.substrings import add_grams, load_grams
+
+    rows = shipments(spark, sf_dir)
+
+    def write(to: str, tasks: int) -> None:
+        add_grams(rows.where("id % 4 = 0"), to, tasks)
+        add_grams(rows.where("id % 4 <> 0"), to, tasks)
+
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "supplier", "customer", "nation")]
+    return load_grams(spark, write_once(spark, "shipment_grams", inputs, write))
+
+
 def shipment_partials(spark: SparkSession, sf_dir: str):
     """Monthly partials of the shipments, appended in two batches."""
     from ..plans.partials import add_partials, load_partials

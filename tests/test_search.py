@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parcelscope.operators import search, segments
+from parcelscope.operators import search, segments, substrings
 
 TEXTS = {
     1: "the cat sat on the mat",
@@ -117,3 +117,18 @@ def test_a_search_opens_the_buckets_of_its_words_only(spark, ships, tmp_path):
     plan = search.search_index(index, "supplier")._jdf.queryExecution().executedPlan().toString()
     filters = plan.partition("PartitionFilters: [")[2].partition("]")[0]
     assert "bucket" in filters and files == 1 < len(index.inputFiles())
+
+
+def test_lookups_by_grams_equal_scans(spark, tmp_path):
+    texts = ["SUPPLIER 1", "supplier 1", "a%b_c", "日本語テキスト", "ab", "", None, "xSUPPLIERx", "SUP PLIER", "back\\slash one", "aaaa", "PPLSUPLIER"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    path = str(tmp_path / "grams")
+    substrings.add_grams(df.where("id < 6"), path, 2, ("name",))
+    substrings.add_grams(df.where("id >= 6"), path, 2, ("name",))
+    substrings.add_grams(spark.createDataFrame([(4, "stale text")], df.schema), path, 1, ("name",))
+    index = substrings.load_grams(spark, path, ("name",))
+    for pattern in ("SUPPLIER", "SUP%IER", "SUP", "本語テ", "ab", "a", "%", "__", "a%b_c", "aaa", "aaaaa", "back\\slash", "stale", "nothing here", "lier_1"):
+        scan = {r["id"] for r in substrings.where_contains(df, "name", pattern).collect()}
+        assert {r["id"] for r in substrings.where_contains(df, "name", pattern, index).collect()} == scan, pattern
+    assert substrings.candidate_keys(index, "name", "ab") is None and substrings.candidate_keys(index, "other", "abc") is None
+    assert {r["id"] for r in substrings.candidate_keys(index, "name", "SUP%IER").collect()} == {0, 7, 8, 11}
