@@ -171,190 +171,140 @@ def _summary(rows: DataFrame, dated: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Report:
-    """A predefined report: what it is called, its function, and its SQL over the view ``shipments``."""
+    """A predefined report: its id, its function, and its SQL over the view ``shipments`` with example parameters."""
 
     id: str
-    report_name: str
-    description: str
     run: Callable[..., DataFrame]
     sql_query: str
     columns: tuple[str, ...]
-    chart: tuple[str, str, str]
-    report_type: str = "analytics"
     required: dict = field(default_factory=dict)
 
 
 _SHARE = "CAST(round(100.0BD * count(*) / (SELECT count(*) FROM shipments), 2) AS DOUBLE)"
 
-# Ids, names, descriptions, column names, chart settings and example parameters of the reports.
+# Ids, column names and example parameters of the reports.
 CATALOGUE: tuple[Report, ...] = (
     Report(
         "monthly_shipments_by_phone",
-        "Monthly Shipments by Phone Number",
-        "Track shipments per month for a specific shipper",
         monthly_by_phone,
         """SELECT first(month_label) AS `Month`, count(*) AS `Total Shipments` FROM shipments
         WHERE shipper_phone LIKE concat('%', :phone_number, '%') GROUP BY year_2, month_name
         ORDER BY `Month` DESC NULLS FIRST, `Total Shipments` DESC""",
         ("Month", "Total Shipments"),
-        ("line", "Month", "Total Shipments"),
-        required={"phone_number": "800"},
+        {"phone_number": "800"},
     ),
     Report(
         "shipments_by_sal_pattern",
-        "Shipments by Reference Number Pattern (SAL)",
-        "Monthly analysis of SAL pattern shipments",
         monthly_sal,
         """SELECT first(month_label) AS `Month`, count(*) AS `SAL Shipments` FROM shipments
         WHERE reference_type = 'SAL Pattern' GROUP BY year_2, month_name
         ORDER BY `Month` DESC NULLS FIRST, `SAL Shipments` DESC""",
         ("Month", "SAL Shipments"),
-        ("bar", "Month", "SAL Shipments"),
     ),
     Report(
         "top_20_destination_cities",
-        "Top 20 Destination Cities",
-        "Most popular destination cities with shipment counts and percentages",
         top20_cities,
         f"""SELECT consignee_city AS City, count(*) AS `Total Shipments`, {_SHARE} AS Percentage FROM shipments
         WHERE consignee_city IS NOT NULL GROUP BY City ORDER BY `Total Shipments` DESC, City LIMIT 20""",
         ("City", "Total Shipments", "Percentage"),
-        ("pie", "City", "Total Shipments"),
     ),
     Report(
         "top_15_active_shippers",
-        "Top 15 Active Shippers (Last 30 Days)",
-        "Most active shippers in the last 30 days",
         top15_shippers,
         """SELECT shipper_phone AS Phone, shipper_name AS Name, count(*) AS `Recent Shipments` FROM shipments
         WHERE shipment_creation_date >= '01-Oct-25' GROUP BY Phone, Name
         ORDER BY `Recent Shipments` DESC, Phone NULLS LAST, Name NULLS LAST LIMIT 15""",
         ("Phone", "Name", "Recent Shipments"),
-        ("bar", "Name", "Recent Shipments"),
     ),
     Report(
         "shipment_distribution_by_weight",
-        "Shipment Distribution by Weight Range",
-        "Analysis of shipments grouped by weight ranges",
         weight_distribution,
         """SELECT weight_band AS `Weight Range`, count(*) AS `Count` FROM shipments
         WHERE shipment_weight IS NOT NULL GROUP BY weight_band ORDER BY `Count` DESC, `Weight Range`""",
         ("Weight Range", "Count"),
-        ("pie", "Weight Range", "Count"),
     ),
     Report(
         "daily_shipment_volume",
-        "Daily Shipment Volume (Last 30 Days)",
-        "Daily shipment counts for the last 30 days",
         daily_volume,
         r"""SELECT shipment_creation_date AS Date, count(*) AS Shipments FROM shipments
         WHERE shipment_creation_date RLIKE r'\d{2}-[A-Za-z]{3}-25\z' GROUP BY Date ORDER BY Date DESC LIMIT 30""",
         ("Date", "Shipments"),
-        ("line", "Date", "Shipments"),
     ),
     Report(
         "shipper_performance_cities",
-        "Shipper Performance (Cities Served)",
-        "Shipper performance analysis including cities served",
         shipper_cities_served,
         """SELECT shipper_phone AS Phone, shipper_name AS Name, count(*) AS `Total Shipments`,
         count(DISTINCT consignee_city) AS `Cities Served` FROM shipments
         WHERE shipper_phone LIKE concat('%', :phone_number, '%') GROUP BY Phone, Name""",
         ("Phone", "Name", "Total Shipments", "Cities Served"),
-        ("bar", "Name", "Total Shipments"),
-        required={"phone_number": "800"},
+        {"phone_number": "800"},
     ),
     Report(
         "phone_number_pattern_analysis",
-        "Phone Number Pattern Analysis",
-        "Analysis of phone number patterns and their distribution",
         phone_patterns,
         f"""SELECT phone_type AS `Phone Type`, count(*) AS `Count`, {_SHARE} AS Percentage FROM shipments
         GROUP BY phone_type ORDER BY `Count` DESC, `Phone Type`""",
         ("Phone Type", "Count", "Percentage"),
-        ("pie", "Phone Type", "Count"),
     ),
     Report(
         "city_to_city_routes",
-        "City-to-City Shipping Routes (Top 20)",
-        "Most popular shipping routes between cities",
         city_routes,
         """SELECT shipper_city AS Origin, consignee_city AS Destination, count(*) AS Shipments FROM shipments
         WHERE shipper_city IS NOT NULL AND consignee_city IS NOT NULL GROUP BY Origin, Destination
         ORDER BY Shipments DESC, Origin, Destination LIMIT 20""",
         ("Origin", "Destination", "Shipments"),
-        ("bar", "Origin", "Shipments"),
     ),
     Report(
         "reference_number_type_distribution",
-        "Reference Number Type Distribution",
-        "Analysis of reference number patterns and their distribution",
         reference_types,
         f"""SELECT reference_type AS `Pattern Type`, count(*) AS `Count`, {_SHARE} AS Percentage FROM shipments
         GROUP BY reference_type ORDER BY `Count` DESC, `Pattern Type`""",
         ("Pattern Type", "Count", "Percentage"),
-        ("pie", "Pattern Type", "Count"),
     ),
     Report(
         "specific_shipper_top_cities",
-        "Specific Shipper's Top Cities",
-        "Top destination cities for a specific shipper",
         shipper_top_cities,
         """WITH own AS (SELECT consignee_city FROM shipments WHERE shipper_phone LIKE concat('%', :phone_number, '%'))
         SELECT consignee_city AS City, count(*) AS Shipments,
         CAST(round(100.0BD * count(*) / (SELECT count(*) FROM own), 2) AS DOUBLE) AS Percentage
         FROM own WHERE consignee_city IS NOT NULL GROUP BY City ORDER BY Shipments DESC, City LIMIT 10""",
         ("City", "Shipments", "Percentage"),
-        ("bar", "City", "Shipments"),
-        required={"phone_number": "9200"},
+        {"phone_number": "9200"},
     ),
     Report(
         "multi_box_shipments_analysis",
-        "Multi-Box Shipments Analysis",
-        "Analysis of shipments by number of boxes",
         multi_box,
         f"""SELECT number_of_shipment_boxes AS Boxes, count(*) AS Shipments, {_SHARE} AS Percentage FROM shipments
         WHERE number_of_shipment_boxes IS NOT NULL GROUP BY number_of_shipment_boxes
         ORDER BY try_cast(number_of_shipment_boxes AS INT) NULLS LAST, number_of_shipment_boxes""",
         ("Boxes", "Shipments", "Percentage"),
-        ("bar", "Boxes", "Shipments"),
     ),
     Report(
         "top_shippers_by_total_shipments",
-        "Top Shippers by Total Shipments",
-        "Top 25 shippers ranked by total shipment volume",
         top_shippers,
         """SELECT shipper_phone AS Phone, shipper_name AS Name, shipper_city AS City, count(*) AS `Total Shipments`
         FROM shipments GROUP BY Phone, Name, City
         ORDER BY `Total Shipments` DESC, Phone NULLS LAST, Name NULLS LAST, City NULLS LAST LIMIT 25""",
         ("Phone", "Name", "City", "Total Shipments"),
-        ("bar", "Name", "Total Shipments"),
     ),
     Report(
         "shipments_by_specific_city",
-        "Shipments by City (Specific City)",
-        "Shippers sending to a specific destination city",
         shippers_to_city,
         """SELECT shipper_name AS Shipper, shipper_phone AS Phone, count(*) AS `Shipments to {city_name}`
         FROM shipments WHERE consignee_city = :city_name GROUP BY Shipper, Phone
         ORDER BY count(*) DESC, Shipper NULLS LAST, Phone NULLS LAST LIMIT 20""",
         ("Shipper", "Phone", "Shipments to {city_name}"),
-        ("bar", "Shipper", "Shipments to {city_name}"),
-        required={"city_name": "NATION_3"},
+        {"city_name": "NATION_3"},
     ),
     Report(
         "comprehensive_shipper_summary",
-        "Comprehensive Shipper Summary",
-        "Complete summary for a specific shipper including activity timeline",
         shipper_summary,
         """SELECT shipper_phone AS Phone, shipper_name AS Name, count(*) AS `Total Shipments`,
         count(DISTINCT consignee_city) AS Cities, min(shipment_creation_date) AS `First Ship`,
         max(shipment_creation_date) AS `Last Ship` FROM shipments
         WHERE shipper_phone LIKE concat('%', :phone_number, '%') GROUP BY Phone, Name""",
         ("Phone", "Name", "Total Shipments", "Cities", "First Ship", "Last Ship"),
-        ("table", "Name", "Total Shipments"),
-        report_type="summary",
-        required={"phone_number": "+966"},
+        {"phone_number": "+966"},
     ),
 )
 

@@ -262,6 +262,7 @@ def n09(spark, sf):
     return shipments(spark, sf).select("id", N.month_label(F.col("shipment_creation_date")).alias("month_label"))
 
 
+# The class labels, patterns and weight bands of the reports, in DuckDB's words.
 PHONE_TYPE = """CASE WHEN regexp_matches(shipper_phone, '^05[0-9]{8}$') THEN 'Saudi Mobile (05)'
     WHEN regexp_matches(shipper_phone, '^9[0-9]{8,10}$') THEN 'Business (9xx)'
     WHEN regexp_matches(shipper_phone, '^8[0-9]{9}$') THEN 'Toll-Free (800x)' ELSE 'Other' END"""
