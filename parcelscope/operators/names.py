@@ -32,7 +32,7 @@ def _moments(known: DataFrame, batch: DataFrame, taken: DataFrame, first_id: int
 
     ``until`` is null for a change that doesn't get the name, and ``END`` where it is held to the end.
     """
-    rows = _kept(batch.join(taken.select("seq", F.lit(True).alias("no")), "seq", "left"), "judged_changes")
+    rows = batch.join(taken.select("seq", F.lit(True).alias("no")), "seq", "left")
     inserts = rows.where("op = 'insert'")
     born = numbered(inserts.where("no IS NULL"), "seq", "new_key", F.lit(first_id))
     born = _kept(born.select(F.col("new_key").alias("key"), "name", "user", "seq"), "numbered_inserts")
@@ -70,13 +70,15 @@ def taken_names(base: DataFrame, batch: DataFrame, name: str, user: str, key: st
     rows = rows.join(wanted, rows["name"] == F.col("_name"), "left").join(met, rows["key"] == F.col("_key"), "left")
     known = _kept(rows.where("_name IS NOT NULL OR _key IS NOT NULL").select("key", "name", "user"), "known_names")
     taken = _kept(batch.select("seq").where(F.lit(False)), "taken_names")
+    last = (0, None, None)  # what an empty table gives
     while True:
         moments = _kept(_moments(known, batch, taken, first_id, low, high), "name_moments")
         holder = F.when(F.col("until").isNotNull(), F.struct("key", "until"))
         seen = last_before(moments, ["name", "user"], "seq", holder, "holder", low, high)
         other = ~F.col("key").eqNullSafe(F.col("holder.key"))
         new = _kept(seen.where(F.col("wants") & other & (F.col("holder.until") > F.col("seq"))).select("seq"), "taken_names")
-        apart = new.exceptAll(taken).unionByName(taken.exceptAll(new))
+        mark = new.agg(F.count("seq"), F.bit_xor(F.xxhash64("seq")), F.sum("seq")).first()
         taken = new
-        if apart.limit(1).count() == 0:
+        if mark == last:
             return taken
+        last = mark

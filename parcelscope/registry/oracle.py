@@ -160,8 +160,8 @@ _TABLES = {
     "named_reports": "named_reports AS (SELECT * REPLACE (report_name || ' #' || id::VARCHAR AS report_name) FROM custom_reports)",
     "name_changes": """name_changes AS (
   SELECT seq, changed_at, op, c.id,
-    CASE WHEN op <> 'delete' THEN coalesce(r.report_name, 'Shared ' || (seq * 7 % 61)::VARCHAR) END AS report_name
-  FROM changes c LEFT JOIN named_reports r ON seq % 4 = 0 AND r.id = (seq * 11) % 150 + 1
+    CASE WHEN op <> 'delete' THEN coalesce(r.report_name, 'Shared ' || (seq // 200 * 16 + seq * 7 % 16)::VARCHAR) END AS report_name
+  FROM changes c LEFT JOIN named_reports r ON seq % 4 = 0 AND r.id = (seq * 11) % 1900 + 1
   WHERE op IN ('insert', 'update', 'delete'))""",
     "search_changes": """search_changes AS (
   SELECT seq, changed_at, op, id, 'Search ' || seq::VARCHAR AS title,

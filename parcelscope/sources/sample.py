@@ -292,16 +292,16 @@ def named_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes that want few names, one in four that of a stored report."""
+    """Changes that want the names of their neighbours, one in four that of a stored report."""
     stored = named_reports(spark, sf_dir).select(F.col("id").alias("other"), F.col("report_name").alias("stored"))
     rows = _changes(spark, sf_dir).where("op IN ('insert', 'update', 'delete')")
-    rows = rows.withColumn("other", F.expr("CASE WHEN seq % 4 = 0 THEN (seq * 11) % 150 + 1 END")).join(stored, "other", "left")
+    rows = rows.withColumn("other", F.expr("CASE WHEN seq % 4 = 0 THEN (seq * 11) % 1900 + 1 END")).join(stored, "other", "left")
     return rows.select(
         "seq",
         "changed_at",
         "op",
         "id",
-        F.expr("CASE WHEN op <> 'delete' THEN coalesce(stored, 'Shared ' || CAST(seq * 7 % 61 AS STRING)) END").alias("report_name"),
+        F.expr("CASE WHEN op <> 'delete' THEN coalesce(stored, 'Shared ' || CAST(seq div 200 * 16 + seq * 7 % 16 AS STRING)) END").alias("report_name"),
     )
 
 
