@@ -9,7 +9,9 @@ Defined results: a null text has no words and fails the base rules; a null host
 give rows that repeat; only the named columns are read, so others may have any name.
 
 All work is done by DataFrame functions. Removed lines are joined by host and line, so a host may have any number of
-them; what a document gets back is the list of its own removed lines, by the hash of its text.
+them; what a document gets back is the list of its own removed lines, by the hash of its text. Texts that lose no line
+don't move: a bit set of 2 ** ``BITS`` bits (at most 2 MB as it is broadcast) tells which hashes may have a list, and
+only those texts are joined with theirs. A bit that a foreign text shares costs its way to the join and changes nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .store import stored
 SYMBOLS = "#*$%&|<>"
 MIN_DOCUMENTS = 20
 MAX_LOST = 0.5
+BITS = 23
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -68,6 +71,22 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr("CAST(covered_ AS BIGINT)")).drop(*steps)
 
 
+def _with_removed(read: DataFrame, removed: DataFrame) -> DataFrame:
+    """Adds the list of a text's removed lines, or null."""
+    words = F.lit(1 << BITS - 6)
+    word_of = lambda copy: F.pmod(F.shiftrightunsigned(copy, 6), words)
+    bit = F.expr("shiftleft(1L, CAST(copy_ & 63 AS INT))")
+    sets = removed.groupBy(word_of(F.col("copy_")).alias("word_")).agg(F.bit_or(bit).alias("bits_"))
+    hashed = read.withColumn("copy", F.xxhash64("text"))
+    marked = hashed.join(F.broadcast(sets), word_of(F.col("copy")) == F.col("word_"), "left")  # 2 ** (BITS - 6) rows at most
+    has = F.expr("coalesce(getbit(bits_, CAST(copy & 63 AS INT)) = 1, false)")
+    same = F.col("host").eqNullSafe(F.col("host_")) & (F.col("copy") == F.col("copy_"))
+    columns = [*read.columns, "removed"]
+    some = marked.where(has).join(removed, same, "left").select(*columns)
+    none = marked.where(~has).withColumn("removed", F.lit(None).cast("array<bigint>")).select(*columns)
+    return none.unionByName(some)
+
+
 def text_rules(
     docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
@@ -79,8 +98,7 @@ def text_rules(
         F.col(host_col).alias("host"),
         F.struct(*[F.col(name) for name in docs.columns]).alias("input_row"),
     )
-    same = F.col("host").eqNullSafe(F.col("host_")) & (F.xxhash64("text") == F.col("copy_"))
-    read = read.join(removed, same, "left").drop("host_", "copy_")  # before anything is derived, so that rows are small
+    read = _with_removed(read, removed)  # before anything is derived, so that rows are small
     cut = _with_repeated_words(read.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(text)))
     bare = text
     for symbol in SYMBOLS:
@@ -130,8 +148,7 @@ def quality_rules(
 ) -> DataFrame:
     """Per document the base counts, the words on removed lines, ``kept``, the cleaned text and the row it came from.
 
-    The lists of removed lines are written once; Spark then broadcasts them if their file is below its broadcast limit,
-    and else joins by host and hash of the text, where skewed keys are split.
+    The lists of removed lines are written once and joined by host and hash of the text, where skewed keys are split.
     """
     removed = stored(removed_lines(docs, min_documents, text_col, host_col), "removed_lines")
     joined = text_rules(docs, removed, id_col, text_col, host_col)
