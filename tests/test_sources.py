@@ -146,3 +146,12 @@ def test_no_machine_local_folder_on_a_cluster(master):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.scratch_path(Session(), "x")
+
+
+def test_tables_are_derived_by_tasks_that_hold_little_input(spark, monkeypatch):
+    from parcelscope.sources import scratch
+
+    given = []
+    monkeypatch.setattr(scratch, "_files", lambda spark, paths: (10 << 30, ("mark of this test",)))
+    scratch.write_once(spark, "probe", ["nowhere"], lambda to, tasks: given.append(tasks))
+    assert given[0] >= 10 * 1024 / 16
