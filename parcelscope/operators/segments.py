@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import build_index, write_index
+from .search import store_index, write_index
 
 
 def add_segment(
@@ -29,7 +29,7 @@ def add_segment(
     """
     gone = df.select(key).limit(0) if removed is None else removed.select(key)
     gone.write.mode("overwrite").parquet(f"{path}/removed/segment={number}")
-    write_index(build_index(df, *columns, key=key), f"{path}/postings/segment={number}", tasks, key, "overwrite")
+    store_index(df, f"{path}/postings/segment={number}", tasks, *columns, key=key, mode="overwrite")
 
 
 def open_segments(spark: SparkSession, path: str, key: str = "id") -> DataFrame:

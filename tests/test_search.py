@@ -132,3 +132,33 @@ def test_lookups_by_grams_equal_scans(spark, tmp_path):
         assert {r["id"] for r in substrings.where_contains(df, "name", pattern, index).collect()} == scan, pattern
     assert substrings.candidate_keys(index, "name", "ab") is None and substrings.candidate_keys(index, "other", "abc") is None
     assert {r["id"] for r in substrings.candidate_keys(index, "name", "SUP%IER").collect()} == {0, 7, 8, 11}
+
+
+def _files_of(postings, where):
+    """Largest share that one file holds of some postings."""
+    rows = postings.where(where).groupBy(F.col("_metadata.file_path").alias("file")).count().collect()
+    return max(r["count"] for r in rows) / sum(r["count"] for r in rows)
+
+
+def test_a_frequent_token_is_spread_over_files(spark, tmp_path):
+    path = str(tmp_path / "index")
+    df = spark.createDataFrame([(at, "the box") for at in range(4000)], "id long, text string")
+    segments.add_segment(df, path, 1, "text", tasks=4)
+    assert _files_of(spark.read.parquet(f"{path}/postings"), "token = 'the'") < 0.5
+    missing = df.withColumn("id", F.when(F.col("id") < 2000, F.col("id"))).withColumn("text", F.concat("text", F.rand(1).cast("string")))
+    search.store_index(missing, str(tmp_path / "null_keys"), 4, "text")
+    assert _files_of(spark.read.parquet(str(tmp_path / "null_keys")), "token = 'the'") < 0.5
+    assert spark.read.parquet(str(tmp_path / "null_keys")).where("token = 'the'").count() == 4000
+
+
+def test_a_frequent_gram_is_spread_over_files(spark, tmp_path):
+    path = str(tmp_path / "grams")
+    df = spark.createDataFrame([(at, f"SH{at:06}", "same") for at in range(4000)], "id long, number string, name string")
+    substrings.add_grams(df, path, 4, ("number", "name"))
+    index = substrings.load_grams(spark, path, ("number", "name"))
+    assert _files_of(index.postings, "column = 'name' AND gram = 'sam'") < 0.5
+    built = substrings.build_grams(df, ("number", "name"))
+    order = ["column", "gram", "id"]
+    assert sorted(map(tuple, index.postings.select(*order).collect())) == sorted(map(tuple, built.select(*order).collect()))
+    plan = substrings.candidate_keys(index, "number", "0123")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "column" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
