@@ -27,21 +27,26 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """For a join in a round: a broadcast would bring the rows to the driver anew in every round."""
+    return df.hint("merge")
+
+
 def _moments(known: DataFrame, batch: DataFrame, taken: DataFrame, first_id: int, low: int, high: int) -> DataFrame:
     """(key, name, user, seq, until, wants): who takes which name when, given refused changes; ``wants`` marks changes of the batch.
 
     ``until`` is null for a change that doesn't get the name, and ``END`` where it is held to the end.
     """
-    rows = batch.join(taken.select("seq", F.lit(True).alias("no")), "seq", "left")
+    rows = batch.join(_spread(taken.select("seq", F.lit(True).alias("no"))), "seq", "left")
     inserts = rows.where("op = 'insert'")
     born = numbered(inserts.where("no IS NULL"), "seq", "new_key", F.lit(first_id))
     born = _kept(born.select(F.col("new_key").alias("key"), "name", "user", "seq"), "numbered_inserts")
     starts = known.select("key", "name", "user", F.lit(BEFORE_ALL).cast("long").alias("seq")).unionByName(born)
     deletes = rows.where("op = 'delete'").select("key", F.col("seq").alias("gone"))
-    deletes = deletes.join(starts.select("key", F.col("seq").alias("from")), "key").where("gone > from")
-    life = _kept(starts.join(deletes.groupBy("key").agg(F.min("gone").alias("gone")), "key", "left"), "lives")
+    deletes = deletes.join(_spread(starts.select("key", F.col("seq").alias("from"))), "key").where("gone > from")
+    life = _kept(starts.join(_spread(deletes.groupBy("key").agg(F.min("gone").alias("gone"))), "key", "left"), "lives")
     given = rows.where("op IN ('update', 'patch') AND name IS NOT NULL").drop("user")
-    given = given.join(life.select("key", F.col("user"), F.col("seq").alias("from"), "gone"), "key")
+    given = given.join(_spread(life.select("key", F.col("user"), F.col("seq").alias("from"), "gone")), "key")
     given = given.where((F.col("seq") > F.col("from")) & (F.col("gone").isNull() | (F.col("seq") < F.col("gone"))))
     held = life.withColumn("no", F.lit(None).cast("boolean")).unionByName(given.select("key", "name", "user", "seq", "gone", "no"))
     held = _kept(held.withColumn("back", -F.col("seq")), "held_names")

@@ -27,5 +27,6 @@ def last_before(
     carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(back)).drop("_end")
     same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
     here = cut.withColumn("_here", F.last("_value", ignorenulls=True).over(inside))
-    found = here.join(carried, [*same, F.col("_cut") == F.col("_of_cut")], "left")
+    # merged and not broadcast: rounds of calls would bring the last values to the driver each time
+    found = here.join(carried.hint("merge"), [*same, F.col("_cut") == F.col("_of_cut")], "left")
     return found.withColumn(name, F.coalesce("_here", "_carried")).select(*df.columns, name)

@@ -335,3 +335,22 @@ def test_last_before_equals_a_plain_loop(spark):
     for key, at, value in rows:
         assert found[at] == last.get(key)
         last[key] = value if value is not None else last.get(key)
+
+
+def test_rounds_of_name_checks_broadcast_no_rows(spark, monkeypatch):
+    from parcelscope.operators import names
+
+    kept, plans = names._kept, {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(names, "_kept", seen)
+    base = spark.createDataFrame([(1, "a", "u"), (2, "b", "u")], "id long, report_name string, user_id string")
+    rows = [(1, "insert", None, "c", "u"), (2, "update", 1, "b", None), (3, "delete", 2, None, None), (4, "update", 1, "b", None), (5, "insert", None, "c", "u")]
+    batch = spark.createDataFrame(rows, "seq long, op string, key long, name string, user string")
+    taken = names.taken_names(base, batch, "report_name", "user_id", "id", None)
+    assert {r["seq"] for r in taken.collect()} == {2, 5}
+    for name in ("lives", "held_names", "name_moments", "taken_names"):
+        assert "BroadcastExchange" not in plans[name], name
