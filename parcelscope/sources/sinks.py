@@ -19,6 +19,9 @@ CSV_OPTIONS = {
 }
 
 
+ROWS_PER_PART = 100_000
+
+
 def export_csv(df: DataFrame, path: str) -> Observation:
     """Writes rows as UTF-8 CSV with a header line in every part, quotes doubled, NULL and '' both empty.
 
@@ -35,9 +38,10 @@ def export_csv_parts(df: DataFrame, path: str, order: str = "id", tasks: int | N
     """The same as parts that, put one after the other in the order of their names, are one valid CSV file.
 
     The first part is the header line; rows follow in the order of a column, each range of it written by a task of its own.
+    Unless told otherwise there are as many ranges as keep what a task sorts at ``ROWS_PER_PART`` rows, for which the rows are counted.
     """
     spark = df.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_PART))
     names = ",".join(name if name.isidentifier() else '"' + name.replace('"', '""') + '"' for name in df.columns)
     header = spark.range(0, 1, 1, 1).select(F.lit(names).alias("value"))
     options = {key: str(value).lower() if isinstance(value, bool) else value for key, value in CSV_OPTIONS.items() if key != "header"}

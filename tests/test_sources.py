@@ -155,3 +155,13 @@ def test_tables_are_derived_by_tasks_that_hold_little_input(spark, monkeypatch):
     monkeypatch.setattr(scratch, "_files", lambda spark, paths: (10 << 30, ("mark of this test",)))
     scratch.write_once(spark, "probe", ["nowhere"], lambda to, tasks: given.append(tasks))
     assert given[0] >= 10 * 1024 / 16
+
+
+def test_ordered_parts_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    from parcelscope.sources import sinks
+
+    path = str(tmp_path / "parts")
+    monkeypatch.setattr(sinks, "ROWS_PER_PART", 100, raising=False)
+    sinks.export_csv_parts(spark.range(2000).selectExpr("id", "'x' || id AS name"), path)
+    parts = spark.read.text(path).where("value <> 'id,name'").groupBy(F.col("_metadata.file_path").alias("file")).count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 500 and sum(r["count"] for r in parts) == 2000
