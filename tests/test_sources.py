@@ -165,3 +165,22 @@ def test_ordered_parts_grow_in_number_and_not_in_size(spark, tmp_path, monkeypat
     sinks.export_csv_parts(spark.range(2000).selectExpr("id", "'x' || id AS name"), path)
     parts = spark.read.text(path).where("value <> 'id,name'").groupBy(F.col("_metadata.file_path").alias("file")).count().collect()
     assert len(parts) > 10 and max(r["count"] for r in parts) < 500 and sum(r["count"] for r in parts) == 2000
+
+
+def test_shipments_are_sorted_by_tasks_that_hold_less(spark, monkeypatch):
+    from parcelscope.sources import sample, scratch
+
+    class Stop(Exception):
+        pass
+
+    def stop(df, path, tasks):
+        given.append(tasks)
+        raise Stop
+
+    given = []
+    monkeypatch.setattr(scratch, "_files", lambda spark, paths: (10 << 30, ("mark of the sort test",)))
+    monkeypatch.setattr(sample, "write_normalised", stop)
+    monkeypatch.setattr(sample, "raw_shipments", lambda spark, sf_dir: None)
+    with pytest.raises(Stop):
+        sample.shipments(spark, "nowhere")
+    assert given == [10 * 1024 // 4]
