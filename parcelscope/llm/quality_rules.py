@@ -11,7 +11,8 @@ give rows that repeat; only the named columns are read, so others may have any n
 All work is done by DataFrame functions. Removed lines are joined by host and line, so a host may have any number of
 them; what a document gets back is the list of its own removed lines, by the hash of its text. Texts that lose no line
 don't move: a bit set of 2 ** ``BITS`` bits (at most 2 MB as it is broadcast) tells which hashes may have a list, and
-only those texts are joined with theirs. A bit that a foreign text shares costs its way to the join and changes nothing.
+only those are joined with theirs. What goes to the join are counts and the hashes of lines, and the text if the cleaned
+one is asked for. A bit that a foreign text shares costs its way to the join and changes nothing.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr("CAST(covered_ AS BIGINT)")).drop(*steps)
 
 
-def _with_removed(read: DataFrame, removed: DataFrame) -> DataFrame:
-    """Adds the list of a text's removed lines, or null."""
+def _by_loss(read: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that may have removed lines, and those that have none; both with the hash of the text."""
     words = F.lit(1 << BITS - 6)
     word_of = lambda copy: F.pmod(F.shiftrightunsigned(copy, 6), words)
     bit = F.expr("shiftleft(1L, CAST(copy_ & 63 AS INT))")
@@ -80,25 +81,12 @@ def _with_removed(read: DataFrame, removed: DataFrame) -> DataFrame:
     hashed = read.withColumn("copy", F.xxhash64("text"))
     marked = hashed.join(F.broadcast(sets), word_of(F.col("copy")) == F.col("word_"), "left")  # 2 ** (BITS - 6) rows at most
     has = F.expr("coalesce(getbit(bits_, CAST(copy & 63 AS INT)) = 1, false)")
-    same = F.col("host").eqNullSafe(F.col("host_")) & (F.col("copy") == F.col("copy_"))
-    columns = [*read.columns, "removed"]
-    some = marked.where(has).join(removed, same, "left").select(*columns)
-    none = marked.where(~has).withColumn("removed", F.lit(None).cast("array<bigint>")).select(*columns)
-    return none.unionByName(some)
+    return marked.where(has).select(*hashed.columns), marked.where(~has).select(*hashed.columns)
 
 
-def text_rules(
-    docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
-) -> DataFrame:
-    """Per document: host, text, its lines and the ``removed`` ones among them, and the base counts with ``base_failed``."""
+def _counted(read: DataFrame) -> DataFrame:
+    """Adds the base counts, ``base_failed`` and for each line its hash and number of words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.col(host_col).alias("host"),
-        F.struct(*[F.col(name) for name in docs.columns]).alias("input_row"),
-    )
-    read = _with_removed(read, removed)  # before anything is derived, so that rows are small
     cut = _with_repeated_words(read.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(text)))
     bare = text
     for symbol in SYMBOLS:
@@ -110,16 +98,42 @@ def text_rules(
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
-    # inline keeps the optimizer from writing the steps above out again in every filter on the counts
-    counted = cut.select(
-        "doc_id", "host", "text", "input_row", "removed", F.transform("lines", _normal).alias("lines_"), F.inline(F.array(counts))
+    sizes = F.transform(
+        F.transform("lines", _normal),
+        lambda line: F.named_struct(F.lit("line"), F.xxhash64(line), F.lit("words"), F.size(F.split(line, " "))),
     )
+    # inline keeps the optimizer from writing the steps above out again in every filter on the counts
+    counted = cut.select(*read.columns, sizes.alias("sizes_"), F.inline(F.array(counts)))
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words")
     )
     return counted.withColumn("base_failed", failed)
 
 
+def text_rules(
+    docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
+    """Per document: host, text, the base counts with ``base_failed``, the ``removed`` lines and the words on them.
+
+    All is counted where the text is read; to the join with its list goes the text itself only if the caller takes it.
+    """
+    read = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.col(host_col).alias("host"),
+        F.struct(*[F.col(name) for name in docs.columns]).alias("input_row"),
+    )
+    some, none = map(_counted, _by_loss(read, removed))
+    same = F.col("host").eqNullSafe(F.col("host_")) & (F.col("copy") == F.col("copy_"))
+    lost = F.expr(
+        """CASE WHEN removed IS NULL THEN 0L ELSE CAST(aggregate(
+             filter(sizes_, l -> array_contains(removed, l.line)), 0, (n, l) -> n + l.words) AS BIGINT) END"""
+    )
+    some = some.join(removed, same, "left").withColumn("lost_words", lost).drop("host_", "copy_", "copy", "sizes_")
+    none = none.withColumn("removed", F.lit(None).cast("array<bigint>")).withColumn("lost_words", F.lit(0).cast("long"))
+    return none.drop("copy", "sizes_").unionByName(some)
+
+
 def removed_lines(
     docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
@@ -152,11 +166,6 @@ def quality_rules(
     """
     removed = stored(removed_lines(docs, min_documents, text_col, host_col), "removed_lines")
     joined = text_rules(docs, removed, id_col, text_col, host_col)
-    lost = F.expr(
-        """CASE WHEN removed IS NULL THEN 0L ELSE CAST(aggregate(
-             filter(lines_, l -> array_contains(removed, xxhash64(l))), 0,
-             (n, l) -> n + size(split(l, ' '))) AS BIGINT) END"""
-    )
     clean = F.when(
         F.col("lost_words") > 0,
         F.concat_ws(
@@ -167,7 +176,7 @@ def quality_rules(
         ),
     ).otherwise(F.col("text"))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_lost) * F.col("n_words"))
-    return joined.withColumn("lost_words", lost).select(
+    return joined.select(
         "doc_id",
         "n_words",
         "word_chars",
