@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 
-from parcelscope.llm import quality_rules
+from parcelscope.llm import phrases, quality_rules
 
 
 @pytest.fixture
@@ -28,3 +29,20 @@ def test_quality_verdicts_move_no_texts(docs_of, no_broadcast, capsys):
     assert any(re.search(r"\btext#", columns) for columns in moved(out))
     found = {(r.doc_id, r.n_words, r.lost_words, r.clean_text) for r in out.collect()}
     assert found == {(at, 10, 4, f"own {at} line of some words") for at in range(30)}
+
+
+def test_bit_sets_reach_the_driver_without_rows(spark, monkeypatch):
+    """(op13) No Python or pandas object per row of the bit sets."""
+    found = spark.createDataFrame([(1, 5, None, 2), (1, 6, None, 2), (2, 5, 6, 2)], "length int, c1 long, c2 long, n long")
+
+    def refuse(*_):
+        raise AssertionError("rows are collected one by one")
+
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(found), name, refuse)
+    sets = phrases.with_bits({1: phrases.no_bits()}, found)
+    ones = phrases.slots([np.array([5, 6], np.uint64)])
+    twos = phrases.slots([np.array([5], np.uint64), np.array([6], np.uint64)])
+    assert sorted(sets) == [1, 2] and phrases.has(sets[1], ones).all() and phrases.has(sets[2], twos).all()
+    assert all(int(np.bitwise_count(sets[n]).sum()) == len(np.unique(at)) for n, at in ((1, ones), (2, twos)))
+    assert phrases.with_bits({}, found.limit(0)) == {}
