@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from parcelscope.llm import phrases, quality_rules
+from parcelscope.llm import masked_lm, phrases, quality_rules
 
 
 @pytest.fixture
@@ -46,3 +46,20 @@ def test_bit_sets_reach_the_driver_without_rows(spark, monkeypatch):
     assert sorted(sets) == [1, 2] and phrases.has(sets[1], ones).all() and phrases.has(sets[2], twos).all()
     assert all(int(np.bitwise_count(sets[n]).sum()) == len(np.unique(at)) for n, at in ((1, ones), (2, twos)))
     assert phrases.with_bits({}, found.limit(0)) == {}
+
+
+def test_weights_move_once_a_round(docs_of, monkeypatch):
+    """(op8) The averaged weights go from the tasks that average them to the driver, not through a sort."""
+    docs = docs_of([(at, f"some words of text {at}") for at in range(20)]).select("doc_id", "text")
+    windows = masked_lm.training_windows(docs, masked_lm.frequent_words(docs), 1)
+    plans, collect = [], type(docs).collect
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(docs), "collect", spied)
+    weights = masked_lm.train(windows, 1).flat
+    averaged = [plan for plan in plans if "average" in plan]
+    assert len(averaged) == 1 and averaged[0].count("Exchange ") == 1
+    assert weights.shape == masked_lm.WindowNetwork.first().shape and np.isfinite(weights).all()
