@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,6 +44,7 @@ LEVELS = 5
 COORDINATES = 64
 NODE = 500
 NODE_SHINGLES = 2_000_000
+FILTER_BITS = 24
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,11 +126,32 @@ def branch(members: DataFrame, levels: int) -> DataFrame:
     return members.select("node", "rep", "n_shingles", "first", "tokens").mapInPandas(run, schema)
 
 
+def perhaps_among(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose ``column`` may be in the only column of ``wanted``: all that are, and some others.
+
+    For a join that follows: every task gets a set of ``1 << FILTER_BITS`` bits, at most 2 ** 18 rows, so that only rows
+    on a bit of a wanted value are shuffled. A set that fills up lets more rows through and changes nothing.
+    """
+
+    def place(name: str) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+        return F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+
+    word, at = place(wanted.columns[0])
+    one_bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    bits = wanted.select(word.alias("filter_word"), one_bit.alias("filter_bit"))
+    bits = bits.groupBy("filter_word").agg(F.bit_or("filter_bit").alias("filter_bits"))
+    word, at = place(column)
+    held = F.call_function("shiftright", F.col("filter_bits"), at).bitwiseAND(1) == 1
+    return table.join(F.broadcast(bits), (word == F.col("filter_word")) & held, "left_semi")
+
+
 def shared_nodes(rows: DataFrame, node: int, known: DataFrame | None = None) -> DataFrame:
     """Members of nodes with two documents or more, of nodes with the same members once; with ``known`` components only
     of nodes that hold more than one. ``blocks`` tells into how many parts a node must be dealt to be compared."""
     held = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    members = _labelled(rows.join(held, "node"), known)
+    # written as it is read twice: few nodes are shared, and all rows move to find them
+    members = stored(_labelled(rows.join(held, "node"), known), "held_nodes")
     sizes = members.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("n_shingles").alias("shingles"),
@@ -222,7 +244,7 @@ def near_duplicates(
     members = shared_nodes(stored(rows, "branches"), node)
     # the texts of all documents that share a node, fetched once
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = read.join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    texts = perhaps_among(read, "doc_id", needed).join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
     texts = stored(texts, "node_texts")
 
     def compared(rows: DataFrame) -> DataFrame:
@@ -230,6 +252,7 @@ def near_duplicates(
 
     links = stored(compared(_in_blocks(members.where("first"))), "links")
     known = stored(components(links), "components")
+    links = known.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what they connect is all that counts
     rows = members.where("NOT first OR blocks > 1").select("node", "rep", "n_shingles", "first")
     for level in range(FIRST_LEVELS, LEVELS + 1):
         members = _with_main(shared_nodes(rows, node, known))
@@ -242,7 +265,8 @@ def near_duplicates(
         large = members.where(~small & ~few).select("node", "rep", "first")
         if level == LEVELS or large.isEmpty():
             break
-        rows = branch(large.join(classes.select("rep", "n_shingles", "tokens"), "rep"), 1)
+        wanted = perhaps_among(classes.select("rep", "n_shingles", "tokens"), "rep", large.select("rep"))
+        rows = branch(large.join(wanted, "rep"), 1)
         rows = stored(rows, "branches")
     known = stored(components(links), "components")
     final = classes.select("k1", "k2", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
@@ -270,7 +294,7 @@ def _with_main(members: DataFrame) -> DataFrame:
     main = per_label.groupBy("node").agg(
         F.max_by("label", F.struct("held", "label")).alias("main"), (F.sum("held") - F.max("held")).alias("others")
     )
-    return members.join(main, "node")
+    return stored(members.join(main, "node"), "main_components")  # read by each of the comparisons
 
 
 def _across_blocks(members: DataFrame, node: int) -> DataFrame:

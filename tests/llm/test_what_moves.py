@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from parcelscope.llm import masked_lm, phrases, quality_rules
+from parcelscope.llm import masked_lm, near_duplicates, phrases, quality_rules
 
 
 @pytest.fixture
@@ -63,3 +63,30 @@ def test_weights_move_once_a_round(docs_of, monkeypatch):
     averaged = [plan for plan in plans if "average" in plan]
     assert len(averaged) == 1 and averaged[0].count("Exchange ") == 1
     assert weights.shape == masked_lm.WindowNetwork.first().shape and np.isfinite(weights).all()
+
+
+def test_texts_of_no_shared_node_are_not_shuffled(docs_of, no_broadcast, monkeypatch):
+    """(op10, pipeline) Texts and members meet the wanted ids in a small set of bits before they move."""
+    plans, stored = {}, near_duplicates.stored
+
+    def spied(df, name, *partition_by):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, *partition_by)
+
+    monkeypatch.setattr(near_duplicates, "stored", spied)
+    words = "a near copy of a text has nearly all of the words that the other text has in it and one more".split()
+    rows = [(1, " ".join(words * 3)), (2, " ".join(words * 3 + ["more"])), *((at, f"{at} own {at * 7} words {at * 3}") for at in range(3, 60))]
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of([*rows, (None, "x")])).collect()}
+    assert found == {at: 1 if at == 2 else at for at, _ in rows} | {None: None}
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", plans["node_texts"])
+    assert "held_nodes" in plans and plans["shared_nodes"].count("FileScan") <= 2
+
+
+def test_a_set_of_bits_lets_all_wanted_rows_through(spark, no_broadcast):
+    """(op10)"""
+    table = spark.range(20_000).selectExpr("IF(id < 3, NULL, id) AS id", "'t' AS text").unionByName(spark.sql("SELECT 7L AS id, 'u' AS text"))
+    wanted = spark.range(0, 20_000, 100).selectExpr("id AS rep")
+    found = near_duplicates.perhaps_among(table, "id", wanted)
+    ids = [r.id for r in found.collect()]
+    assert found.columns == ["id", "text"] and set(range(100, 20_000, 100)) <= set(ids) and len(ids) < 260
+    assert near_duplicates.perhaps_among(table, "id", wanted.limit(0)).count() == 0
