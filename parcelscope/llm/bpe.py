@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .texts import chunks
+
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 1 << 15
 LOOK = 4
@@ -165,6 +167,18 @@ def encode_tree(parts: list[Encoded], code: Coder) -> Encoded:
     return parts[0]
 
 
+def encoded_leaves(batch: pd.DataFrame, code: Coder) -> Iterator[pd.DataFrame]:
+    """The rows of ``batch`` with the places and ids of their pieces, a few at a time: pieces take some ten times a text's memory."""
+    texts = batch["text"].tolist()
+    for part in chunks(texts):
+        done = [Encoded.of(text, code) if code.is_plain(text) else None for text in texts[part]]
+        yield batch.iloc[part].assign(
+            starts=[np.array(x.starts, "<u4").tobytes() if x else None for x in done],
+            lengths=[np.array([len(y) for y in x.ids], "<u4").tobytes() if x else None for x in done],
+            ids=[b"".join(x.ids) if x else None for x in done],
+        )
+
+
 def _result(ids: bytes, code: Coder, with_ids: bool, with_text: bool) -> tuple:
     text = code.decode(ids)
     return (
@@ -197,10 +211,12 @@ def bpe_round_trip(
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = coder(tokenizer)
         for batch in batches:
-            rows = [_result(code.encode(text), code, with_ids, with_text) for text in batch["text"]]
-            out = pd.DataFrame(rows, columns=_NAMES)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for part in chunks(texts):
+                rows = [_result(code.encode(text), code, with_ids, with_text) for text in texts[part]]
+                out = pd.DataFrame(rows, columns=_NAMES)
+                out.insert(0, "doc_id", ids[part])
+                yield out
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,12 +227,7 @@ def bpe_round_trip(
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = coder(tokenizer)
         for batch in batches:
-            done = [Encoded.of(text, code) if code.is_plain(text) else None for text in batch["text"]]
-            yield batch.assign(
-                starts=[np.array(x.starts, "<u4").tobytes() if x else None for x in done],
-                lengths=[np.array([len(y) for y in x.ids], "<u4").tobytes() if x else None for x in done],
-                ids=[b"".join(x.ids) if x else None for x in done],
-            )
+            yield from encoded_leaves(batch, code)
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         code = coder(tokenizer)

@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from parcelscope.llm import masked_lm, near_duplicates, phrases, quality_rules
+from parcelscope.llm import bpe, masked_lm, near_duplicates, phrases, quality_rules
 
 
 @pytest.fixture
@@ -65,6 +66,18 @@ def test_weights_move_once_a_round(docs_of, monkeypatch):
     assert weights.shape == masked_lm.WindowNetwork.first().shape and np.isfinite(weights).all()
 
 
+def test_leaves_are_handed_on_a_few_at_a_time():
+    """(pipeline, op7) The pieces of a batch of leaves are never all in memory."""
+    code = bpe.coder(bpe.TOKENIZER)
+    texts = [f"words of leaf {at} " * 1500 for at in range(120)] + ["日本語 " * 9]
+    batch = pd.DataFrame({"row": 1, "doc_id": "a", "part": range(len(texts)), "text": texts})
+    frames = list(bpe.encoded_leaves(batch, code))
+    assert len(frames) > 2 and max(frame["text"].str.len().sum() for frame in frames) < 1 << 21
+    found = pd.concat(frames)
+    assert found["part"].tolist() == batch["part"].tolist() and found["text"].tolist() == texts
+    assert found["ids"].tolist() == [*map(code.by_library, texts[:-1]), None]
+
+
 def test_texts_of_no_shared_node_are_not_shuffled(docs_of, no_broadcast, monkeypatch):
     """(op10, pipeline) Texts and members meet the wanted ids in a small set of bits before they move."""
     plans, stored = {}, near_duplicates.stored
