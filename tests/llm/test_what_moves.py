@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from parcelscope.llm import bpe, masked_lm, near_duplicates, phrases, quality_rules
@@ -103,3 +104,26 @@ def test_a_set_of_bits_lets_all_wanted_rows_through(spark, no_broadcast):
     ids = [r.id for r in found.collect()]
     assert found.columns == ["id", "text"] and set(range(100, 20_000, 100)) <= set(ids) and len(ids) < 260
     assert near_duplicates.perhaps_among(table, "id", wanted.limit(0)).count() == 0
+
+
+def test_words_are_spelt_once_a_core(spark):
+    """(op13) More tasks of input are not more tasks that spell the same words."""
+    cores = spark.sparkContext.defaultParallelism
+    copies = spark.range(0, 400, 1, 10 * cores).selectExpr("'en' AS lang", "'some words, the same in all texts' AS text")
+    bits = np.full(1 << phrases.BITS - 6, ~np.uint64(0))
+    found = phrases.spelling(copies, phrases.Shared(spark, bits), 0)
+    assert f"Coalesce {cores}" in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.lang, r.word, r.clash, r.n) for r in found.collect()}
+    names = {("en", word, False, None) for word in "some words the same in all texts".split()}
+    assert rows == names | {("en", None, False, 400 * 7)}
+
+
+def test_two_words_on_one_code_both_come_out_of_a_task(monkeypatch):
+    """(op13) However often and in whatever order a task meets them."""
+    plain = phrases.Words.under
+    monkeypatch.setattr(phrases.Words, "under", lambda self, seed: np.full(len(self.start), 9, np.uint64) if seed == 0 else plain(self, seed))
+    bits = np.full(1 << phrases.BITS - 6, ~np.uint64(0))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": ["one one two", "two one"]})
+    *words, totals = phrases.spelt_words(iter([batch, batch]), bits, 0)
+    assert sorted((r["code"], r["word"]) for part in words for r in part.to_pylist()) == [(9, "one"), (9, "two")]
+    assert totals.to_pylist() == [{"code": 0, "lang": "en", "word": None, "n": 10}]
