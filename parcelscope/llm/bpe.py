@@ -9,7 +9,7 @@ text from its beginning to ``LOOK`` characters behind its end, never on what is
 begin a piece they go on alike, and the joined result is exactly the encoding of the whole. If they never agree, the
 window reaches the end of the right side and is exact for that reason.
 
-Pieces are encoded with the tokenizer's own ranks and kept in a bounded cache. A text with a special token's string, or with
+Pieces are encoded with the tokenizer's own ranks; short ones are kept in a cache of bounded memory. A text with a special token's string, or with
 characters outside ``SAFE`` (where the splitting pattern is tested against the library), is given to the library whole.
 
 Defined results: a null or empty text has no tokens; a null id stays null; rows that repeat give rows that repeat; only
@@ -57,7 +57,8 @@ def byte_table() -> dict[str, int]:
 class Coder:
     """Encodes and decodes with one tokenizer file."""
 
-    FULL = 1 << 19
+    FULL = 1 << 17
+    SHORT = 64
 
     def __init__(self, name: str):
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
@@ -92,8 +93,12 @@ class Coder:
         if len(known) + len(new) > self.FULL:
             known.clear()
             new = list(set(pieces))
+        long: dict[str, bytes] = {}  # not kept, so that the cache is bounded in memory, not only in entries
         for piece in new:
-            known[piece] = np.array(self.ranked.encode_ordinary(piece), "<u4").tobytes()
+            place = known if len(piece) <= self.SHORT else long
+            place[piece] = np.array(self.ranked.encode_ordinary(piece), "<u4").tobytes()
+        if long:
+            return [long[piece] if piece in long else known[piece] for piece in pieces]
         return [known[piece] for piece in pieces]
 
     def encode(self, text: str) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import stored
-from .texts import GOLDEN, WordHashes, mixed, shingles, split_words
+from .texts import GOLDEN, WordHashes, chunks, mixed, shingles, split_words
 
 SHINGLE = 5
 PERCENT = 80
@@ -64,6 +64,29 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def sketched(batch: pd.DataFrame, size: int, hashes: WordHashes) -> Iterator[pd.DataFrame]:
+    """Sketches of the rows of ``batch``, a few at a time: the sets of a whole batch take more memory than its texts."""
+    ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+    for few in chunks(texts):
+        sets = [shingle_set(text, size, hashes) for text in texts[few]]
+        tokens: list[bytes | None] = [None] * len(sets)
+        full = [at for at, x in enumerate(sets) if len(x)]
+        for first in range(0, len(full), 64):
+            part = full[first : first + 64]
+            for at, row in zip(part, minwise([sets[x] for x in part])):
+                tokens[at] = row.tobytes()
+        keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        yield pd.DataFrame(
+            {
+                "doc_id": ids[few],
+                "n_shingles": [len(x) for x in sets],
+                "k1": [int.from_bytes(x[:8], "little", signed=True) for x in keys],
+                "k2": [int.from_bytes(x[8:], "little", signed=True) for x in keys],
+                "tokens": tokens,
+            }
+        )
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, tokens): set size, 128-bit key of the set, and its minwise tokens."""
     id_type = dict(docs.dtypes)["doc_id"]
@@ -71,23 +94,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(text, size, hashes) for text in batch["text"]]
-            tokens: list[bytes | None] = [None] * len(sets)
-            full = [at for at, x in enumerate(sets) if len(x)]
-            for first in range(0, len(full), 64):
-                part = full[first : first + 64]
-                for at, row in zip(part, minwise([sets[x] for x in part])):
-                    tokens[at] = row.tobytes()
-            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_shingles": [len(x) for x in sets],
-                    "k1": [int.from_bytes(x[:8], "little", signed=True) for x in keys],
-                    "k2": [int.from_bytes(x[8:], "little", signed=True) for x in keys],
-                    "tokens": tokens,
-                }
-            )
+            yield from sketched(batch, size, hashes)
 
     read = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found = read.mapInPandas(sketch, "doc_id string, n_shingles long, k1 long, k2 long, tokens binary")

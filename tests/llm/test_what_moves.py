@@ -1,6 +1,7 @@
 """What operators move between tasks and to the driver."""
 
 import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from parcelscope.llm import bpe, masked_lm, near_duplicates, phrases, quality_rules
+from parcelscope.llm.texts import WordHashes
 
 
 @pytest.fixture
@@ -79,6 +81,33 @@ def test_leaves_are_handed_on_a_few_at_a_time():
     assert found["ids"].tolist() == [*map(code.by_library, texts[:-1]), None]
 
 
+def test_known_pieces_are_bounded_in_memory():
+    """(pipeline, op7) However many different pieces a worker meets, and however long they are."""
+    code = bpe.Coder(bpe.TOKENIZER)
+    long = ["x".join([f"{letter}q" * 3000, f"{letter}z" * 900]) for letter in "abcdefgh"]
+    for at in range(0, 300_000, 5000):
+        code.encode(" ".join(map(str, range(at, at + 5000))) + f" {long[at % 8]}")
+    held = sys.getsizeof(code.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in code.known.items())
+    assert held < 32_000_000 and max(map(len, code.known)) <= 64
+    mixed = f"{long[0]} two words {long[0]} and {long[1]} words {'7' * 64} {'7' * 65}"
+    assert code.encode(mixed) == code.encode(mixed) == code.by_library(mixed)
+
+
+def test_sets_of_a_batch_are_made_a_few_at_a_time():
+    """(pipeline, op10) The shingle sets of a batch of texts are never all in memory."""
+    texts = [f"words of text {at} " * 2000 for at in range(120)] + [None, "", "one", "a b c d e"]
+    batch = pd.DataFrame({"doc_id": [str(at) for at in range(len(texts))], "text": texts}, index=range(7, 7 + len(texts)))
+    frames = list(near_duplicates.sketched(batch, 4, WordHashes()))
+    assert len(frames) > 2 and max(map(len, frames)) < 60
+    found = pd.concat(frames)
+    sets = [near_duplicates.shingle_set(text, 4, WordHashes()) for text in texts]
+    assert found["doc_id"].tolist() == batch["doc_id"].tolist() and found["n_shingles"].tolist() == [*map(len, sets)]
+    assert found["tokens"].tolist() == [near_duplicates.minwise([x])[0].tobytes() if len(x) else None for x in sets]
+    keys = [near_duplicates.xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+    assert [a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for a, b in zip(found["k1"], found["k2"])] == keys
+    assert list(near_duplicates.sketched(batch[:0], 4, WordHashes())) == []
+
+
 def test_texts_of_no_shared_node_are_not_shuffled(docs_of, no_broadcast, monkeypatch):
     """(op10, pipeline) Texts and members meet the wanted ids in a small set of bits before they move."""
     plans, stored = {}, near_duplicates.stored
